@@ -41,13 +41,20 @@ def title_case(text: Column) -> Column:
 def cut_at(text: Column, separators) -> Column:
     """Keep what stands before each separator, one separator after the other."""
     for separator in separators:
-        text = F.when(
-            F.contains(text, F.lit(separator)),
-            strip(F.substring_index(text, separator, 1)),
-        ).otherwise(text)
+        text = strip(F.substring_index(text, separator, 1))
     return text
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, not at every mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_where(items: Column, test) -> Column:
+    """First array item that passes a test; NULL if none does."""
+    return F.get(F.filter(items, test), F.lit(0))
+
+
 def contains_any(text: Column, words) -> Column:
     """True if a text holds one of a fixed list of words."""
     test = F.lit(False)

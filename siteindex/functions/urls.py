@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siteindex.constants import DISCOVERY_SKIP, SITEMAP_SKIP
-from siteindex.functions.text import contains_any, contains_any_of, strip, title_case
+from siteindex.functions.text import contains_any, contains_any_of, let, strip, title_case
 
 # --- fixed values: schemes whose references may be relative (RFC 3986 practice) ---
 RELATIVE_SCHEMES = (
@@ -62,11 +62,6 @@ def netloc(url: Column) -> Column:
     return F.regexp_extract(_tidy(url), _URI, 2)
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once, not at every mention."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _split_params(scheme: Column, path: Column) -> tuple[Column, Column]:
     takes_params = scheme.isin(*PARAMS_SCHEMES)
     return (
@@ -92,7 +87,7 @@ def _compose(scheme, authority, path, params, query, fragment) -> Column:
 
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        _let(F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path), with_path),
+        let(F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path), with_path),
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
     )
@@ -122,9 +117,9 @@ def _walk(base_path: Column, path: Column) -> Column:
         )
 
     segments = F.when(F.startswith(path, F.lit("/")), F.split(path, "/")).otherwise(
-        _let(F.concat(head, F.split(path, "/")), no_gaps)
+        let(F.concat(head, F.split(path, "/")), no_gaps)
     )
-    return _let(_let(segments, walk), lambda joined: F.when(joined == "", "/").otherwise(joined))
+    return let(let(segments, walk), lambda joined: F.when(joined == "", "/").otherwise(joined))
 
 
 def resolve(base: Column, reference: Column, parts: Column | None = None) -> Column:
@@ -146,7 +141,7 @@ def resolve(base: Column, reference: Column, parts: Column | None = None) -> Col
         )
         .when(reference.rlike(_PLAIN_ADDRESS) & ~b["netloc"].rlike(r"[\[\]]"), reference)
         .otherwise(
-            _let(
+            let(
                 F.struct(b.alias("b"), url_parts(reference).alias("r")),
                 lambda both: _resolve_parts(both["b"], both["r"], reference),
             )
@@ -183,7 +178,7 @@ def _resolve_parts(b: Column, r: Column, reference: Column) -> Column:
             )
         )
 
-    return _let(F.when(r["scheme"] != "", r["scheme"]).otherwise(b["scheme"]), with_scheme)
+    return let(F.when(r["scheme"] != "", r["scheme"]).otherwise(b["scheme"]), with_scheme)
 
 
 def is_web(url: Column) -> Column:

@@ -15,7 +15,9 @@ is a Catalyst expression over the array. A node is
 ``up``     marks of the parent element
 ``above``  marks of all enclosing elements
 
-A mark is one bit per selector of ``MARKS``. "Inside nav or footer" is then one AND
+A mark is one bit per selector of ``MARKS``: a tag, a class, a tag with a class, a tag
+with a non-empty attribute, a tag inside another, and ``a:top``, a link that stands in
+no other link and in no heading. "Inside nav or footer" is then one AND
 of two integers, so no operator has to compare pairs of nodes.
 """
 
@@ -51,12 +53,12 @@ MARKS = (
     + UNSEEN[2:]
     + ("pre", "code")
     + HEADINGS
-    + ("a", "a[href]", "p", "title", "meta", "ul", "ol", "ul li", "ol li")
+    + ("a", "a[href]", "a:top", "p", "title", "meta", "ul", "ol", "ul li", "ol li")
     + CONTENT_SELECTORS
     + ("div.content", "body")
 )
 ATTRIBUTES = ("href", "id", "class", "name", "property", "content", "type", "data-language")
-FENCED = STRONG + EMPHASIS + HEADINGS + ("pre", "code", "li")
+FENCED = STRONG + EMPHASIS + HEADINGS + ("pre", "code", "ul li", "ol li")
 
 NODE = T.StructType([
     T.StructField("id", T.IntegerType()),
@@ -94,9 +96,12 @@ class _Marks:
 
     def __init__(self):
         self.tags, self.classes, self.tag_classes, self.filled, self.inside = {}, {}, {}, {}, {}
+        self.link, self.covered = bit("a[href]"), bit("a[href]", *HEADINGS)
         for position, selector in enumerate(MARKS):
             value = 1 << position
-            if " " in selector:
+            if selector == "a:top":
+                self.top = value
+            elif " " in selector:
                 outer, inner = selector.split(" ")
                 self.inside.setdefault(inner, []).append((1 << MARKS.index(outer), value))
             elif "[" in selector:
@@ -118,6 +123,8 @@ class _Marks:
         for attribute, value in self.filled.get(tag, ()):
             if attrs.get(attribute):
                 own |= value
+        if own & self.link and not above & self.covered:
+            own |= self.top
         for outer, value in self.inside.get(tag, ()):
             if above & outer:
                 own |= value
@@ -188,8 +195,7 @@ class _Reader(HTMLParser):
     def __init__(self, marks: _Marks, only: int = 0):
         super().__init__(convert_charrefs=False)
         self.marks, self.only = marks, only
-        self.fenced = bit(*(t for t in FENCED if t != "li"), "ul li", "ol li")
-        self.void_ends = set()
+        self.fenced = bit(*FENCED)
 
     def read(self, html: str, out: _Columns) -> None:
         self.reset()
