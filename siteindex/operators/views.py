@@ -186,9 +186,15 @@ def with_view(df: DataFrame, view: View = CLEANED, nodes: str = "nodes") -> Data
             F.struct(F.lit(0).alias("id"), (F.size(n) - 1).alias("last"))
         ),
     )
-    return found.withColumns(
+    return with_tokens(found.drop("_box"), view, nodes)
+
+
+def with_tokens(df: DataFrame, view: View, nodes: str = "nodes") -> DataFrame:
+    """Set ``tokens`` and ``elements`` for the container that is chosen already."""
+    n = F.col(nodes)
+    return df.withColumns(
         {
             "tokens": F.transform(n, lambda node: token(node, view, F.col("contained"))),
             "elements": F.filter(span(n, F.col("place")), lambda node: element(node, view)),
         }
-    ).drop("_box")
+    )

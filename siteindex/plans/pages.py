@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteindex.constants import CRAWL_MODES, DISCOVERY_SKIP, FAILED_DESCRIPTION, FAILED_TITLE
+from siteindex.constants import (
+    CRAWL_MODES,
+    DISCOVERY_SKIP,
+    FAILED_DESCRIPTION,
+    FAILED_TITLE,
+    TEXT_REMOVED_TAGS,
+)
 from siteindex.functions.urls import link_matches, resolve, same_site, url_parts
 from siteindex.operators import extract as X
 from siteindex.operators.markdown import markdown
@@ -18,9 +25,10 @@ from siteindex.operators.views import (
     element,
     text_of,
     view_of,
+    with_tokens,
     with_view,
 )
-from siteindex.sources.nodes import anchors, nodes
+from siteindex.sources.nodes import anchors, bit, nodes
 from siteindex.sources.snapshot import fetched
 
 PROCESSED = (
@@ -51,7 +59,19 @@ def extracted(
 ) -> DataFrame:
     """Same, over pages that are parsed already."""
     url, tokens, elements = F.col("url"), F.col("tokens"), F.col("elements")
-    fields = with_view(df, view_of(cleaners)).withColumn("base", url_parts(url))
+    view = view_of(cleaners)
+    # title and description are read first; the text and all that follows them never
+    # show scripts or navigation, whatever the cleaners left
+    later = replace(view, dropped=view.dropped | bit(*TEXT_REMOVED_TAGS))
+    fields = with_view(df, view).withColumns(
+        {
+            "title": X.title(elements, tokens, url),
+            "description": X.description(elements, tokens),
+            "base": url_parts(url),
+        }
+    )
+    if later != view:
+        fields = with_tokens(fields, later)
     fields = fields.withColumn("links", X.page_links(elements, tokens, url, F.col("base")))
     failed = F.col("nodes").isNull() | F.exists("links", lambda a: a["url"].isNull())
     fields = fields.withColumn("failed", failed)
@@ -65,10 +85,8 @@ def extracted(
     return fields.select(
         *extra,
         "url",
-        unless_failed(X.title(elements, tokens, url), F.lit(FAILED_TITLE)).alias("title"),
-        unless_failed(X.description(elements, tokens), F.lit(FAILED_DESCRIPTION)).alias(
-            "description"
-        ),
+        unless_failed(F.col("title"), F.lit(FAILED_TITLE)).alias("title"),
+        unless_failed(F.col("description"), F.lit(FAILED_DESCRIPTION)).alias("description"),
         unless_failed(X.main_text(tokens, F.col("place")), F.lit("")).alias("main_content"),
         unless_failed(
             X.headings(elements, tokens), empty("array<struct<level:int,text:string,id:string>>")
