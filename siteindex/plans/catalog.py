@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siteindex.constants import DISCOVERY_SKIP, OTHER_CATEGORY
 from siteindex.functions.text import contains_any_of, first_where
-from siteindex.functions.urls import resolve, same_site, url_parts
+from siteindex.functions.urls import netloc, resolve, same_site, url_parts
 from siteindex.operators import extract as X
 from siteindex.operators.views import CLEANERS, Cleaner
 from siteindex.plans.discover import discover
@@ -53,6 +53,19 @@ def page_facts(pages: DataFrame, cleaners: Sequence[Cleaner] = CLEANERS) -> Data
     )
 
 
+def pages_of_sites(pages: DataFrame, sites: DataFrame, limit: int = 200_000) -> DataFrame:
+    """Pages on the hosts of the sites' addresses: discovery never leaves them.
+
+    Few hosts are broadcast, so other pages are dropped before they are parsed. With
+    more than ``limit`` hosts the pages are all read, as a join would shuffle their HTML.
+    """
+    named = F.array_distinct(F.transform("urls", lambda url: netloc(url)))
+    hosts = sites.select(F.explode(named).alias("_host")).distinct()
+    if hosts.limit(limit + 1).count() > limit:
+        return pages
+    return pages.join(F.broadcast(hosts), netloc(F.col("url")) == F.col("_host"), "left_semi")
+
+
 def build_catalog(discovered: DataFrame, facts: DataFrame, sites: DataFrame) -> DataFrame:
     """``(site_id, rank, url, title, description, content, category, source)``.
 
@@ -76,7 +89,9 @@ def catalog(
     """Discover, process and categorise.
 
     The parsed facts are written once, as a narrow table, and read by both the
-    discovery (links) and the catalogue (text): pages are parsed once.
+    discovery (links) and the catalogue (text): pages are parsed once. The discovered
+    rows are written too, so that their size decides how they are joined to the text.
     """
-    facts = keep(page_facts(pages, cleaners), "facts")
-    return build_catalog(discover(sites, facts.select("url", "links")), facts, sites)
+    facts = keep(page_facts(pages_of_sites(pages, sites), cleaners), "facts")
+    found = keep(discover(sites, facts.select("url", "links")), "discovered")
+    return build_catalog(found, facts, sites)

@@ -48,20 +48,19 @@ def crawl(
         )
         if seen:
             first = first.join(_union(seen), ["site_id", "url"], "left_anti")
-        level = keep(first.join(follow, "url", "left"), "level")
-        found = level.where(F.col("follow").isNotNull())
-        step = numbered(found, ["site_id"], "parent", ["pos"], "place").withColumn(
-            "rank", F.col("taken") + F.col("place")
+        # a written frontier has a known size: a small one is broadcast to the records,
+        # a large one is joined by shuffle
+        first = keep(first, "frontier")
+        found = keep(first.join(follow, "url"), "found")
+        seen.append(first.select("site_id", "url"))
+        step = numbered(found, ["site_id"], "parent", ["pos"], "place")
+        step = (
+            step.withColumn("rank", F.col("taken") + F.col("place"))
+            .where(F.col("rank") < max_pages)
+            .select("site_id", "url", "rank", F.lit(depth).alias("depth"), "follow")
         )
-        step = keep(
-            step.where(F.col("rank") < max_pages).select(
-                "site_id", "url", "rank", F.lit(depth).alias("depth"), "follow"
-            ),
-            "step",
-        )
-        seen.append(level.select("site_id", "url"))
         steps.append(step)
-        if depth == max_depth or step.isEmpty():
+        if depth == max_depth or found.isEmpty():
             break
         taken = (
             step.groupBy("site_id")

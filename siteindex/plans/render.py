@@ -162,10 +162,10 @@ def lines(
     written table: keys and text are taken from it separately.
     """
     heads = sites.select("site_id", "name", "description", "additional_info")
-    order = page_order(catalog)
-    placed = catalog.join(order, ["site_id", "rank"]).join(
+    order = page_order(catalog).join(
         heads.select("site_id", "additional_info"), "site_id", "left"
     )
+    placed = catalog.join(order, ["site_id", "rank"])
     page_rows = placed.select(
         "site_id", F.explode(F.concat(*map(_page_lines, artifacts))).alias("l")
     )
@@ -213,29 +213,36 @@ def records(catalog: DataFrame) -> DataFrame:
     return catalog.select("site_id", "rank", F.to_json(F.struct(*RECORD)).alias("record"))
 
 
+LINES_PER_FILE = 50_000
+RECORDS_PER_FILE = 10_000
+
+
 def write_documents(lines: DataFrame, path: str) -> None:
-    """Text files under ``artifact=…/site_id=…``.
+    """Text files under ``artifact=…/site_id=…/part=…``, usually one part per document.
 
-    Rows are split by ranges of artifact, site and line, so a large site is written by
-    several tasks; its files, taken in name order, make up the document.
+    A long document has several parts, written by different tasks; the parts in the
+    order of their numbers make up the document.
     """
-    keys = ["artifact", "site_id", "line_no"]
+    keys = ["artifact", "site_id", "part"]
     (
-        lines.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .select("artifact", "site_id", "line")
-        .write.partitionBy("artifact", "site_id")
+        lines.withColumn("part", F.floor(F.col("line_no") / LINES_PER_FILE))
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, "line_no")
+        .select(*keys, "line")
+        .write.partitionBy(*keys)
         .text(path)
     )
 
 
 def write_records(catalog: DataFrame, path: str) -> None:
-    """JSON lines under ``site_id=…`` in discovery order."""
+    """JSON lines under ``site_id=…/part=…`` in discovery order."""
+    keys = ["site_id", "part"]
     (
-        catalog.repartitionByRange("site_id", "rank")
-        .sortWithinPartitions("site_id", "rank")
-        .select("site_id", *RECORD)
-        .write.partitionBy("site_id")
+        catalog.withColumn("part", F.floor(F.col("rank") / RECORDS_PER_FILE))
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, "rank")
+        .select(*keys, *RECORD)
+        .write.partitionBy(*keys)
         .json(path)
     )
 

@@ -11,10 +11,11 @@ from siteindex import config
 from siteindex.constants import CRAWL_MODES, DISCOVERY_SKIP
 from siteindex.operators.ranking import numbered
 from siteindex.plans import render
-from siteindex.plans.catalog import build_catalog, catalog, page_facts
+from siteindex.plans.catalog import catalog, page_facts, pages_of_sites
 from siteindex.plans.crawl import crawl
 from siteindex.plans.discover import discover
 from siteindex.plans.pages import site_links
+from siteindex.plans.run import run
 from siteindex.session import keep
 
 RULES = [("API", ["/api/"], ["api"]), ("Guide", None, ["guide", "Never"]), ("Zed", ["/z"], None)]
@@ -177,20 +178,34 @@ def test_documents(sites, built):
     assert all(r.n == r.m + 1 == r.d for r in numbers.collect())
 
 
-def test_written_files(spark, sites, built, tmp_path):
-    table = render.lines(sites, built)
-    render.write_documents(table, str(tmp_path / "docs"))
+def joined_parts(folder):
+    files = sorted(folder.glob("part=*/part-*"), key=lambda p: int(p.parent.name[5:]))
+    return "".join(p.read_text(encoding="utf-8") for p in files), len(files)
+
+
+def test_run_writes_documents_and_records(spark, sites, pages, built, tmp_path, monkeypatch):
+    monkeypatch.setattr(render, "LINES_PER_FILE", 20)
+    monkeypatch.setattr(render, "RECORDS_PER_FILE", 3)
+    summary = {r.site_id: r.pages_processed for r in run(sites, pages, str(tmp_path)).collect()}
     rows = [r.asDict() for r in built.orderBy("site_id", "rank").collect()]
-    for site in ("s0", "s4"):
+    for site, *_ in SITES:
+        of_site = [r for r in rows if r["site_id"] == site]
+        assert summary[site] == len(of_site)
         for artifact in ("index", "full"):
-            parts = sorted((tmp_path / "docs" / f"artifact={artifact}" / f"site_id={site}").glob("part-*"))
-            text = "".join(p.read_text(encoding="utf-8") for p in parts)
-            assert text == expected_document(site, None, artifact, [r for r in rows if r["site_id"] == site])
-    render.write_records(built, str(tmp_path / "records"))
-    parts = sorted((tmp_path / "records" / "site_id=s0").glob("part-*"))
-    records = [json.loads(line) for p in parts for line in p.read_text(encoding="utf-8").splitlines()]
-    assert [r["url"] for r in records] == [r["url"] for r in rows if r["site_id"] == "s0"]
-    assert list(records[0]) == ["url", "title", "description", "content", "category", "source"]
+            text, n = joined_parts(tmp_path / "documents" / f"artifact={artifact}" / f"site_id={site}")
+            assert text == expected_document(site, None, artifact, of_site)
+            assert n == -(-text.count("\n") // 20)
+        text, _ = joined_parts(tmp_path / "records" / f"site_id={site}")
+        records = [json.loads(line) for line in text.splitlines()]
+        assert [r["url"] for r in records] == [r["url"] for r in of_site]
+        assert all(list(r) == ["url", "title", "description", "content", "category", "source"] for r in records)
+    assert not (tmp_path / "documents" / "artifact=context").exists()
+
+
+def test_pages_of_sites(spark, sites, pages):
+    h1 = sites.where("site_id = 's1'")
+    assert {r.url.split("/")[2] for r in pages_of_sites(pages, h1).collect()} == {"h1.org"}
+    assert pages_of_sites(pages, sites, limit=1).count() == pages.count()
 
 
 def test_run_summary(spark, built):
