@@ -10,11 +10,7 @@ def _char_class(chars: str) -> str:
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
 
 
-_BLANK = _char_class(BLANKS)
 _BREAK = _char_class(LINE_BREAKS)
-# A whole run of blanks that holds a line break or two spaces in a row. The
-# look-behind lets only the start of a run match, so long runs stay linear.
-_GAP = f"(?<!{_BLANK})(?={_BLANK}*?(?:{_BREAK}|  )){_BLANK}++"
 _CASED = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]"
 
 
@@ -29,7 +25,8 @@ def squeeze(text: Column) -> Column:
     Line breaks and runs with two spaces become one space; a lone tab or space
     inside a line stays as it is.
     """
-    return strip(F.regexp_replace(text, _GAP, " "))
+    parts = F.transform(F.split(text, f"{_BREAK}|  "), strip)
+    return F.array_join(F.filter(parts, lambda part: part != ""), " ")
 
 
 def title_case(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siteindex.constants import DISCOVERY_SKIP, SITEMAP_SKIP
-from siteindex.functions.text import contains_any, contains_any_of, let, strip, title_case
+from siteindex.functions.text import contains_any, contains_any_of, strip, title_case
 
 # --- fixed values: schemes whose references may be relative (RFC 3986 practice) ---
 RELATIVE_SCHEMES = (
@@ -62,123 +62,111 @@ def netloc(url: Column) -> Column:
     return F.regexp_extract(_tidy(url), _URI, 2)
 
 
-def _split_params(scheme: Column, path: Column) -> tuple[Column, Column]:
-    takes_params = scheme.isin(*PARAMS_SCHEMES)
+def _let(value: str, name: str, body: str) -> str:
+    """SQL ``body`` in which ``name`` stands for a value that is worked out once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _quoted(words) -> str:
+    return ", ".join(f"'{word}'" for word in words)
+
+
+def _parts_sql(url: str) -> str:
+    names = ("scheme", "netloc", "path", "query", "fragment")
+    fields = [f"regexp_extract(t, r'{_URI}', {i})" for i in range(1, 6)]
+    fields[0] = f"lower({fields[0]})"
+    pairs = ", ".join(f"'{name}', {field}" for name, field in zip(names, fields))
+    return _let(rf"regexp_replace({url}, r'^[\x00-\x20]+|[\t\r\n]', '')", "t", f"named_struct({pairs})")
+
+
+def _params_sql(scheme: str, path: str, group: int) -> str:
+    otherwise = path if group == 1 else "''"
     return (
-        F.when(takes_params, F.regexp_extract(path, _PARAMS, 1)).otherwise(path),
-        F.when(takes_params, F.regexp_extract(path, _PARAMS, 2)).otherwise(""),
+        f"if({scheme} IN ({_quoted(PARAMS_SCHEMES)}), "
+        f"regexp_extract({path}, r'{_PARAMS}', {group}), {otherwise})"
     )
 
 
-def _compose(scheme, authority, path, params, query, fragment) -> Column:
-    def with_path(path: Column) -> Column:
-        rooted = F.startswith(path, F.lit("/"))
-        return (
-            F.when(
-                authority != "",
-                F.concat(
-                    F.lit("//"), authority, F.when((path != "") & ~rooted, "/").otherwise(""), path
-                ),
-            )
-            .when(F.startswith(path, F.lit("//")), F.concat(F.lit("//"), path))
-            .when((scheme != "") & ((path == "") | rooted), F.concat(F.lit("//"), path))
-            .otherwise(path)
-        )
-
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        let(F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path), with_path),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+def _compose_sql(netloc_: str, path: str, params: str, query: str, fragment: str) -> str:
+    """Address of parts; ``s`` is the scheme."""
+    whole = f"if({params} <> '', concat({path}, ';', {params}), {path})"
+    placed = (
+        f"CASE WHEN {netloc_} <> '' THEN concat('//', {netloc_}, "
+        "if(w <> '' AND NOT startswith(w, '/'), '/', ''), w) "
+        "WHEN startswith(w, '//') THEN concat('//', w) "
+        "WHEN s <> '' AND (w = '' OR startswith(w, '/')) THEN concat('//', w) ELSE w END"
+    )
+    return (
+        f"concat(if(s <> '', concat(s, ':'), ''), {_let(whole, 'w', placed)}, "
+        f"if({query} <> '', concat('?', {query}), ''), "
+        f"if({fragment} <> '', concat('#', {fragment}), ''))"
     )
 
 
-def _walk(base_path: Column, path: Column) -> Column:
-    """Merge a reference path into the base path and resolve dot segments."""
-    head = F.split(base_path, "/")
-    head = F.when(F.element_at(head, -1) != "", F.slice(head, 1, F.size(head) - 1)).otherwise(head)
-
-    def no_gaps(merged: Column) -> Column:
-        return F.filter(merged, lambda s, i: (s != "") | (i == 0) | (i == F.size(merged) - 1))
-
-    def walk(segments: Column) -> Column:
-        walked = F.aggregate(
-            segments,
-            F.array().cast("array<string>"),
-            lambda done, s: F.when(
-                s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-            )
-            .when(s == ".", done)
-            .otherwise(F.array_append(done, s)),
-        )
-        ends_in_dots = F.element_at(segments, -1).isin(".", "..")
-        return F.array_join(
-            F.when(ends_in_dots, F.array_append(walked, F.lit(""))).otherwise(walked), "/"
-        )
-
-    segments = F.when(F.startswith(path, F.lit("/")), F.split(path, "/")).otherwise(
-        let(F.concat(head, F.split(path, "/")), no_gaps)
+def _walk_sql(base_path: str, path: str) -> str:
+    """Reference path merged into the base path, dot segments resolved."""
+    head = f"split({base_path}, '/')"
+    head = f"if(element_at({head}, -1) <> '', slice({head}, 1, size({head}) - 1), {head})"
+    merged = _let(
+        f"concat({head}, split({path}, '/'))",
+        "m",
+        "filter(m, (g, i) -> g <> '' OR i = 0 OR i = size(m) - 1)",
     )
-    return let(let(segments, walk), lambda joined: F.when(joined == "", "/").otherwise(joined))
+    segments = f"if(startswith({path}, '/'), split({path}, '/'), {merged})"
+    walked = (
+        "aggregate(g, cast(array() AS array<string>), (done, x) -> "
+        "CASE WHEN x = '..' THEN slice(done, 1, greatest(size(done) - 1, 0)) "
+        "WHEN x = '.' THEN done ELSE array_append(done, x) END)"
+    )
+    ended = f"if(element_at(g, -1) IN ('.', '..'), array_append({walked}, ''), {walked})"
+    joined = _let(segments, "g", f"array_join({ended}, '/')")
+    return _let(joined, "j", "if(j = '', '/', j)")
+
+
+def resolve_sql(base: str, reference: str, parts: str | None = None) -> str:
+    """SQL text of ``resolve``, for use inside a lambda of a larger expression."""
+    b = "d.b"
+    r_path, r_params = (_params_sql("s", "d.r.path", group) for group in (1, 2))
+    b_path, b_params = (_params_sql(f"{b}.scheme", f"{b}.path", group) for group in (1, 2))
+    host = _compose_sql("d.r.netloc", r_path, r_params, "d.r.query", "d.r.fragment")
+    same_page = _compose_sql(
+        f"{b}.netloc", b_path, b_params, f"if(d.r.query <> '', d.r.query, {b}.query)", "d.r.fragment"
+    )
+    other_page = _compose_sql(
+        f"{b}.netloc", _walk_sql(b_path, r_path), r_params, "d.r.query", "d.r.fragment"
+    )
+    general = (
+        f"CASE WHEN d.r.netloc RLIKE r'{_BAD_BRACKETS}' OR {b}.netloc RLIKE r'{_BAD_BRACKETS}' THEN NULL "
+        f"WHEN s <> {b}.scheme OR s NOT IN ({_quoted(RELATIVE_SCHEMES)}) THEN {reference} "
+        f"WHEN s NOT IN ({_quoted(NO_AUTHORITY_SCHEMES)}) AND d.r.netloc <> '' THEN {host} "
+        f"WHEN {r_path} = '' AND {r_params} = '' THEN {same_page} ELSE {other_page} END"
+    )
+    with_scheme = _let(f"if(d.r.scheme <> '', d.r.scheme, {b}.scheme)", "s", general)
+    known = parts or "p"
+    split = f"named_struct('b', {known}, 'r', {_parts_sql(reference)})"
+    quick = (
+        f"CASE WHEN {base} = '' THEN {reference} WHEN {reference} = '' THEN {base} "
+        f"WHEN {known}.netloc NOT RLIKE r'[\\[\\]]' AND {known}.netloc <> '' "
+        f"AND {known}.scheme IN ('http', 'https') AND {reference} RLIKE r'{_PLAIN_PATH}' "
+        f"THEN concat({known}.scheme, '://', {known}.netloc, {reference}) "
+        f"WHEN {known}.netloc NOT RLIKE r'[\\[\\]]' AND {reference} RLIKE r'{_PLAIN_ADDRESS}' "
+        f"THEN {reference} ELSE {_let(split, 'd', with_scheme)} END"
+    )
+    return quick if parts else _let(_parts_sql(base), "p", quick)
 
 
-def resolve(base: Column, reference: Column, parts: Column | None = None) -> Column:
+def resolve(base: str, reference: str, parts: str | None = None) -> Column:
     """Absolute form of a reference found on a page; NULL if it cannot be read.
 
-    ``parts`` is ``url_parts(base)`` when the caller already holds it, so that the
-    base is split once per page and not once per link.
+    The arguments are column names or SQL expressions. ``parts`` names a column with
+    ``url_parts(base)`` where there is one, so that the base is split once per page.
     """
-    b = url_parts(base) if parts is None else parts
-    return (
-        F.when(base == "", reference)
-        .when(reference == "", base)
-        .when(
-            reference.rlike(_PLAIN_PATH)
-            & b["scheme"].isin("http", "https")
-            & (b["netloc"] != "")
-            & ~b["netloc"].rlike(r"[\[\]]"),
-            F.concat(b["scheme"], F.lit("://"), b["netloc"], reference),
-        )
-        .when(reference.rlike(_PLAIN_ADDRESS) & ~b["netloc"].rlike(r"[\[\]]"), reference)
-        .otherwise(
-            let(
-                F.struct(b.alias("b"), url_parts(reference).alias("r")),
-                lambda both: _resolve_parts(both["b"], both["r"], reference),
-            )
-        )
-    )
+    return F.expr(resolve_sql(base, reference, parts))
 
 
-def _resolve_parts(b: Column, r: Column, reference: Column) -> Column:
-    def with_scheme(scheme: Column) -> Column:
-        r_path, r_params = _split_params(scheme, r["path"])
-        b_path, b_params = _split_params(b["scheme"], b["path"])
-        return (
-            F.when(
-                r["netloc"].rlike(_BAD_BRACKETS) | b["netloc"].rlike(_BAD_BRACKETS),
-                F.lit(None).cast("string"),
-            )
-            .when((scheme != b["scheme"]) | ~scheme.isin(*RELATIVE_SCHEMES), reference)
-            .when(
-                ~scheme.isin(*NO_AUTHORITY_SCHEMES) & (r["netloc"] != ""),
-                _compose(scheme, r["netloc"], r_path, r_params, r["query"], r["fragment"]),
-            )
-            .when(
-                (r_path == "") & (r_params == ""),
-                _compose(
-                    scheme, b["netloc"], b_path, b_params,
-                    F.when(r["query"] != "", r["query"]).otherwise(b["query"]),
-                    r["fragment"],
-                ),
-            )
-            .otherwise(
-                _compose(
-                    scheme, b["netloc"], _walk(b_path, r_path), r_params, r["query"], r["fragment"]
-                )
-            )
-        )
-
-    return let(F.when(r["scheme"] != "", r["scheme"]).otherwise(b["scheme"]), with_scheme)
+def resolve_all(base: str, references: str, parts: str | None = None) -> Column:
+    """The same for an array column of references."""
+    return F.expr(f"transform({references}, h -> {resolve_sql(base, 'h', parts)})")
 
 
 def is_web(url: Column) -> Column:
@@ -223,7 +211,9 @@ def path_title(url: Column) -> Column:
     The last segment's ``;params`` are not part of the path.
     """
     parts = url_parts(url)
-    path, _ = _split_params(parts["scheme"], parts["path"])
+    path = F.when(
+        parts["scheme"].isin(*PARAMS_SCHEMES), F.regexp_extract(parts["path"], _PARAMS, 1)
+    ).otherwise(parts["path"])
     words = F.translate(F.trim(path, F.lit("/")), "-_", "  ")
     return F.when((path != "") & (path != "/"), title_case(words))
 

@@ -13,7 +13,14 @@ from siteindex.constants import (
     UNTITLED,
 )
 from siteindex.functions.text import cut_at, first_where, let, squeeze, strip
-from siteindex.functions.urls import is_bare_host, is_web, netloc, path_title, resolve, slash_depth
+from siteindex.functions.urls import (
+    is_bare_host,
+    is_web,
+    netloc,
+    path_title,
+    resolve_sql,
+    slash_depth,
+)
 from siteindex.operators.views import DOCUMENT, element, has, span, text_of, token
 from siteindex.sources.nodes import HEADINGS, bit
 
@@ -131,28 +138,34 @@ def code_blocks(elements: Column, tokens: Column) -> Column:
     )
 
 
-def page_links(elements: Column, tokens: Column, url: Column, base: Column) -> Column:
-    """Links with text; the ``url`` field is NULL where a link cannot be read."""
-    raw = F.transform(
-        F.filter(
-            elements,
-            lambda n: has(n["own"], bit("a[href]")),
-        ),
+def anchor_texts(elements: Column, tokens: Column) -> Column:
+    """Structs of href and text of the links that have both."""
+    filled = F.transform(
+        F.filter(elements, lambda n: has(n["own"], bit("a[href]"))),
         lambda n: F.struct(n["attrs"]["href"].alias("href"), strip(text_of(tokens, n)).alias("text")),
     )
-    kept = F.filter(raw, lambda a: a["text"] != "")
+    return F.filter(filled, lambda a: a["text"] != "")
 
-    def complete(link: Column) -> Column:
-        return let(
-            resolve(url, link["href"], base),
-            lambda full: F.struct(
-                full.alias("url"),
-                link["text"].alias("text"),
-                F.when(netloc(full) != base["netloc"], "external").otherwise("internal").alias("type"),
-            ),
-        )
 
-    return F.transform(kept, complete)
+def page_links(anchors: str, url: str, parts: str) -> Column:
+    """Structs of url, text and type; the ``url`` is NULL where a link cannot be read.
+
+    Takes column names: that of ``anchor_texts``, the page's URL and its parts.
+    """
+    complete = F.expr(
+        f"transform({anchors}, a -> named_struct('url', {resolve_sql(url, 'a.href', parts)}, "
+        "'text', a.text))"
+    )
+    return F.transform(
+        complete,
+        lambda a: F.struct(
+            a["url"].alias("url"),
+            a["text"].alias("text"),
+            F.when(netloc(a["url"]) != F.col(parts)["netloc"], "external")
+            .otherwise("internal")
+            .alias("type"),
+        ),
+    )
 
 
 def hrefs(nodes_or_elements: Column) -> Column:

@@ -4,10 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_LOW = (1 << 32) - 1
+
+
+def place(major: str, minor: str) -> Column:
+    """Two ordinals in one number that sorts the same way.
+
+    The minimum of a number is kept by hash aggregation, that of a struct needs a sort.
+    """
+    return F.shiftleft(F.col(major).cast("bigint"), 32) + F.col(minor)
+
+
+def major(code: str) -> Column:
+    return F.shiftright(F.col(code), 32).cast("int")
+
+
+def minor(code: str) -> Column:
+    return F.col(code).bitwiseAND(F.lit(_LOW)).cast("int")
+
+
 def numbered(
     df: DataFrame, group: Sequence[str], block: str, order: Sequence[str], name: str
 ) -> DataFrame:

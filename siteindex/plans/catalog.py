@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siteindex.constants import DISCOVERY_SKIP, OTHER_CATEGORY
 from siteindex.functions.text import contains_any_of, first_where
-from siteindex.functions.urls import netloc, resolve, same_site, url_parts
+from siteindex.functions.urls import netloc, resolve_all, same_site, url_parts
 from siteindex.operators import extract as X
 from siteindex.operators.views import CLEANERS, Cleaner
 from siteindex.plans.discover import discover
@@ -33,10 +33,10 @@ def category(url: Column, title: Column, rules: Column) -> Column:
 def page_facts(pages: DataFrame, cleaners: Sequence[Cleaner] = CLEANERS) -> DataFrame:
     """``(url, links, title, description, content)``: all a catalogue needs, one parse."""
     url = F.col("url")
-    read = parsed(pages).withColumn("_base", url_parts(url))
-    read = read.withColumn(
-        "_links", F.transform(X.hrefs(F.col("nodes")), lambda h: resolve(url, h, F.col("_base")))
-    ).withColumn(
+    read = parsed(pages).withColumns(
+        {"_base": url_parts(url), "_hrefs": X.hrefs(F.col("nodes"))}
+    )
+    read = read.withColumn("_links", resolve_all("url", "_hrefs", "_base")).withColumn(
         "site_links",
         F.filter(
             X.readable_head(F.col("_links")),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteindex.constants import CRAWL_MODES, DEFAULT_CRAWL_PAGES, DEFAULT_MAX_DEPTH, DEFAULT_MODE
-from siteindex.operators.ranking import numbered
+from siteindex.operators.ranking import major, minor, numbered, place
 from siteindex.plans.pages import crawl_records
 from siteindex.session import keep
 
@@ -43,8 +43,10 @@ def crawl(
     for depth in range(max_depth + 1):
         first = (
             frontier.groupBy("site_id", "url", "taken")
-            .agg(F.min(F.struct("parent", "pos")).alias("at"))
-            .select("site_id", "url", "taken", "at.parent", "at.pos")
+            .agg(F.min(place("parent", "pos")).alias("at"))
+            .select(
+                "site_id", "url", "taken", major("at").alias("parent"), minor("at").alias("pos")
+            )
         )
         if seen:
             first = first.join(_union(seen), ["site_id", "url"], "left_anti")

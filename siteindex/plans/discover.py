@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteindex.constants import DEFAULT_MAX_PAGES, LINK_SOURCE
 from siteindex.functions.urls import wanted
-from siteindex.operators.ranking import numbered
+from siteindex.operators.ranking import major, minor, numbered, place
 
 
 def seeds(sites: DataFrame) -> DataFrame:
@@ -56,10 +56,10 @@ def candidates(sites: DataFrame, links: DataFrame) -> DataFrame:
         "site_id", "max_pages", "seed",
         F.posexplode(F.array_distinct("listed")).alias("pos", "url"),
     )
-    first = each.groupBy("site_id", "max_pages", "url").agg(
-        F.min(F.struct("seed", "pos")).alias("at")
+    first = each.groupBy("site_id", "max_pages", "url").agg(F.min(place("seed", "pos")).alias("at"))
+    return first.select(
+        "site_id", "max_pages", "url", major("at").alias("seed"), minor("at").alias("pos")
     )
-    return first.select("site_id", "max_pages", "url", "at.seed", "at.pos")
 
 
 def discover(sites: DataFrame, links: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from siteindex.constants import (
     FAILED_TITLE,
     TEXT_REMOVED_TAGS,
 )
-from siteindex.functions.urls import link_matches, resolve, same_site, url_parts
+from siteindex.functions.urls import link_matches, resolve_all, same_site, url_parts
 from siteindex.operators import extract as X
 from siteindex.operators.markdown import markdown
 from siteindex.operators.views import (
@@ -72,7 +72,9 @@ def extracted(
     )
     if later != view:
         fields = with_tokens(fields, later)
-    fields = fields.withColumn("links", X.page_links(elements, tokens, url, F.col("base")))
+    fields = fields.withColumn("anchors", X.anchor_texts(elements, tokens)).withColumn(
+        "links", X.page_links("anchors", "url", "base")
+    )
     failed = F.col("nodes").isNull() | F.exists("links", lambda a: a["url"].isNull())
     fields = fields.withColumn("failed", failed)
 
@@ -121,9 +123,7 @@ def site_links(pages: DataFrame) -> DataFrame:
     url = F.col("url")
     hrefs = fetched(pages).select("url", X.hrefs(anchors(F.col("html"))).alias("hrefs"))
     based = hrefs.withColumn("base", url_parts(url))
-    complete = based.withColumn(
-        "links", F.transform("hrefs", lambda href: resolve(url, href, F.col("base")))
-    )
+    complete = based.withColumn("links", resolve_all("url", "hrefs", "base"))
     return complete.select(
         "url",
         F.filter(
@@ -142,16 +142,17 @@ def crawl_records(pages: DataFrame, mode: str, keep_html: bool = False) -> DataF
     _, words, width = CRAWL_MODES[mode]
     url, n = F.col("url"), F.col("nodes")
     read = fetched(pages).withColumn("nodes", nodes(F.col("html"))).where(n.isNotNull())
-    read = with_view(read, CRAWLED).withColumn("base", url_parts(url))
-    kept_elements = F.filter(n, lambda node: element(node, CRAWLED))
+    read = with_view(read, CRAWLED).withColumns(
+        {
+            "base": url_parts(url),
+            "hrefs": X.hrefs(n),
+            "kept_hrefs": X.hrefs(F.filter(n, lambda node: element(node, CRAWLED))),
+        }
+    )
     read = read.withColumns(
         {
-            "all_links": F.transform(
-                X.hrefs(n), lambda href: resolve(url, href, F.col("base"))
-            ),
-            "kept_links": F.transform(
-                X.hrefs(kept_elements), lambda href: resolve(url, href, F.col("base"))
-            ),
+            "all_links": resolve_all("url", "hrefs", "base"),
+            "kept_links": resolve_all("url", "kept_hrefs", "base"),
         }
     ).where(~F.exists("kept_links", lambda u: u.isNull()))
     follow = F.when(

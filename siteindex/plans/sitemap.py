@@ -17,7 +17,12 @@ from siteindex.constants import (
 from siteindex.functions.text import contains_any
 from siteindex.functions.urls import valid_sitemap_url
 from siteindex.session import keep
-from siteindex.sources.sitemaps import existing, html_locations, robots_sitemaps, sitemap_documents
+from siteindex.sources.sitemaps import (
+    existing,
+    robots_sitemaps,
+    sitemap_documents,
+    with_html_locations,
+)
 
 
 def _named(sites: DataFrame, responses: DataFrame) -> DataFrame:
@@ -73,8 +78,9 @@ def html_sitemap_urls(sites: DataFrame, responses: DataFrame) -> DataFrame:
     bodies = responses.where(F.col("status") == 200).select(
         F.col("url").alias("page_url"), "body"
     )
-    read = bodies.join(asked.select("page_url").distinct(), "page_url", "left_semi").select(
-        "page_url", html_locations(F.col("page_url"), F.col("body")).alias("locations")
+    wanted = bodies.join(asked.select("page_url").distinct(), "page_url", "left_semi")
+    read = with_html_locations(wanted, "page_url", F.col("body")).select(
+        "page_url", F.col("_links").alias("locations")
     )
     return asked.join(read, "page_url").select(
         "site_id", "base_url", F.explode("locations").alias("url")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siteindex.constants import SITEMAP_NAMESPACE
 from siteindex.functions.text import strip
-from siteindex.functions.urls import is_web, resolve, url_parts
+from siteindex.functions.urls import is_web, resolve, resolve_all, url_parts
 from siteindex.operators import extract as X
 from siteindex.sources.nodes import anchors
 
@@ -29,7 +29,7 @@ _ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([^\s/>]+)"
 def robots_sitemaps(sites: DataFrame, responses: DataFrame) -> DataFrame:
     """``(site_id, base_url, pos, sitemap_url)`` named by each site's robots.txt."""
     asked = sites.select(
-        "site_id", "base_url", resolve(F.col("base_url"), F.lit("/robots.txt")).alias("url")
+        "site_id", "base_url", resolve("base_url", "'/robots.txt'").alias("url")
     )
     files = responses.where(F.col("status") == 200).select("url", "body")
     lines = asked.join(files, "url").select(
@@ -47,7 +47,7 @@ def existing(sites: DataFrame, responses: DataFrame, paths: Sequence[str]) -> Da
     asked = sites.select(
         "site_id", "base_url", F.posexplode(F.array(*map(F.lit, paths))).alias("pos", "path")
     ).select(
-        "site_id", "base_url", "pos", resolve(F.col("base_url"), F.col("path")).alias("sitemap_url")
+        "site_id", "base_url", "pos", resolve("base_url", "path").alias("sitemap_url")
     )
     there = responses.where(F.col("status") == 200).select(F.col("url").alias("sitemap_url"))
     return asked.join(there, "sitemap_url", "left_semi")
@@ -71,13 +71,13 @@ def _locations(entries: Column) -> Column:
     )
 
 
-def html_locations(url: Column, body: Column) -> Column:
-    """Web links of a page up to the first that cannot be read."""
-    base = url_parts(url)
-    links = F.transform(X.hrefs(anchors(body)), lambda href: resolve(url, href, base))
-    return F.coalesce(
-        F.filter(X.readable_head(links), is_web), F.array().cast("array<string>")
-    )
+def with_html_locations(df: DataFrame, url: str, body: Column) -> DataFrame:
+    """Add ``_links``: web links of an HTML body up to the first that cannot be read."""
+    read = df.withColumns({"_hrefs": X.hrefs(anchors(body)), "_base": url_parts(F.col(url))})
+    read = read.withColumn("_links", resolve_all(url, "_hrefs", "_base"))
+    links = F.filter(X.readable_head(F.col("_links")), is_web)
+    none = F.array().cast("array<string>")
+    return read.withColumn("_links", F.coalesce(links, none)).drop("_hrefs", "_base")
 
 
 def sitemap_documents(responses: DataFrame) -> DataFrame:
@@ -88,7 +88,8 @@ def sitemap_documents(responses: DataFrame) -> DataFrame:
     """
     xml = is_xml(F.col("content_type"), F.col("body"))
     split = responses.withColumn("_xml", xml)
-    read = split.withColumns(
+    read = with_html_locations(split, "url", F.when(~F.col("_xml"), F.col("body")))
+    read = read.withColumns(
         {
             "_tree": F.from_xml(
                 F.when(F.col("_xml") & F.contains("body", F.lit(SITEMAP_NAMESPACE)), F.col("body")),
@@ -96,7 +97,6 @@ def sitemap_documents(responses: DataFrame) -> DataFrame:
                 _XML_OPTIONS,
             ),
             "_index": F.contains(F.regexp_extract("body", _ROOT, 1), F.lit("sitemapindex")),
-            "_links": html_locations(F.col("url"), F.when(~F.col("_xml"), F.col("body"))),
         }
     )
     none = F.array().cast("array<string>")

@@ -79,7 +79,7 @@ def _all_links(pages):
     found = found.withColumn("base", urls.url_parts(url)).select(
         "page_id", "url", F.posexplode("hrefs").alias("pos", "href"), "base"
     )
-    return found.withColumn("link", urls.resolve(url, F.col("href"), F.col("base")))
+    return found.withColumn("link", urls.resolve("url", "href", "base"))
 
 
 @query
