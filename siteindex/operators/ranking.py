@@ -33,7 +33,8 @@ def numbered(
     """Position of each row in its group, from 0, by ``block`` and then ``order``.
 
     Only rows of one block are sorted together; the counts of the blocks before it give
-    the rest. A group that holds much of the table is so spread over many tasks.
+    the rest. A group that holds much of the table is so spread over many tasks. ``df``
+    is read twice: pass a written table.
     """
     inner = Window.partitionBy(*group, block).orderBy(*order)
     earlier = (

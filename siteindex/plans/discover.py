@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteindex.constants import DEFAULT_MAX_PAGES, LINK_SOURCE
 from siteindex.functions.urls import wanted
 from siteindex.operators.ranking import major, minor, numbered, place
+from siteindex.session import keep
 
 
 def seeds(sites: DataFrame) -> DataFrame:
@@ -63,8 +64,13 @@ def candidates(sites: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def discover(sites: DataFrame, links: DataFrame) -> DataFrame:
-    """``(site_id, url, source, rank)``: up to ``max_pages`` pages per site, in order."""
-    ranked = numbered(candidates(sites, links), ["site_id"], "seed", ["pos"], "rank")
+    """``(site_id, url, source, rank)``: up to ``max_pages`` pages per site, in order.
+
+    Numbering reads the candidates twice, so they are written first: narrow rows, while
+    ``links`` may have the parser behind it.
+    """
+    first = keep(candidates(sites, links), "candidates")
+    ranked = numbered(first, ["site_id"], "seed", ["pos"], "rank")
     return ranked.where(F.col("rank") < F.col("max_pages")).select(
         "site_id", "url", F.lit(LINK_SOURCE).alias("source"), "rank"
     )

@@ -356,6 +356,12 @@ def _anchor_nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     yield from _read_batches(batches, bit("a"))
 
 
+# Filters over a parsed page would be pushed below the parser and parse it again;
+# what is not deterministic stays where it is, so each page is parsed once.
+_all_nodes = _all_nodes.asNondeterministic()
+_anchor_nodes = _anchor_nodes.asNondeterministic()
+
+
 def nodes(html: Column) -> Column:
     """Node array of a page; NULL for NULL or HTML the tokenizer rejects."""
     return _all_nodes(html)

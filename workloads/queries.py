@@ -36,6 +36,16 @@ def query(function: Query) -> Query:
     return function
 
 
+def _each(df: DataFrame, keys: list, array: str, item: str) -> DataFrame:
+    """Array items as rows with their place.
+
+    An inner ``posexplode`` adds a filter on the array's size that works out the whole
+    array a second time; the outer form does not.
+    """
+    rows = df.select(*keys, F.posexplode_outer(array).alias("pos", item))
+    return rows.where(F.col("pos").isNotNull())
+
+
 def _long(name: str):
     return F.col(name).cast("bigint").alias(name)
 
@@ -76,10 +86,10 @@ def requested_sites(spark, sf_dir):
 def _all_links(pages):
     url = F.col("url")
     found = fetched(pages).select("page_id", "url", X.hrefs(anchors(F.col("html"))).alias("hrefs"))
-    found = found.withColumn("base", urls.url_parts(url)).select(
-        "page_id", "url", F.posexplode("hrefs").alias("pos", "href"), "base"
+    based = found.withColumn("base", urls.url_parts(url))
+    return _each(based, ["page_id", "url", "base"], "hrefs", "href").withColumn(
+        "link", urls.resolve("url", "href", "base")
     )
-    return found.withColumn("link", urls.resolve("url", "href", "base"))
 
 
 @query
@@ -148,9 +158,7 @@ def main_text_traverser(spark, sf_dir):
 @query
 def record_links(spark, sf_dir):
     records = P.crawl_records(inputs.linked_pages(spark, sf_dir), "docs")
-    return records.select("url", F.posexplode("links").alias("pos", "link")).select(
-        "url", _long("pos"), "link"
-    )
+    return _each(records, ["url"], "links", "link").select("url", _long("pos"), "link")
 
 
 @query
@@ -161,8 +169,7 @@ def descriptions(spark, sf_dir):
 @query
 def headings(spark, sf_dir):
     done = P.processed(inputs.rich_pages(spark, sf_dir))
-    each = done.select("url", F.posexplode("headings").alias("pos", "h"))
-    return each.select(
+    return _each(done, ["url"], "headings", "h").select(
         "url", _long("pos"), F.col("h.level").cast("bigint").alias("level"), "h.text",
         F.col("h.id").alias("anchor"),
     )
@@ -171,15 +178,13 @@ def headings(spark, sf_dir):
 @query
 def code_blocks(spark, sf_dir):
     done = P.processed(inputs.rich_pages(spark, sf_dir))
-    each = done.select("url", F.posexplode("code_blocks").alias("pos", "c"))
-    return each.select("url", _long("pos"), "c.type", "c.language", "c.content")
+    return _each(done, ["url"], "code_blocks", "c").select("url", _long("pos"), "c.type", "c.language", "c.content")
 
 
 @query
 def internal_external_links(spark, sf_dir):
     done = P.processed(inputs.linked_pages(spark, sf_dir))
-    each = done.select("url", F.posexplode("links").alias("pos", "a"))
-    return each.select(
+    return _each(done, ["url"], "links", "a").select(
         "url", _long("pos"), F.col("a.url").alias("link"), "a.text", "a.type"
     )
 
