@@ -21,7 +21,7 @@ from siteindex.functions.urls import (
     resolve_sql,
     slash_depth,
 )
-from siteindex.operators.views import DOCUMENT, element, has, span, text_of, token
+from siteindex.operators.views import DOCUMENT, element, has, plausible, span, text_of, token
 from siteindex.sources.nodes import HEADINGS, bit
 
 
@@ -34,6 +34,17 @@ def _texts(elements: Column, tokens: Column, *selectors: str) -> Column:
     return F.transform(_having(elements, *selectors), lambda n: strip(text_of(tokens, n)))
 
 
+def _first_text(places: Column, tokens: Column, test) -> Column:
+    """First stripped text that passes a test; texts after it are not put together."""
+    return F.aggregate(
+        places,
+        F.lit(None).cast("string"),
+        lambda found, n: F.when(found.isNotNull(), found).otherwise(
+            let(strip(text_of(tokens, n)), lambda t: F.when(test(t), t))
+        ),
+    )
+
+
 def _meta(elements: Column, attribute: str, value: str) -> Column:
     """Content of the first meta element of that name; NULL if missing or empty."""
     found = first_where(
@@ -47,7 +58,7 @@ def title(elements: Column, tokens: Column, url: Column) -> Column:
     own_title = cut_at(F.get(_texts(elements, tokens, "title"), F.lit(0)), TITLE_SEPARATORS)
     return F.coalesce(
         let(own_title, lambda t: F.when(F.length(t) > 3, t)),
-        first_where(_texts(elements, tokens, "h1"), lambda t: F.length(t) > 3),
+        _first_text(_having(elements, "h1"), tokens, lambda t: F.length(t) > 3),
         _meta(elements, "name", "title"),
         F.nullif(path_title(url), F.lit("")),
         F.lit(UNTITLED),
@@ -77,8 +88,10 @@ def description(elements: Column, tokens: Column) -> Column:
     return F.coalesce(
         _meta(elements, "name", "description"),
         _meta(elements, "property", "og:description"),
-        first_where(
-            _texts(elements, tokens, "p"), lambda t: (F.length(t) > 50) & (F.length(t) < 300)
+        _first_text(
+            plausible(_having(elements, "p"), tokens, 50, 300),
+            tokens,
+            lambda t: (F.length(t) > 50) & (F.length(t) < 300),
         ),
         F.lit(""),
     )

@@ -172,6 +172,76 @@ def text_of(tokens: Column, place: Column) -> Column:
     return F.array_join(span(tokens, place), "")
 
 
+_BLOCK = 256
+
+
+def plausible(places: Column, tokens: Column, above: int, below: int) -> Column:
+    """Places whose stripped text may be longer than ``above`` and shorter than ``below``.
+
+    Paragraphs that are never closed nest, and together span far more nodes than the
+    page has. In that case lengths come from sums over blocks of tokens, so that no
+    long text is put together only to be refused. Other pages pass as they are.
+    """
+    nested = F.aggregate(
+        places, F.lit(0).cast("bigint"), lambda sum_, n: sum_ + n["last"] - n["id"]
+    ) > F.lit(20_000) + F.size(tokens) * 20
+
+    def lengths(items: Column) -> Column:
+        # at least and at most what an item adds to a stripped text
+        return F.aggregate(
+            items,
+            _pair(F.lit(0), F.lit(0)),
+            lambda sum_, t: _pair(sum_["least"] + F.length(strip(t)), sum_["most"] + F.length(t)),
+        )
+
+    def running(sums: Column) -> Column:
+        return F.aggregate(
+            sums,
+            F.array(_pair(F.lit(0), F.lit(0))),
+            lambda done, s: F.array_append(
+                done,
+                _pair(
+                    F.element_at(done, -1)["least"] + s["least"],
+                    F.element_at(done, -1)["most"] + s["most"],
+                ),
+            ),
+        )
+
+    starts = F.sequence(F.lit(0), F.floor(F.size(tokens) / _BLOCK).cast("int"))
+    blocks = F.transform(starts, lambda b: lengths(F.slice(tokens, b * _BLOCK + 1, _BLOCK)))
+
+    def fitting(before: Column) -> Column:
+        def up_to(position: Column) -> Column:
+            block = F.floor(position / _BLOCK).cast("int")
+            rest = lengths(F.slice(tokens, block * _BLOCK + 1, position % _BLOCK))
+            return F.transform(
+                F.array(rest),
+                lambda r: _pair(
+                    F.get(before, block)["least"] + r["least"],
+                    F.get(before, block)["most"] + r["most"],
+                ),
+            )[0]
+
+        measured = F.transform(
+            places,
+            lambda n: F.struct(
+                n.alias("n"), up_to(n["id"]).alias("a"), up_to(n["last"] + 1).alias("z")
+            ),
+        )
+        kept = F.filter(
+            measured,
+            lambda m: (m["z"]["most"] - m["a"]["most"] > above)
+            & (m["z"]["least"] - m["a"]["least"] < below),
+        )
+        return F.transform(kept, lambda m: m["n"])
+
+    return F.when(nested, let(running(blocks), fitting)).otherwise(places)
+
+
+def _pair(least: Column, most: Column) -> Column:
+    return F.struct(least.cast("int").alias("least"), most.cast("int").alias("most"))
+
+
 def with_view(df: DataFrame, view: View = CLEANED, nodes: str = "nodes") -> DataFrame:
     """Add what the extractors read: ``place``, ``tokens``, ``elements``, ``contained``.
 
