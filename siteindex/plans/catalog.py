@@ -70,10 +70,11 @@ def build_catalog(discovered: DataFrame, facts: DataFrame, sites: DataFrame) ->
     """``(site_id, rank, url, title, description, content, category, source)``.
 
     Pages that were not found are left out. The rules join the discovered rows before
-    the text does, so the text is shuffled once, by URL.
+    the text does. The result is written, so that its size decides how it is joined to
+    the text: a short list is broadcast, else the text is shuffled once, by URL.
     """
     rules = sites.select("site_id", "category_rules")
-    listed = discovered.join(rules, "site_id", "left")
+    listed = keep(discovered.join(rules, "site_id", "left"), "listed")
     found = listed.join(
         facts.select("url", "title", "description", "content"), "url"
     )
@@ -89,9 +90,7 @@ def catalog(
     """Discover, process and categorise.
 
     The parsed facts are written once, as a narrow table, and read by both the
-    discovery (links) and the catalogue (text): pages are parsed once. The discovered
-    rows are written too, so that their size decides how they are joined to the text.
+    discovery (links) and the catalogue (text): pages are parsed once.
     """
     facts = keep(page_facts(pages_of_sites(pages, sites), cleaners), "facts")
-    found = keep(discover(sites, facts.select("url", "links")), "discovered")
-    return build_catalog(found, facts, sites)
+    return build_catalog(discover(sites, facts.select("url", "links")), facts, sites)

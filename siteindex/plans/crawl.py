@@ -32,7 +32,7 @@ def crawl(
     """
     mode = mode if mode in CRAWL_MODES else DEFAULT_MODE
     label = CRAWL_MODES[mode][0]
-    records = keep(crawl_records(pages, mode, keep_html), "records")
+    records = keep(crawl_records(pages, mode), "records")
     follow = records.select("url", "follow")
 
     frontier = starts.select(
@@ -76,10 +76,13 @@ def crawl(
             F.posexplode("follow").alias("pos", "url"),
         )
 
-    visited = _union(steps).drop("follow")
-    return visited.join(records.drop("follow"), "url").withColumn(
+    # written, so that few visited pages are broadcast to the records and not the
+    # records shuffled to them
+    visited = keep(_union(steps).drop("follow"), "visited")
+    crawled = visited.join(records.drop("follow"), "url").withColumn(
         "traversal_mode", F.lit(label)
     )
+    return crawled.join(pages.select("url", "html"), "url") if keep_html else crawled
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

@@ -133,7 +133,7 @@ def site_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def crawl_records(pages: DataFrame, mode: str, keep_html: bool = False) -> DataFrame:
+def crawl_records(pages: DataFrame, mode: str) -> DataFrame:
     """What a crawl reads from each page, and the few links it would follow.
 
     A page with an unreadable link in its kept part gives no record; one with such a
@@ -141,7 +141,7 @@ def crawl_records(pages: DataFrame, mode: str, keep_html: bool = False) -> DataF
     """
     _, words, width = CRAWL_MODES[mode]
     url, n = F.col("url"), F.col("nodes")
-    read = fetched(pages).withColumn("nodes", nodes(F.col("html"))).where(n.isNotNull())
+    read = parsed(pages).where(n.isNotNull())
     read = with_view(read, CRAWLED).withColumns(
         {
             "base": url_parts(url),
@@ -165,8 +165,6 @@ def crawl_records(pages: DataFrame, mode: str, keep_html: bool = False) -> DataF
         X.web_links(F.col("kept_links")).alias("links"),
         follow.alias("follow"),
     ]
-    if keep_html:
-        columns.insert(2, F.col("html"))
     if mode == "map":
         columns.append(X.structure(n, url).alias("structure_info"))
     return read.select(*columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteindex.session import keep
+
 PAGES = "page_id bigint, url string, html string"
 RESPONSES = "url string, status int, content_type string, body string"
 
@@ -13,11 +15,33 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Snapshot table ``pages(page_id, url, html)``; one row per URL.
 
     Parsing is bound by CPU. Where the files give fewer partitions than the session
-    has cores, the pages are spread by URL; that moves less than one split per core.
+    has cores, the pages are spread by id; that moves less than one split per core.
     """
     pages = spark.read.parquet(path).select("page_id", "url", "html")
     cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores, "url") if pages.rdd.getNumPartitions() < cores else pages
+    return pages.repartition(cores, "page_id") if pages.rdd.getNumPartitions() < cores else pages
+
+
+def first_copies(pages: DataFrame) -> DataFrame:
+    """One page per URL, that with the lowest id, for snapshots that hold copies.
+
+    Counts per URL read no HTML and combine before the shuffle, so a URL with very many
+    copies is no burden. Only URLs that do have copies join the pages; where there are
+    none the pages are returned as they are.
+    """
+    copies = (
+        pages.groupBy("url")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
+        .where(F.col("n") > 1)
+        .select("url", "first")
+    )
+    copies = keep(copies, "copies")
+    if copies.isEmpty():
+        return pages
+    kept = pages.join(copies, "url", "left").where(
+        F.col("first").isNull() | (F.col("page_id") == F.col("first"))
+    )
+    return kept.select("page_id", "url", "html")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,7 @@ from siteindex.plans.discover import discover
 from siteindex.plans.pages import site_links
 from siteindex.plans.run import run
 from siteindex.session import keep
+from siteindex.sources.snapshot import first_copies
 
 RULES = [("API", ["/api/"], ["api"]), ("Guide", None, ["guide", "Never"]), ("Zed", ["/z"], None)]
 
@@ -255,6 +256,15 @@ def test_crawl_map_has_structure_and_html(spark, pages):
     assert row.traversal_mode == "structure" and row.structure_info.heading_count == 1 and row.html.startswith("<article>")
 
 
+def test_first_copies(spark, pages):
+    assert first_copies(pages) is pages
+    hot = "https://h0.org/docs/0"
+    copies = spark.range(500).select((F.col("id") + 10_000).alias("page_id"), F.lit(hot).alias("url"), F.lit("<p>old</p>").alias("html"))
+    kept = first_copies(pages.unionByName(copies))
+    assert kept.count() == pages.count()
+    assert kept.where(F.col("url") == hot).first().page_id == 0
+
+
 def test_numbered_spreads_a_hot_group(spark):
     rows = [("hot", i // 10, i % 10) for i in range(1000)] + [("cold", 5, 1), ("cold", 2, 9)]
     random.Random(1).shuffle(rows)
