@@ -267,3 +267,14 @@ def run_summary(requests: DataFrame, catalog: DataFrame, output_directory: str)
         .alias("files_generated"),
         F.when(failed, "").otherwise(F.lit(output_directory)).alias("output_directory"),
     )
+
+
+def with_contents(summary: DataFrame, documents: DataFrame) -> DataFrame:
+    """Add ``files_content``, the documents of each site by artifact; empty if none."""
+    contents = documents.groupBy("site_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("artifact", "text"))).alias("files_content")
+    )
+    none = F.create_map().cast("map<string,string>")
+    return summary.join(contents, "site_id", "left").withColumn(
+        "files_content", F.coalesce("files_content", none)
+    )

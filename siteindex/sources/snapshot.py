@@ -54,10 +54,13 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def pages_of(responses: DataFrame) -> DataFrame:
-    """Pages that a download would have returned: no error status."""
-    ok = F.col("status") < 400
-    return responses.where(ok).select(
+def pages_of(responses: DataFrame, crawl: bool = False) -> DataFrame:
+    """Pages that a download would have returned: no error status.
+
+    A crawl only takes pages with status 200.
+    """
+    status = F.col("status")
+    return responses.where(status == 200 if crawl else status < 400).select(
         F.xxhash64("url").alias("page_id"), "url", F.col("body").alias("html")
     )
 

@@ -221,6 +221,14 @@ def test_run_summary(spark, built):
         assert rows[site].error == "URL is required and cannot be empty"
 
 
+def test_contents_join_the_summary(spark, sites, built):
+    requests = spark.createDataFrame([("s0", "e.com"), ("blank", "")], "site_id string, url string")
+    texts = render.documents(render.lines(sites, built, ("index", "full")))
+    rows = {r.site_id: r for r in render.with_contents(render.run_summary(requests, built, "/o"), texts).collect()}
+    assert set(rows["s0"].files_content) == {"index", "full"} and rows["blank"].files_content == {}
+    assert rows["s0"].files_content["index"].startswith("# Name s0\n\n> About s0\n\nMore\n\n## ")
+
+
 def walk(start, mode, max_pages, max_depth):
     _, words, width = CRAWL_MODES[mode]
     queue, seen, out = [(start, 0)], set(), []

@@ -102,6 +102,13 @@ def test_pages_of_responses(snapshot):
     assert f"{E}/links" not in urls and f"{E}/gone.xml" not in urls and f"{E}/a.xml" in urls
 
 
+def test_crawl_takes_only_status_200(spark):
+    rows = [("a", 200, None, "x"), ("b", 304, None, "x"), ("c", 404, None, "x")]
+    df = spark.createDataFrame(rows, RESPONSES)
+    assert [r.url for r in pages_of(df).orderBy("url").collect()] == ["a", "b"]
+    assert [r.url for r in pages_of(df, crawl=True).collect()] == ["a"]
+
+
 def test_read_files(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>x</p>\n<p>y</p>")
     rows = read_files(spark, str(tmp_path / "*.html")).collect()

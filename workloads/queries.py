@@ -128,6 +128,12 @@ def page_lookup(spark, sf_dir):
     return found.select("url", F.length("html").cast("bigint").alias("n_chars"))
 
 
+@query
+def crawl_lookup(spark, sf_dir):
+    found = fetched(pages_of(inputs.page_responses(spark, sf_dir), crawl=True))
+    return found.select("url", F.length("html").cast("bigint").alias("n_chars"))
+
+
 @query
 def clean_text(spark, sf_dir):
     return P.processed(inputs.pages(spark, sf_dir)).select("url", "main_content")
