@@ -1,5 +1,7 @@
 """Session settings and tables kept in the cluster's shared folder."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -9,13 +11,36 @@ ARROW_ROWS = 256  # pages per Arrow batch; pages are large, the default of 10,00
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings the page parser wants; everything else stays with the cluster."""
+    """Runtime settings the page parser wants; everything else stays with the cluster.
+
+    The Python workers import the parser from this package, so it is sent to them.
+    """
+    _ship_package(spark)
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if not 0 < rows <= ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="siteindex-"), "siteindex"),
+            "zip",
+            root_dir=os.path.dirname(package),
+            base_dir=os.path.basename(package),
+        )
+        context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
