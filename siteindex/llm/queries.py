@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteindex.llm import line_dedup, sharding
+from siteindex.llm import line_dedup, sharding, tokens
 from siteindex.llm.common import LOWER, UPPER, table
 from siteindex.session import configure
 
@@ -24,6 +24,19 @@ def query(function: Query) -> Query:
     return function
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; it is installed where the workers run."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return tokens.read_tokens(tokens.write_tokens(docs, tokenizer_file("word_bpe_49k.json")))
+
+
 @query
 def op2_line_dedup(spark, sf_dir):
     kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"))

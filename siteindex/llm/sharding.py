@@ -23,7 +23,7 @@ from siteindex.llm.common import id_key, ranked, whole_text, written
 
 SEED = 20_11
 #: Rows that one task sorts at most, about.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 10_000
 
 
 def assign_shards(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
