@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteindex.llm import line_dedup, sharding, tokens
+from siteindex.llm import line_dedup, sharding, simhash, tokens
 from siteindex.llm.common import LOWER, UPPER, table
 from siteindex.session import configure
 
@@ -69,6 +69,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_sharding(spark, sf_dir):
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
