@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteindex.llm import line_dedup, sharding, simhash, tokens
+from siteindex.llm import line_dedup, sharding, simhash, substring, tokens
 from siteindex.llm.common import LOWER, UPPER, table
 from siteindex.session import configure
 
@@ -74,6 +74,12 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_substring_dedup(spark, sf_dir):
+    kept = substring.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op10_sharding(spark, sf_dir):
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
