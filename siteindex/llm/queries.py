@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteindex.llm import line_dedup, sharding, simhash, substring, tokens
+from siteindex.llm import (
+    decontaminate,
+    line_dedup,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    tokens,
+)
 from siteindex.llm.common import LOWER, UPPER, table
 from siteindex.session import configure
 
@@ -74,6 +82,22 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_decontaminate(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, items)
+
+
+@query
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select(
+        "doc_id", quality.held_out().alias("held_out"), quality.score(docs, model).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 @query
 def op9_substring_dedup(spark, sf_dir):
     kept = substring.drop_repeats(table(spark, sf_dir, "documents"))
