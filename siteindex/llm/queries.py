@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteindex.llm import (
+    ann,
     decontaminate,
     line_dedup,
     quality,
@@ -88,6 +89,12 @@ def op4_decontaminate(spark, sf_dir):
     return decontaminate.contamination(docs, items)
 
 
+@query
+def op6_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 @query
 def op8_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
