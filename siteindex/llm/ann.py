@@ -4,8 +4,7 @@ Inner products become distances by one more component, which brings all vectors
 On a bounded sample (``SAMPLE_ROWS`` rows of smallest hash) balanced bisection finds centroids;
 a neighbour graph over them is kept in memory and searched best-first for many vectors at once.
 Every vector goes to the list of its nearest centroid, and a vector near a border to further
-lists whose distance is within ``BORDER`` of the nearest, unless another chosen centroid lies
-nearer to that centroid. A query reads the lists within ``REACH`` of its nearest centroid, and
+lists whose distance is within ``BORDER`` of the nearest, ``REPLICAS`` in all. A query reads the lists within ``REACH`` of its nearest centroid, and
 more until they hold ``ENOUGH`` rows for each neighbour wanted. Scores are inner products of the
 original vectors in double precision.
 
@@ -33,8 +32,8 @@ from siteindex.llm.common import KEY, id_key, id_of, written
 NEIGHBOURS = 20
 SAMPLE_ROWS, LIST_ROWS, PART_ROWS, SEED = 20_000, 150, 4_000, 6
 #: At most this many lists hold a vector, and the beam of a search over centroids.
-REPLICAS, BEAM, DEGREE, ENTRIES = 6, 48, 24, 16
-BORDER, REACH, ENOUGH = 0.12, 0.25, 30
+REPLICAS, BEAM, DEGREE, ENTRIES = 4, 64, 24, 16
+BORDER, REACH, ENOUGH = 0.12, 0.5, 30
 
 
 def usable(vector: str) -> Column:
@@ -113,14 +112,8 @@ class Centroids:
     def homes(self, vectors: np.ndarray) -> list[np.ndarray]:
         """The lists of each vector."""
         ids, far = self.nearest(vectors, 4 * REPLICAS)
-        chosen = np.zeros(ids.shape, bool)
-        chosen[:, 0] = True
-        for i in range(1, ids.shape[1]):
-            near = (far[:, i] <= (1 + BORDER) * far[:, 0]) & (chosen.sum(1) < REPLICAS)
-            for j in range(i):
-                apart = np.sqrt(((self.points[ids[:, i]] - self.points[ids[:, j]]) ** 2).sum(1))
-                near &= ~chosen[:, j] | (apart > far[:, i])
-            chosen[:, i] = near
+        chosen = np.isfinite(far) & (far <= (1 + BORDER) * far[:, :1])
+        chosen[:, REPLICAS:] = False
         return [i[c] for i, c in zip(ids, chosen, strict=True)]
 
     def lists_for(self, vectors: np.ndarray, sizes: np.ndarray, rows: int) -> list[np.ndarray]:
