@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from siteindex.llm import (
     ann,
+    chat,
     decontaminate,
     line_dedup,
+    mixing,
     quality,
     sharding,
     simhash,
@@ -89,12 +91,59 @@ def op4_decontaminate(spark, sf_dir):
     return decontaminate.contamination(docs, items)
 
 
+@query
+def op5_chat(spark, sf_dir):
+    return chat.chat_texts(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op5_chat"] = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+wholes AS (
+  SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn) AS said,
+         count(*) AS n_turns
+  FROM turns GROUP BY conv_id
+),
+prefixes AS (
+  SELECT DISTINCT said[1:k] AS said
+  FROM (SELECT said, unnest(range(1, n_turns)) AS k FROM wholes)
+),
+kept AS (
+  SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_equal
+  FROM wholes WHERE said NOT IN (SELECT said FROM prefixes) GROUP BY said, n_turns
+),
+placed AS (
+  SELECT t.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM turns t
+)
+SELECT conv_id, n_turns, n_equal, place // 1024 AS part,
+       string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '')
+                  || '<|end|>' || chr(10), '' ORDER BY place) AS text
+FROM placed JOIN kept USING (conv_id) GROUP BY conv_id, n_turns, n_equal, place // 1024
+"""
+
+
 @query
 def op6_neighbours(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
 
 
+#: Domains of the labelled table, and the share of tokens that each is to have.
+TARGETS = {"prose": 0.85, "poor": 0.08, "toxic": 0.07}
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    """A domain for each labelled document: toxic, else by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "prose")
+    return labels.select("doc_id", domain.when(F.col("quality") == 0, "poor").alias("domain"))
+
+
+@query
+def op7_mixing(spark, sf_dir):
+    labelled = labelled_domains(table(spark, sf_dir, "labels"))
+    rates = mixing.mixture(table(spark, sf_dir, "documents"), labelled, TARGETS)
+    return mixing.mixed_report(rates, TARGETS)
+
+
 @query
 def op8_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
