@@ -180,15 +180,17 @@ def is_contaminated(
     docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS
 ) -> Column:
     """Whether a text of ``docs`` holds any item."""
-    result = F.lit(False)
-    for texts, _ in _blocks(items, min_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(texts)
 
+    def search(sent):
         @F.pandas_udf("boolean")
-        def holds(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
+        def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             ready = Items(sent.value, error_rate)
             for batch in batches:
                 yield pd.Series([any(True for _ in ready.matches(t or "")) for t in batch], dtype=bool)
 
-        result = result | holds(F.col("text"))
+        return holds(F.col("text"))
+
+    result = F.lit(False)
+    for texts, _ in _blocks(items, min_chars):
+        result = result | search(docs.sparkSession.sparkContext.broadcast(texts))
     return result
