@@ -87,9 +87,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _group_links(fps: np.ndarray, open_bits: int, max_bits: int) -> list[np.ndarray]:
+def _group_links(
+    fps: np.ndarray, open_bits: int, max_bits: int, paired: int = PAIRED
+) -> list[np.ndarray]:
     """Links (2 x n) of fingerprints of one block group that join all close pairs."""
-    if len(fps) <= PAIRED:
+    if len(fps) <= paired:
         differ = np.bitwise_count(fps[:, None] ^ fps[None, :])
         a, b = np.nonzero(np.triu(differ <= max_bits, 1))
         return [np.stack([fps[a], fps[b]])]
@@ -103,7 +105,9 @@ def _group_links(fps: np.ndarray, open_bits: int, max_bits: int) -> list[np.ndar
     return [np.unique(np.concatenate(links, axis=1), axis=1)]
 
 
-def close_links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def close_links(
+    distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, paired: int = PAIRED
+) -> DataFrame:
     """Links ``a, b`` between different fingerprints of ``distinct(fp)``."""
     masks = _masks(blocks, max_bits)
     shared = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m, _ in masks))
@@ -118,7 +122,7 @@ def close_links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLO
             ends = np.r_[starts[1:], len(c)]
             found = []
             for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                found += _group_links(fp[a:b].view(np.uint64), masks[c[a]][1], max_bits)
+                found += _group_links(fp[a:b].view(np.uint64), masks[c[a]][1], max_bits, paired)
             pairs = np.concatenate([np.zeros((2, 0), np.uint64), *found], axis=1).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
@@ -138,12 +142,17 @@ def close_links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLO
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS
+    docs: DataFrame,
+    words: int = SHINGLE_WORDS,
+    max_bits: int = MAX_BITS,
+    blocks: int = BLOCKS,
+    paired: int = PAIRED,
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row."""
     prints = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min(F.nullif(KEY, F.lit(-(1 << 63)))).alias("least")), "nodes")
-    roots = components(close_links(nodes.select("fp"), max_bits, blocks))
+    least = F.min(id_of()).alias("least")
+    nodes = written(prints.groupBy("fp").agg(least), "nodes")
+    roots = components(close_links(nodes.select("fp"), max_bits, blocks, paired))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )

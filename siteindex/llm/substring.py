@@ -159,7 +159,7 @@ def _merged(batches, rows: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def window_rows(docs: DataFrame, window: int) -> DataFrame:
+def window_rows(docs: DataFrame, window: int, remembered: int = REMEMBERED) -> DataFrame:
     """``k, d, s, n, w``: name, document, version and word, windows and their names.
 
     ``w`` is null for windows known to repeat earlier ones.
@@ -188,7 +188,7 @@ def window_rows(docs: DataFrame, window: int) -> DataFrame:
                 known = sent.get(c << 64 | k)
                 if known is not None and known < (d, s):
                     repeats[i] = True
-                elif known is not None or len(sent) < REMEMBERED:
+                elif known is not None or len(sent) < remembered:
                     sent[c << 64 | k] = (d, s)
             yield _rows(begin, end, name, windows, doc, start, repeats)
 
@@ -261,11 +261,13 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(find, "d long, s long, n long")
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_repeats(
+    docs: DataFrame, window: int = WINDOW, remembered: int = REMEMBERED
+) -> DataFrame:
     """``doc_id, n_words, n_removed, text`` with the kept words of each row."""
     if window <= 2 * CONTEXT:
         raise ValueError(f"a window has over {2 * CONTEXT} words")
-    found = repeated_windows(window_rows(docs, window)).select(
+    found = repeated_windows(window_rows(docs, window, remembered)).select(
         F.col("d").alias(KEY),
         F.shiftright("s", 32).alias("v"),
         F.struct(F.col("s").bitwiseAND(F.lit(0xFFFFFFFF)).alias("s"), "n").alias("x"),
