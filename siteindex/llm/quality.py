@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import islice
@@ -30,23 +31,38 @@ from pyspark.sql import functions as F
 from siteindex.llm.common import id_key, whole_text
 
 #: Rows to fit on at most, and the seed of their order and of the first vectors.
-FIT_ROWS, SEED = 6_000, 8
+FIT_ROWS, SEED = 3_000, 8
 BUCKETS, DIMENSION, NGRAMS = 1 << 17, 8, (3, 4, 5)
 #: A repeated word counts like this many n-grams.
 MARKS = 4
 EPOCHS, RATE = 8, 0.1
 HELD_OUT_FOLD, FOLDS, THRESHOLD = 0, 5, 0.3
-#: Words whose sums a worker remembers.
+#: With so many words remembered, a worker starts anew.
 REMEMBERED = 400_000
 
 
-def word_features(word: str, buckets: int = BUCKETS, ngrams: Sequence[int] = NGRAMS) -> list[int]:
-    """Buckets of a word and of its n-grams; ``<`` and ``>`` mark its ends."""
-    framed = f"<{word}>"
-    parts = [framed]
+def word_features(
+    words: Sequence[bytes], buckets: int = BUCKETS, ngrams: Sequence[int] = NGRAMS
+) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their n-grams, and the number of the word that each belongs to.
+
+    ``<`` and ``>`` mark a word's ends; characters are those of UTF-8.
+    """
+    framed = [b"<%b>" % w for w in words]
+    codes = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), [len(f) for f in framed])
+    ids, of = [np.array([zlib.crc32(f) for f in framed], np.uint64)], [np.arange(len(words))]
     for n in ngrams:
-        parts += [framed[i : i + n] for i in range(len(framed) - n + 1)]
-    return [zlib.crc32(p.encode()) % buckets for p in parts]
+        places = max(0, len(codes) - n + 1)
+        name = np.full(places, n, np.uint64)
+        for k in range(n):
+            name = name * np.uint64(0x100000001B3) + codes[k : k + places]
+        name ^= name >> np.uint64(29)
+        name *= np.uint64(0xBF58476D1CE4E5B9)
+        inside = word[:places] == word[n - 1 : n - 1 + places]
+        ids.append(name[inside] >> np.uint64(32))
+        of.append(word[:places][inside])
+    return (np.concatenate(ids) % np.uint64(buckets)).astype(np.int64), np.concatenate(of)
 
 
 def repeat_mark(buckets: int = BUCKETS) -> int:
@@ -133,18 +149,17 @@ def fit(
     buckets = options.get("buckets", BUCKETS)
 
     def count(batches):
-        known: dict[str, list[int]] = {}
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                words = text.split()
-                found = [repeat_mark(buckets)] * (MARKS * repeats(words))
-                for word in words:
-                    if word not in known:
-                        known[word] = word_features(word, buckets)
-                    found += known[word]
-                ids, counts = np.unique(np.array(found, np.int32), return_counts=True)
-                out.append((ids, counts.astype(np.float32)))
+                words = text.encode().split()
+                different = Counter(words)
+                ids, of = word_features(list(different), buckets)
+                times = np.fromiter(different.values(), np.float64, len(different))
+                total = np.bincount(ids, weights=times[of], minlength=buckets)
+                total[repeat_mark(buckets)] += MARKS * repeats(words)
+                used = np.flatnonzero(total)
+                out.append((used.astype(np.int32), total[used].astype(np.float32)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_label"),
@@ -156,36 +171,42 @@ def fit(
             )
 
     counted = sample.mapInArrow(count, "label int, id long, ids binary, counts binary")
-    found = counted.orderBy("id", "label", "ids").limit(2 * rows).toArrow().to_pylist()
+    ordered = counted.orderBy("id", "label", "ids").limit(2 * rows)
     return train(
         [
-            (r["label"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32))
-            for r in found
+            (r.label, np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.float32))
+            for r in ordered.toLocalIterator()
         ],
         **options,
     )
 
 
-class _Scorer(dict):
+class _Scorer:
     """For each word the sum of what its features add, and their number as imaginary part."""
 
     def __init__(self, weights: np.ndarray, bias: float):
-        super().__init__()
         self.weights, self.bias = weights, bias
         self.mark = complex(weights[repeat_mark(len(weights))], 1)
-
-    def __missing__(self, word):
-        ids = word_features(word, len(self.weights))
-        value = complex(self.weights[ids].sum(), len(ids))
-        if len(self) < REMEMBERED:
-            self[word] = value
-        return value
-
-    def score(self, text: str | None) -> float:
-        words = (text or "").split()
-        total = sum(map(self.__getitem__, words), MARKS * repeats(words) * self.mark)
-        odds = self.bias + (total.real / total.imag if total.imag else 0.0)
-        return float(1 / (1 + np.exp(-odds)))
+        self.known: dict[bytes, complex] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        ids, of = word_features(words, len(self.weights))
+        sums = np.bincount(of, weights=self.weights[ids], minlength=len(words))
+        counts = np.bincount(of, minlength=len(words))
+        self.known.update(zip(words, (sums + 1j * counts).tolist(), strict=True))
+
+    def scores(self, texts: Sequence[str | None]) -> list[float]:
+        split = [(text or "").encode().split() for text in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if new := set().union(*split).difference(self.known):
+            self._learn(list(new))
+        out = []
+        for words in split:
+            total = sum(map(self.known.__getitem__, words), MARKS * repeats(words) * self.mark)
+            odds = self.bias + (total.real / total.imag if total.imag else 0.0)
+            out.append(float(1 / (1 + np.exp(-odds))))
+        return out
 
 
 _scorers: dict[str, _Scorer] = {}
@@ -204,6 +225,6 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text") -> Column:
             _scorers[name] = _Scorer(*sent.value)
         scorer = _scorers[name]
         for batch in texts:
-            yield pd.Series([scorer.score(t) for t in batch], dtype="float64")
+            yield pd.Series(scorer.scores(batch), dtype="float64")
 
     return scored(F.col(text))
