@@ -228,17 +228,25 @@ def is_bare_host(url: Column) -> Column:
     return F.rtrim(url, F.lit("/")) == netloc(url)
 
 
-def normalise_input(url: Column, is_local: Column | None = None) -> Column:
+def normalise_input(
+    url: Column, is_local: Column | None = None, folder: str = ""
+) -> Column:
     """Address typed by a user: drop one leading @, then add what is missing.
 
-    http, https and file addresses stay; a local path becomes a file address;
-    anything else gets https.
+    http, https and file addresses stay; a local path becomes a file address, a relative
+    one below ``folder``; anything else gets https.
     """
     bare = F.regexp_replace(url, "^@", "")
     local = F.lit(False) if is_local is None else F.coalesce(is_local, F.lit(False))
     return (
         F.when(bare.rlike("^(?:http://|https://|file://)"), bare)
-        .when(local, F.concat(F.lit("file://"), bare))
+        .when(local & (F.startswith(bare, F.lit("/")) | F.lit(not folder)), F.concat(F.lit("file://"), bare))
+        .when(
+            local,
+            F.concat(
+                F.lit("file://" + folder.rstrip("/") + "/"), F.regexp_replace(bare, r"^(?:\./)+", "")
+            ),
+        )
         .otherwise(F.concat(F.lit("https://"), bare))
     )
 

@@ -21,10 +21,24 @@ from siteindex.functions.urls import (
     resolve_sql,
     slash_depth,
 )
-from siteindex.operators.views import DOCUMENT, element, has, plausible, span, text_of, token
+from siteindex.operators.views import (
+    DOCUMENT,
+    element,
+    has,
+    plausible,
+    shown,
+    shows,
+    span,
+    text_of,
+    token,
+)
 from siteindex.sources.nodes import HEADINGS, bit
 
 
+#: NaN and infinities where JSON has a value.
+NOT_NUMBERS = r"(?<=[:,\[]\s{0,9})-?(?:NaN|Infinity)(?=\s*[,}\]])"
+
+
 def _having(elements: Column, *selectors: str) -> Column:
     mask = bit(*selectors)
     return F.filter(elements, lambda n: has(n["own"], mask))
@@ -102,15 +116,16 @@ def main_text(tokens: Column, place: Column) -> Column:
 
 
 def headings(elements: Column, tokens: Column) -> Column:
+    """Headings that show text."""
     found = F.transform(
-        _having(elements, *HEADINGS),
+        _showing(_having(elements, *HEADINGS), tokens),
         lambda n: F.struct(
             F.substring(n["tag"], 2, 1).cast("int").alias("level"),
             strip(text_of(tokens, n)).alias("text"),
             F.coalesce(n["attrs"]["id"], F.lit("")).alias("id"),
         ),
     )
-    return F.filter(found, lambda h: h["text"] != "")
+    return found
 
 
 def language(node: Column) -> Column:
@@ -160,6 +175,17 @@ def anchor_texts(elements: Column, tokens: Column) -> Column:
     return F.filter(filled, lambda a: a["text"] != "")
 
 
+def _showing(places: Column, tokens: Column) -> Column:
+    """Places that show text; the flags are worked out once, and no text is put together."""
+    return let(shown(tokens), lambda flags: F.filter(places, lambda n: shows(flags, n)))
+
+
+def shown_hrefs(elements: Column, tokens: Column) -> Column:
+    """Hrefs of the links that have both address and text."""
+    links = F.filter(elements, lambda n: has(n["own"], bit("a[href]")))
+    return F.transform(_showing(links, tokens), lambda n: n["attrs"]["href"])
+
+
 def page_links(anchors: str, url: str, parts: str) -> Column:
     """Structs of url, text and type; the ``url`` is NULL where a link cannot be read.
 
@@ -236,7 +262,9 @@ def structured_data(elements: Column, nodes: Column) -> Column:
         ),
         lambda n: F.array_join(F.transform(span(nodes, n), lambda m: m["text"]), ""),
     )
-    parsed = F.filter(scripts, lambda s: F.try_parse_json(s).isNotNull())
+    # numbers that are none are read like others; a key that repeats needs a session setting
+    plain = lambda s: F.regexp_replace(s, NOT_NUMBERS, "0")
+    parsed = F.filter(scripts, lambda s: F.try_parse_json(plain(s)).isNotNull())
     return F.when(F.size(parsed) > 0, F.element_at(parsed, -1))
 
 

@@ -172,6 +172,20 @@ def text_of(tokens: Column, place: Column) -> Column:
     return F.array_join(span(tokens, place), "")
 
 
+def shown(tokens: Column) -> Column:
+    """A character for each token, ``1`` where it has more than white space."""
+    return F.array_join(
+        F.transform(tokens, lambda t: F.when(strip(F.coalesce(t, F.lit(""))) != "", "1").otherwise("0")),
+        "",
+    )
+
+
+def shows(flags: Column, place: Column) -> Column:
+    """Whether an element shows any text."""
+    inside = F.substring(flags, place["id"] + 1, place["last"] - place["id"] + 1)
+    return F.contains(inside, F.lit("1"))
+
+
 _BLOCK = 256
 
 
@@ -179,12 +193,9 @@ def plausible(places: Column, tokens: Column, above: int, below: int) -> Column:
     """Places whose stripped text may be longer than ``above`` and shorter than ``below``.
 
     Paragraphs that are never closed nest, and together span far more nodes than the
-    page has. In that case lengths come from sums over blocks of tokens, so that no
-    long text is put together only to be refused. Other pages pass as they are.
+    page has. Lengths come from sums over blocks of tokens, so that no long text is put
+    together only to be refused.
     """
-    nested = F.aggregate(
-        places, F.lit(0).cast("bigint"), lambda sum_, n: sum_ + n["last"] - n["id"]
-    ) > F.lit(20_000) + F.size(tokens) * 20
 
     def lengths(items: Column) -> Column:
         # at least and at most what an item adds to a stripped text
@@ -235,7 +246,7 @@ def plausible(places: Column, tokens: Column, above: int, below: int) -> Column:
         )
         return F.transform(kept, lambda m: m["n"])
 
-    return F.when(nested, let(running(blocks), fitting)).otherwise(places)
+    return let(running(blocks), fitting)
 
 
 def _pair(least: Column, most: Column) -> Column:

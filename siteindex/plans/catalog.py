@@ -7,13 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteindex.constants import DISCOVERY_SKIP, OTHER_CATEGORY
+from siteindex.constants import OTHER_CATEGORY
 from siteindex.functions.text import contains_any_of, first_where
-from siteindex.functions.urls import netloc, resolve_all, same_site, url_parts
-from siteindex.operators import extract as X
 from siteindex.operators.views import CLEANERS, Cleaner
-from siteindex.plans.discover import discover
-from siteindex.plans.pages import extracted, parsed
+from siteindex.plans.discover import discover, seeds
+from siteindex.plans.pages import processed, site_links
 from siteindex.session import keep
 
 RECORD = ("url", "title", "description", "content", "category", "source")
@@ -31,54 +29,36 @@ def category(url: Column, title: Column, rules: Column) -> Column:
 
 
 def page_facts(pages: DataFrame, cleaners: Sequence[Cleaner] = CLEANERS) -> DataFrame:
-    """``(url, links, title, description, content)``: all a catalogue needs, one parse."""
-    url = F.col("url")
-    read = parsed(pages).withColumns(
-        {"_base": url_parts(url), "_hrefs": X.hrefs(F.col("nodes"))}
-    )
-    read = read.withColumn("_links", resolve_all("url", "_hrefs", "_base")).withColumn(
-        "site_links",
-        F.filter(
-            X.readable_head(F.col("_links")),
-            lambda link: same_site(link, F.col("_base.netloc"), DISCOVERY_SKIP),
-        ),
-    )
-    fields = extracted(read, cleaners, ("site_links",))
-    return fields.select(
-        "url",
-        F.col("site_links").alias("links"),
-        "title",
-        "description",
-        F.col("main_content").alias("content"),
+    """``(url, title, description, content)``: all a catalogue needs from a page."""
+    return processed(pages, cleaners).select(
+        "url", "title", "description", F.col("main_content").alias("content")
     )
 
 
-def pages_of_sites(pages: DataFrame, sites: DataFrame, limit: int = 200_000) -> DataFrame:
-    """Pages on the hosts of the sites' addresses: discovery never leaves them.
+def only(pages: DataFrame, listed: DataFrame) -> DataFrame:
+    """The pages of the listed URLs, before anything is parsed.
 
-    Few hosts are broadcast, so other pages are dropped before they are parsed. With
-    more than ``limit`` hosts the pages are all read, as a join would shuffle their HTML.
+    Pass a written list: its size decides whether it is sent to the pages, so that these
+    stay where they are, or the pages are met by URL.
     """
-    named = F.array_distinct(F.transform("urls", lambda url: netloc(url)))
-    hosts = sites.select(F.explode(named).alias("_host")).distinct()
-    if hosts.limit(limit + 1).count() > limit:
-        return pages
-    return pages.join(F.broadcast(hosts), netloc(F.col("url")) == F.col("_host"), "left_semi")
+    return pages.join(listed.select("url").distinct(), "url", "left_semi")
 
 
-def build_catalog(discovered: DataFrame, facts: DataFrame, sites: DataFrame) -> DataFrame:
+def build_catalog(
+    discovered: DataFrame,
+    pages: DataFrame,
+    sites: DataFrame,
+    cleaners: Sequence[Cleaner] = CLEANERS,
+) -> DataFrame:
     """``(site_id, rank, url, title, description, content, category, source)``.
 
-    Pages that were not found are left out. The rules join the discovered rows before
-    the text does. The result is written, so that its size decides how it is joined to
-    the text: a short list is broadcast, else the text is shuffled once, by URL.
+    Pages that were not found are left out. Only listed pages are parsed, each once, and
+    the rules join the list before the text does.
     """
     rules = sites.select("site_id", "category_rules")
     listed = keep(discovered.join(rules, "site_id", "left"), "listed")
-    found = listed.join(
-        facts.select("url", "title", "description", "content"), "url"
-    )
-    labelled = found.withColumn(
+    facts = keep(page_facts(only(pages, listed), cleaners), "facts")
+    labelled = listed.join(facts, "url").withColumn(
         "category", category(F.col("url"), F.col("title"), F.col("category_rules"))
     )
     return labelled.select("site_id", "rank", *RECORD)
@@ -89,8 +69,9 @@ def catalog(
 ) -> DataFrame:
     """Discover, process and categorise.
 
-    The parsed facts are written once, as a narrow table, and read by both the
-    discovery (links) and the catalogue (text): pages are parsed once.
+    Start pages are read for their links, discovered pages for their text; other pages of
+    the snapshot are not parsed.
     """
-    facts = keep(page_facts(pages_of_sites(pages, sites), cleaners), "facts")
-    return build_catalog(discover(sites, facts.select("url", "links")), facts, sites)
+    starts = keep(seeds(sites).select(F.col("base_url").alias("url")).distinct(), "starts")
+    links = site_links(only(pages, starts))
+    return build_catalog(discover(sites, links), pages, sites, cleaners)

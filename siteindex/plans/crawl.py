@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from siteindex.constants import CRAWL_MODES, DEFAULT_CRAWL_PAGES, DEFAULT_MAX_DEPTH, DEFAULT_MODE
 from siteindex.operators.ranking import major, minor, numbered, place
-from siteindex.plans.pages import crawl_records
+from siteindex.plans.catalog import only
+from siteindex.plans.pages import crawl_links, crawl_records
 from siteindex.session import keep
 
 
@@ -26,63 +27,97 @@ def crawl(
     A queue visits level by level: within a level by the rank of the linking page and
     the place of the link. Each URL is visited once per site, also when its page is
     missing; only pages found count towards ``max_pages``. Unknown modes crawl docs.
+    Columns ``traversal_mode``, ``max_pages`` and ``max_depth`` of ``starts`` give sites
+    settings of their own; where they are missing or NULL the arguments hold.
 
-    Pages are parsed once. The loop reads only URL and links to follow (a handful per
-    page) from the written records; text joins the visited pages at the end.
+    The loop reads a table of URL and links to follow (a handful per page), for which
+    only anchors are parsed. Visited pages alone are parsed in full, at the end.
     """
-    mode = mode if mode in CRAWL_MODES else DEFAULT_MODE
-    label = CRAWL_MODES[mode][0]
-    records = keep(crawl_records(pages, mode), "records")
-    follow = records.select("url", "follow")
-
-    frontier = starts.select(
-        "site_id", "url", F.lit(0).alias("parent"), F.lit(0).alias("pos"), F.lit(0).alias("taken")
+    given = {"traversal_mode": mode, "max_pages": max_pages, "max_depth": max_depth}
+    own = [name for name in given if name in starts.columns]
+    sites = starts.select(
+        "site_id", "url", *(F.coalesce(name, F.lit(given[name])).alias(name) for name in own),
+        *(F.lit(value).alias(name) for name, value in given.items() if name not in own),
+    )
+    known = F.col("traversal_mode").isin(*CRAWL_MODES)
+    sites = sites.withColumn(
+        "traversal_mode", F.when(known, F.col("traversal_mode")).otherwise(DEFAULT_MODE)
     )
+    settings = ["site_id", *given]
+    if own:
+        sites = keep(sites, "crawl-sites")
+    modes = tuple(CRAWL_MODES) if "traversal_mode" in own else (mode,) if mode in CRAWL_MODES else (DEFAULT_MODE,)
+    deepest = max_depth
+    if "max_depth" in own:
+        deepest = sites.agg(F.max("max_depth")).first()[0]
+    deepest = -1 if deepest is None else deepest
+    follow = keep(crawl_links(pages, modes), "links")
+
+    frontier = sites.select(
+        *settings, "url", F.lit(0).alias("parent"), F.lit(0).alias("pos"), F.lit(0).alias("taken")
+    ).where(F.col("max_depth") >= 0)
     seen: list[DataFrame] = []
     steps: list[DataFrame] = []
-    for depth in range(max_depth + 1):
+    for depth in range(max(deepest, 0) + 1):
         first = (
-            frontier.groupBy("site_id", "url", "taken")
+            frontier.groupBy(*settings, "url", "taken")
             .agg(F.min(place("parent", "pos")).alias("at"))
-            .select(
-                "site_id", "url", "taken", major("at").alias("parent"), minor("at").alias("pos")
-            )
+            .select(*settings, "url", "taken", major("at").alias("parent"), minor("at").alias("pos"))
         )
         if seen:
             first = first.join(_union(seen), ["site_id", "url"], "left_anti")
-        # a written frontier has a known size: a small one is broadcast to the records,
+        # a written frontier has a known size: a small one is broadcast to the links,
         # a large one is joined by shuffle
         first = keep(first, "frontier")
-        found = keep(first.join(follow, "url"), "found")
+        followed = F.coalesce(
+            *(F.when(F.col("traversal_mode") == m, F.col(f"follow_{m}")) for m in modes)
+        )
+        found = keep(
+            first.join(follow, "url").select(*first.columns, followed.alias("follow")), "found"
+        )
         seen.append(first.select("site_id", "url"))
         step = numbered(found, ["site_id"], "parent", ["pos"], "place")
         step = (
             step.withColumn("rank", F.col("taken") + F.col("place"))
-            .where(F.col("rank") < max_pages)
-            .select("site_id", "url", "rank", F.lit(depth).alias("depth"), "follow")
+            .where(F.col("rank") < F.col("max_pages"))
+            .select(*settings, "url", "rank", F.lit(depth).alias("depth"), "follow")
         )
         steps.append(step)
-        if depth == max_depth or found.isEmpty():
+        if depth >= deepest or found.isEmpty():
             break
         taken = (
             step.groupBy("site_id")
-            .agg((F.max("rank") + 1).alias("taken"))
-            .where(F.col("taken") < max_pages)
+            .agg((F.max("rank") + 1).alias("taken"), F.first("max_pages").alias("cap"))
+            .where(F.col("taken") < F.col("cap"))
+            .drop("cap")
         )
-        frontier = step.join(taken, "site_id").select(
-            "site_id",
-            "taken",
-            F.col("rank").alias("parent"),
-            F.posexplode("follow").alias("pos", "url"),
+        frontier = (
+            step.where(F.col("max_depth") > depth)
+            .join(taken, "site_id")
+            .select(
+                *settings,
+                "taken",
+                F.col("rank").alias("parent"),
+                F.posexplode("follow").alias("pos", "url"),
+            )
         )
 
-    # written, so that few visited pages are broadcast to the records and not the
-    # records shuffled to them
-    visited = keep(_union(steps).drop("follow"), "visited")
-    crawled = visited.join(records.drop("follow"), "url").withColumn(
-        "traversal_mode", F.lit(label)
+    # written, so that few visited pages are broadcast to the snapshot and not the
+    # snapshot shuffled to them
+    visited = keep(
+        _union(steps).select("site_id", "url", "rank", "depth", "traversal_mode"), "visited"
     )
-    return crawled.join(pages.select("url", "html"), "url") if keep_html else crawled
+    reached = only(pages, visited)
+    records = keep(crawl_records(reached, "map" if "map" in modes else modes[0]), "records")
+    shown = records.drop("follow")
+    crawled = visited.join(shown, "url")
+    if "map" in modes:
+        crawled = crawled.withColumn(
+            "structure_info", F.when(F.col("traversal_mode") == "map", F.col("structure_info"))
+        )
+    labels = F.create_map(*(F.lit(x) for m, (label, *_) in CRAWL_MODES.items() for x in (m, label)))
+    crawled = crawled.withColumn("traversal_mode", labels[F.col("traversal_mode")])
+    return crawled.join(reached.select("url", "html"), "url") if keep_html else crawled
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

@@ -75,8 +75,10 @@ def extracted(
     fields = fields.withColumn("anchors", X.anchor_texts(elements, tokens)).withColumn(
         "links", X.page_links("anchors", "url", "base")
     )
-    failed = F.col("nodes").isNull() | F.exists("links", lambda a: a["url"].isNull())
-    fields = fields.withColumn("failed", failed)
+    # a page fails for a link that cannot be read and shows text; no text is built for that
+    fields = fields.withColumn("shown_hrefs", X.shown_hrefs(elements, tokens))
+    unread = F.exists(resolve_all("url", "shown_hrefs", "base"), lambda u: u.isNull())
+    fields = fields.withColumn("failed", F.col("nodes").isNull() | unread)
 
     def unless_failed(value, otherwise):
         return F.when(F.col("failed"), otherwise).otherwise(value)
@@ -133,37 +135,66 @@ def site_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def crawl_records(pages: DataFrame, mode: str) -> DataFrame:
-    """What a crawl reads from each page, and the few links it would follow.
+def crawl_links(pages: DataFrame, modes: Sequence[str]) -> DataFrame:
+    """``(url, follow_…)``: the few links that each mode would follow from a page.
 
-    A page with an unreadable link in its kept part gives no record; one with such a
-    link anywhere is recorded but not followed.
+    Pages are left out, or followed no further, as in ``crawl_records``. Only anchors leave
+    the parser; the marks they carry tell which part of the page they stand in.
     """
-    _, words, width = CRAWL_MODES[mode]
     url, n = F.col("url"), F.col("nodes")
-    read = parsed(pages).where(n.isNotNull())
-    read = with_view(read, CRAWLED).withColumns(
+    read = fetched(pages).withColumn("nodes", anchors(F.col("html"))).drop("html")
+    read = read.where(n.isNotNull()).withColumns(
         {
             "base": url_parts(url),
             "hrefs": X.hrefs(n),
             "kept_hrefs": X.hrefs(F.filter(n, lambda node: element(node, CRAWLED))),
         }
     )
-    read = read.withColumns(
+    read = _resolved(read)
+    return read.select(
+        "url", *(_followed(*CRAWL_MODES[mode][1:]).alias(f"follow_{mode}") for mode in modes)
+    )
+
+
+def _resolved(read: DataFrame) -> DataFrame:
+    """Links of the page and of its kept part; pages with an unreadable kept link go."""
+    return read.withColumns(
         {
             "all_links": resolve_all("url", "hrefs", "base"),
             "kept_links": resolve_all("url", "kept_hrefs", "base"),
         }
     ).where(~F.exists("kept_links", lambda u: u.isNull()))
-    follow = F.when(
+
+
+def _followed(words: Sequence[str], width: int):
+    return F.when(
         F.exists("all_links", lambda u: u.isNull()), F.array().cast("array<string>")
     ).otherwise(F.slice(F.filter("all_links", lambda u: link_matches(u, words)), 1, width))
+
+
+def crawl_records(pages: DataFrame, mode: str) -> DataFrame:
+    """What a crawl reads from each page, and the few links it would follow.
+
+    A page with an unreadable link in its kept part gives no record; one with such a
+    link anywhere is recorded but not followed.
+    """
+    _, words, width = CRAWL_MODES[mode]
+    url, n = F.col("url"), F.col("nodes")
+    read = parsed(pages).where(n.isNotNull())
+    read = with_view(read, CRAWLED).withColumns(
+        {
+            "base": url_parts(url),
+            "hrefs": X.hrefs(n),
+            "kept_hrefs": X.hrefs(F.filter(n, lambda node: element(node, CRAWLED))),
+        }
+    )
+    read = _resolved(read)
     columns = [
         url,
         X.crawl_title(n, url).alias("title"),
         text_of(F.col("tokens"), F.col("place")).alias("content"),
         X.web_links(F.col("kept_links")).alias("links"),
-        follow.alias("follow"),
+        _followed(words, width).alias("follow"),
     ]
     if mode == "map":
         columns.append(X.structure(n, url).alias("structure_info"))

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from siteindex.constants import EMPTY_URL_ERROR, OTHER_CATEGORY, OTHER_LABEL
 from siteindex.functions.urls import blank
+from siteindex.operators.ranking import numbered
 from siteindex.plans.catalog import RECORD
+from siteindex.session import keep
 
 ARTIFACTS = ("index", "full", "context", "context_full")
 RECORDS = "records"
@@ -28,25 +30,30 @@ _SHAPE = {"index": (2, 1, 1), "full": (2, 0, 6), "context": (1, 1, 3), "context_
 def page_order(catalog: DataFrame) -> DataFrame:
     """Place of each page in its site's documents.
 
-    Sections ascend by category, pages by title, then discovery order. Only keys are
-    sorted, at most ``max_pages`` rows per site; the text stays where it is.
+    Sections ascend by category, pages by title, then discovery order. Keys alone are
+    range-partitioned in that order; a site may lie over many partitions, whose counts
+    give the places. Sections follow from counts by category.
     """
-    site = Window.partitionBy("site_id").orderBy("category", "title", "rank")
+    order = ["category", "title", "rank"]
+    keys = catalog.select("site_id", *order).repartitionByRange("site_id", *order)
+    ranged = keep(keys.withColumn("block", F.spark_partition_id()), "order")
+    placed = numbered(ranged, ["site_id"], "block", order, "entry")
+    site = Window.partitionBy("site_id").orderBy("category")
     before = site.rowsBetween(Window.unboundedPreceding, -1)
-    other = F.when(F.col("category") == OTHER_CATEGORY, 1).otherwise(0)
-    keys = catalog.select("site_id", "rank", "category", "title")
-    placed = keys.withColumns(
-        {
-            "entry": F.row_number().over(site) - 1,
-            "opens": F.coalesce(F.lag("category").over(site) != F.col("category"), F.lit(True)),
-            "closes": F.coalesce(F.lead("category").over(site) != F.col("category"), F.lit(True)),
-            "others": F.coalesce(F.sum(other).over(before), F.lit(0)),
-        }
-    )
-    opened = F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(site)
-    return placed.withColumn("section", opened - 1).select(
-        "site_id", "rank", "section", "entry", "opens", "closes", "others"
-    )
+    other = F.when(F.col("category") == OTHER_CATEGORY, F.col("n")).otherwise(0)
+    sections = ranged.groupBy("site_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    sections = sections.select(
+        "site_id", "category", "n",
+        (F.row_number().over(site) - 1).alias("section"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"),
+        F.coalesce(F.sum(other).over(before), F.lit(0)).alias("others"),
+    )
+    return placed.join(sections, ["site_id", "category"]).select(
+        "site_id", "rank", "section", "entry",
+        (F.col("entry") == F.col("first")).alias("opens"),
+        (F.col("entry") == F.col("first") + F.col("n") - 1).alias("closes"),
+        "others",
+    )
 
 
 def link_line() -> Column:
@@ -213,11 +220,10 @@ def records(catalog: DataFrame) -> DataFrame:
     return catalog.select("site_id", "rank", F.to_json(F.struct(*RECORD)).alias("record"))
 
 
-LINES_PER_FILE = 50_000
-RECORDS_PER_FILE = 10_000
+PART_LINES, PART_RECORDS = 50_000, 10_000
 
 
-def write_documents(lines: DataFrame, path: str) -> None:
+def write_documents(lines: DataFrame, path: str, part_lines: int = PART_LINES) -> None:
     """Text files under ``artifact=…/site_id=…/part=…``, usually one part per document.
 
     A long document has several parts, written by different tasks; the parts in the
@@ -225,7 +231,7 @@ def write_documents(lines: DataFrame, path: str) -> None:
     """
     keys = ["artifact", "site_id", "part"]
     (
-        lines.withColumn("part", F.floor(F.col("line_no") / LINES_PER_FILE))
+        lines.withColumn("part", F.floor(F.col("line_no") / part_lines))
         .repartition(*keys)
         .sortWithinPartitions(*keys, "line_no")
         .select(*keys, "line")
@@ -234,11 +240,11 @@ def write_documents(lines: DataFrame, path: str) -> None:
     )
 
 
-def write_records(catalog: DataFrame, path: str) -> None:
+def write_records(catalog: DataFrame, path: str, part_records: int = PART_RECORDS) -> None:
     """JSON lines under ``site_id=…/part=…`` in discovery order."""
     keys = ["site_id", "part"]
     (
-        catalog.withColumn("part", F.floor(F.col("rank") / RECORDS_PER_FILE))
+        catalog.withColumn("part", F.floor(F.col("rank") / part_records))
         .repartition(*keys)
         .sortWithinPartitions(*keys, "rank")
         .select(*keys, *RECORD)
@@ -251,8 +257,16 @@ def category_counts(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("site_id", "category").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def run_summary(requests: DataFrame, catalog: DataFrame, output_directory: str) -> DataFrame:
-    """Outcome of each request ``(site_id, url)``; a blank address is a failure."""
+def run_summary(
+    requests: DataFrame,
+    catalog: DataFrame,
+    output_directory: str,
+    artifacts: Sequence[str] = RUN_ARTIFACTS,
+) -> DataFrame:
+    """Outcome of each request ``(site_id, url)``; a blank address is a failure.
+
+    ``artifacts`` are the files that were written.
+    """
     counts = catalog.groupBy("site_id").agg(F.count(F.lit(1)).alias("pages_processed"))
     failed = blank(F.col("url"))
     return requests.join(counts, "site_id", "left").select(
@@ -263,7 +277,7 @@ def run_summary(requests: DataFrame, catalog: DataFrame, output_directory: str)
             "pages_processed"
         ),
         F.when(failed, F.array().cast("array<string>"))
-        .otherwise(F.array(*map(F.lit, RUN_ARTIFACTS)))
+        .otherwise(F.array(*map(F.lit, artifacts)))
         .alias("files_generated"),
         F.when(failed, "").otherwise(F.lit(output_directory)).alias("output_directory"),
     )

@@ -1,5 +1,6 @@
 """Session settings and tables kept in the cluster's shared folder."""
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -10,15 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 256  # pages per Arrow batch; pages are large, the default of 10,000 is for narrow rows
 
 
-def configure(spark: SparkSession) -> SparkSession:
+def configure(spark: SparkSession, folder: str | None = None) -> SparkSession:
     """Runtime settings the page parser wants; everything else stays with the cluster.
 
-    The Python workers import the parser from this package, so it is sent to them.
+    ``folder`` is where steps are kept; without it ``spark.checkpoint.dir`` names it. The
+    Python workers import the parser from this package, so it is sent to them.
     """
     _ship_package(spark)
+    if folder:
+        spark.conf.set("spark.checkpoint.dir", folder)
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if not 0 < rows <= ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 
 
@@ -31,8 +36,11 @@ def _ship_package(spark: SparkSession) -> None:
         return
     package = os.path.dirname(os.path.abspath(__file__))
     if os.path.isdir(package):
+        # the driver serves the archive while it runs; it goes with the driver
+        folder = tempfile.mkdtemp(prefix="siteindex-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         archive = shutil.make_archive(
-            os.path.join(tempfile.mkdtemp(prefix="siteindex-"), "siteindex"),
+            os.path.join(folder, "siteindex"),
             "zip",
             root_dir=os.path.dirname(package),
             base_dir=os.path.basename(package),
@@ -42,21 +50,22 @@ def _ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
+    """The folder of this application in that named by ``spark.checkpoint.dir``.
 
-    A folder of this machine is used only where none is named and the session runs
-    on this machine alone.
+    Where none is named it stands in the warehouse, which executors share as well.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir"
     )
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="siteindex-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/kept-steps"
+    return f"{folder.rstrip('/')}/siteindex-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove the kept steps of this application; call it when results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame, name: str = "step") -> DataFrame:

@@ -74,10 +74,11 @@ NODE = T.StructType([
 NODES = T.ArrayType(NODE)
 
 # --- fixed values: elements without content, and those that keep their blanks ----
-VOID = frozenset(
-    "area base br col embed hr img input keygen link menuitem meta param source track wbr "
-    "basefont bgsound command frame image isindex nextid spacer".split()
-)
+VOID = frozenset((
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem",
+    "meta", "param", "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image",
+    "isindex", "nextid", "spacer",
+))
 PRESERVING = frozenset(("pre", "textarea"))
 _ASCII_BLANKS = " \n\t\f\r"
 _CHUNK = 8 << 20  # characters of HTML per output batch

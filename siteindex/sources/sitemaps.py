@@ -23,7 +23,27 @@ _XML_OPTIONS = {
     "columnNameOfCorruptRecord": "_corrupt_record",
     "mode": "PERMISSIVE",
 }
-_ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([^\s/>]+)"
+_PROLOG = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*"
+_ROOT = _PROLOG + r"<([^\s/>]+)"
+_ROOT_TAG = _PROLOG + r"<([^>]*)>"
+_AFTER = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*$"
+
+
+def _in_namespace(body: Column) -> Column:
+    """Whether the root's start tag puts the root into the sitemap namespace."""
+    tag, root = F.regexp_extract(body, _ROOT_TAG, 1), F.regexp_extract(body, _ROOT, 1)
+    prefix = F.when(F.contains(root, F.lit(":")), F.concat(F.lit(":"), F.split_part(root, F.lit(":"), F.lit(1))))
+    name = F.concat(F.lit("xmlns"), F.coalesce(prefix, F.lit("")))
+    declared = F.regexp_replace(tag, r"\s*=\s*", "=")
+    quoted = [F.concat(name, F.lit(f"={q}{SITEMAP_NAMESPACE}{q}")) for q in ("'", '"')]
+    return F.contains(declared, quoted[0]) | F.contains(declared, quoted[1])
+
+
+def _ends_with_root(body: Column) -> Column:
+    """Whether nothing but comments and instructions follows the root."""
+    ending = F.concat(F.lit("</"), F.regexp_extract(body, _ROOT, 1), F.lit(">"))
+    after = F.call_function("substring_index", body, ending, F.lit(-1))
+    return ~F.contains(body, ending) | F.rlike(after, F.lit(_AFTER))
 
 
 def robots_sitemaps(sites: DataFrame, responses: DataFrame) -> DataFrame:
@@ -84,7 +104,8 @@ def sitemap_documents(responses: DataFrame) -> DataFrame:
     """``(url, locations, children)`` of responses taken as sitemaps.
 
     ``children`` are the sitemaps an index names. XML that cannot be parsed, or is not
-    in the sitemap namespace, names nothing. Keeps other columns.
+    in the sitemap namespace, names nothing; entries are read as children of the root, not
+    deeper. Keeps other columns.
     """
     xml = is_xml(F.col("content_type"), F.col("body"))
     split = responses.withColumn("_xml", xml)
@@ -92,7 +113,7 @@ def sitemap_documents(responses: DataFrame) -> DataFrame:
     read = read.withColumns(
         {
             "_tree": F.from_xml(
-                F.when(F.col("_xml") & F.contains("body", F.lit(SITEMAP_NAMESPACE)), F.col("body")),
+                F.when(F.col("_xml") & _in_namespace(F.col("body")), F.col("body")),
                 _SITEMAP,
                 _XML_OPTIONS,
             ),
@@ -100,7 +121,8 @@ def sitemap_documents(responses: DataFrame) -> DataFrame:
         }
     )
     none = F.array().cast("array<string>")
-    intact = F.col("_xml") & F.col("_tree").isNotNull() & F.col("_tree._corrupt_record").isNull()
+    whole = F.col("_tree").isNotNull() & F.col("_tree._corrupt_record").isNull()
+    intact = F.col("_xml") & whole & _ends_with_root(F.col("body"))
     return read.withColumns(
         {
             "locations": F.when(~F.col("_xml"), F.col("_links"))

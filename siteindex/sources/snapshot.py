@@ -11,37 +11,33 @@ PAGES = "page_id bigint, url string, html string"
 RESPONSES = "url string, status int, content_type string, body string"
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Snapshot table ``pages(page_id, url, html)``; one row per URL.
 
-    Parsing is bound by CPU. Where the files give fewer partitions than the session
-    has cores, the pages are spread by id; that moves less than one split per core.
+    Parsing is bound by CPU. For a table of few files, ``partitions`` spreads the pages by
+    id; without it they are parsed where they are read.
     """
     pages = spark.read.parquet(path).select("page_id", "url", "html")
-    cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores, "page_id") if pages.rdd.getNumPartitions() < cores else pages
+    return pages.repartition(partitions, "page_id") if partitions else pages
 
 
 def first_copies(pages: DataFrame) -> DataFrame:
-    """One page per URL, that with the lowest id, for snapshots that hold copies.
+    """One page per URL, one of those with the lowest id, for snapshots that hold copies.
 
     Counts per URL read no HTML and combine before the shuffle, so a URL with very many
-    copies is no burden. Only URLs that do have copies join the pages; where there are
-    none the pages are returned as they are.
+    copies is no burden. Only URLs that do have copies join the pages, and only of these
+    are rows equal in URL and id put together.
     """
-    copies = (
-        pages.groupBy("url")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
-        .where(F.col("n") > 1)
-        .select("url", "first")
+    counted = pages.groupBy("url").agg(
+        F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")
     )
-    copies = keep(copies, "copies")
-    if copies.isEmpty():
-        return pages
-    kept = pages.join(copies, "url", "left").where(
-        F.col("first").isNull() | (F.col("page_id") == F.col("first"))
+    copies = keep(counted.where(F.col("n") > 1).select("url", "first"), "copies")
+    single = pages.join(copies, "url", "left_anti")
+    several = pages.join(copies, "url").where(F.col("page_id").eqNullSafe(F.col("first")))
+    columns = ["page_id", "url", "html"]
+    return single.select(*columns).unionByName(
+        several.select(*columns).dropDuplicates(["page_id", "url"])
     )
-    return kept.select("page_id", "url", "html")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -57,11 +53,15 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def pages_of(responses: DataFrame, crawl: bool = False) -> DataFrame:
     """Pages that a download would have returned: no error status.
 
-    A crawl only takes pages with status 200.
+    A crawl only takes pages with status 200. Rows keep their ``page_id`` if they have one;
+    else it is a hash of the URL, the same for all copies (see ``first_copies``).
     """
     status = F.col("status")
+    known = "page_id" in responses.columns
     return responses.where(status == 200 if crawl else status < 400).select(
-        F.xxhash64("url").alias("page_id"), "url", F.col("body").alias("html")
+        F.col("page_id") if known else F.xxhash64("url").alias("page_id"),
+        "url",
+        F.col("body").alias("html"),
     )
 
 

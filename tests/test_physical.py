@@ -148,4 +148,5 @@ def test_pages_transform_a_stream(spark, stored, tmp_path):
 
 
 def test_given_pages_are_spread(spark):
-    assert given_pages(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = plan_of(given_pages(spark, SF))
+    assert "hashpartitioning(page_id" in plan and f", {spark.sparkContext.defaultParallelism})" in plan

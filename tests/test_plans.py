@@ -1,59 +1,47 @@
-"""Plans over many sites against plain walks over the same small web."""
+"""Plans over many sites on a small web, against literal rows."""
 
 import json
 import random
-from urllib.parse import urljoin, urlparse
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from siteindex import config
-from siteindex.constants import CRAWL_MODES, DISCOVERY_SKIP
 from siteindex.operators.ranking import numbered
 from siteindex.plans import render
-from siteindex.plans.catalog import catalog, page_facts, pages_of_sites
+from siteindex.plans.catalog import catalog, only, page_facts
 from siteindex.plans.crawl import crawl
 from siteindex.plans.discover import discover
-from siteindex.plans.pages import site_links
+from siteindex.plans.pages import processed, site_links
 from siteindex.plans.run import run
 from siteindex.session import keep
-from siteindex.sources.snapshot import first_copies
+from siteindex.sources.snapshot import first_copies, pages_of
 
+H0, H1 = "https://h0.org", "https://h1.org"
 RULES = [("API", ["/api/"], ["api"]), ("Guide", None, ["guide", "Never"]), ("Zed", ["/z"], None)]
 
-
-def make_web(seed=5, hosts=3, size=40):
-    """Random pages: {url: [href, ...]} with repeats, fragments, files and dead links."""
-    rng = random.Random(seed)
-    web = {}
-    for h in range(hosts):
-        for i in range(size):
-            refs = []
-            for _ in range(rng.randint(0, 14)):
-                kind = rng.random()
-                target = f"/docs/{rng.randint(0, size + 8)}"
-                if kind < 0.1:
-                    target = f"https://h{rng.randint(0, hosts)}.org/docs/{rng.randint(0, size)}"
-                elif kind < 0.2:
-                    target += "#x"
-                elif kind < 0.25:
-                    target += ".pdf"
-                elif kind < 0.3:
-                    target = "/api/" + target[6:]
-                refs.append(target)
-            web[f"https://h{h}.org/docs/{i}"] = refs
-    return web
-
-
-WEB = make_web()
+#: Title and links of each page: repeats, a fragment, a file, another host, missing pages.
+WEB = {
+    f"{H0}/docs/0": ("Plain zero", ["/docs/1", "2", "/docs/1#x", "/docs/3.pdf", f"{H1}/docs/0", "/api/5", "/docs/9", "/docs/1"]),
+    f"{H0}/docs/1": ("Guide one", ["/docs/0", "/docs/4"]),
+    f"{H0}/docs/2": ("Plain two", ["/docs/4", "/docs/5", "/docs/6"]),
+    f"{H0}/docs/4": ("API four", []),
+    f"{H0}/docs/5": ("Plain five", ["/docs/2"]),
+    f"{H0}/docs/6": ("Guide six", ["/docs/7"]),
+    f"{H0}/docs/7": ("Plain seven", []),
+    f"{H0}/api/5": ("Anything", ["/docs/0"]),
+    f"{H1}/docs/0": ("Plain many", [f"/docs/{i}" for i in range(1, 16)]),
+} | {f"{H1}/docs/{i}": (f"Plain leaf {i}", []) for i in range(1, 16)}
+LEAD = "This paragraph is long enough to serve as the description of its page."
 
 
 def page_rows():
     rows = []
-    for i, (url, refs) in enumerate(WEB.items()):
+    for i, (url, (title, refs)) in enumerate(WEB.items()):
         anchors = "".join(f'<a href="{ref}">l</a>' for ref in refs)
-        word = ("API", "Guide", "Plain")[i % 3]
-        rows.append((i, url, f"<article><h1>{word} {i % 7} title</h1><p>text {i}</p>{anchors}</article>"))
+        lead = f"<p>{LEAD}</p>" if title == "Guide one" else ""
+        rows.append((i, url, f"<article><h1>{title}</h1>{lead}<p>text {i}</p>{anchors}</article>"))
     return rows
 
 
@@ -63,13 +51,29 @@ def pages(spark):
 
 
 SITES = [
-    ("s0", ["https://h0.org/docs/0", "https://h0.org/docs/1", "https://h0.org/docs/0"], [], [], 100),
-    ("s1", ["https://h1.org/docs/3", "https://h1.org/docs/999", "https://h1.org/docs/4"], [], ["/docs/1"], 12),
-    ("s2", ["https://h2.org/docs/5"], ["/docs/1", "/docs/2"], None, 4),
-    ("s3", [f"https://h0.org/docs/{i}" for i in range(20)], None, [], 25),
-    ("s4", ["https://nowhere.org/"], [], [], None),
-    ("s5", [], [], [], 10),
-    ("s6", ["https://h0.org/docs/2"], [], [], 0),
+    ("s0", [f"{H0}/docs/0", f"{H0}/docs/1", f"{H0}/docs/0"], [], [], 100),
+    ("s1", [f"{H0}/docs/2", f"{H0}/docs/999"], ["/docs/"], ["/docs/5"], 3),
+    ("s2", ["https://nowhere.org/"], [], [], None),
+    ("s3", [], [], [], 10),
+    ("s4", [f"{H0}/docs/2"], [], [], 0),
+    ("s5", [f"{H1}/docs/0", f"{H1}/docs/3"], None, None, 5),
+]
+DISCOVERED = {
+    "s0": [f"{H0}/docs/0", f"{H0}/docs/1", f"{H0}/docs/2", f"{H0}/api/5", f"{H0}/docs/9", f"{H0}/docs/4"],
+    "s1": [f"{H0}/docs/2", f"{H0}/docs/4", f"{H0}/docs/6"],
+    "s2": ["https://nowhere.org/"],
+    "s5": [f"{H1}/docs/{i}" for i in range(5)],
+}
+CATALOGUE = [
+    ("s0", 0, f"{H0}/docs/0", "Plain zero", "Other"),
+    ("s0", 1, f"{H0}/docs/1", "Guide one", "Guide"),
+    ("s0", 2, f"{H0}/docs/2", "Plain two", "Other"),
+    ("s0", 3, f"{H0}/api/5", "Anything", "API"),
+    ("s0", 5, f"{H0}/docs/4", "API four", "API"),
+    ("s1", 0, f"{H0}/docs/2", "Plain two", "Other"),
+    ("s1", 1, f"{H0}/docs/4", "API four", "API"),
+    ("s1", 2, f"{H0}/docs/6", "Guide six", "Guide"),
+    *(("s5", i, f"{H1}/docs/{i}", f"Plain leaf {i}" if i else "Plain many", "Other") for i in range(5)),
 ]
 
 
@@ -82,52 +86,13 @@ def sites(spark):
     return spark.createDataFrame(rows, config.SITES)
 
 
-def expected_discovery():
-    out = {}
-    for site, urls, inc, exc, cap in SITES:
-        cap = 100 if cap is None else cap
-        seen = []
-        for base in urls:
-            links = []
-            for ref in WEB.get(base, []):
-                full = urljoin(base, ref)
-                ok = urlparse(full).netloc == urlparse(base).netloc and not any(w in full.lower() for w in DISCOVERY_SKIP)
-                ok = ok and not any(x in full for x in exc or []) and (not inc or any(x in full for x in inc))
-                if ok and len(links) < cap:
-                    links.append(full)
-            links = links or [base]
-            if base not in links:
-                links.insert(0, base)
-            for url in links:
-                if len(seen) < cap and url not in seen:
-                    seen.append(url)
-        out[site] = seen
-    return out
-
-
 def test_discover(spark, sites, pages):
-    rows = discover(sites, site_links(pages)).orderBy("site_id", "rank").collect()
-    got = {site: [r.url for r in rows if r.site_id == site] for site, *_ in SITES}
-    assert got == expected_discovery()
-    for site in got:
-        assert [r.rank for r in rows if r.site_id == site] == list(range(len(got[site])))
-
-
-def expected_catalog():
-    html = {url: text for _, url, text in page_rows()}
-    rows = []
-    for site, urls in expected_discovery().items():
-        for rank, url in enumerate(urls):
-            if url not in html:
-                continue
-            title = html[url].split("<h1>")[1].split("</h1>")[0]
-            category = "Other"
-            if "/api/" in url or "api" in title.lower():
-                category = "API"
-            elif "guide" in title.lower():
-                category = "Guide"
-            rows.append((site, rank, url, title, category))
-    return sorted(rows)
+    rows = discover(sites, site_links(pages)).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.rank):
+        got.setdefault(r.site_id, []).append(r.url)
+    assert got == DISCOVERED
+    assert all(got[r.site_id][r.rank] == r.url for r in rows)
 
 
 @pytest.fixture(scope="module")
@@ -137,83 +102,106 @@ def built(spark, sites, pages):
 
 def test_catalog(built):
     got = sorted((r.site_id, r.rank, r.url, r.title, r.category) for r in built.collect())
-    assert got == expected_catalog()
+    assert got == sorted(CATALOGUE)
     assert built.select("source").distinct().collect()[0][0] == "link_discovery"
 
 
-def expected_document(site, name, artifact, pages):
-    by_category = {}
-    for page in pages:
-        by_category.setdefault(page["category"], []).append(page)
-    out = []
-    if artifact in ("index", "full"):
-        out.append(f"# Name {site}\n\n> About {site}\n\n" + ("More\n\n" if site == "s0" else ""))
-        for category in sorted(by_category):
-            out.append(f"## {'Optional' if category == 'Other' else category}\n\n")
-            for p in sorted(by_category[category], key=lambda p: p["title"]):
-                link = f"- [{p['title']}]({p['url']})" + (f": {p['description']}" if p["description"] else "")
-                out.append(link + ("\n" if artifact == "index" else f"\n\n{p['content']}\n\n---\n\n"))
-            if artifact == "index":
-                out.append("\n")
-        return "".join(out)
-    out.append(f'<project title="Name {site}" summary="About {site}">\n')
-    for category in sorted(by_category):
-        if category == "Other" and artifact == "context":
-            continue
-        out.append(f'<section name="{category}">\n')
-        for p in sorted(by_category[category], key=lambda p: p["title"]):
-            out.append(f'<page title="{p["title"]}" url="{p["url"]}">\n<content>{p["content"]}</content>\n</page>\n')
-        out.append("</section>\n")
-    return "".join(out) + "</project>"
+def test_only_listed_pages_are_parsed(spark, pages):
+    listed = keep(spark.createDataFrame([(f"{H0}/docs/4",), ("x",)], "url string"), "listed")
+    df = page_facts(only(pages, listed))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("LeftSemi")
+    assert [r.title for r in df.collect()] == ["API four"]
+
+
+def s0_documents(content):
+    """The documents of the first site; ``content`` is the text of each page."""
+    zero, one, two, four, five = (f"{H0}/docs/0", f"{H0}/docs/1", f"{H0}/docs/2", f"{H0}/docs/4", f"{H0}/api/5")
+    links = {
+        four: f"- [API four]({four})", five: f"- [Anything]({five})", one: f"- [Guide one]({one}): {LEAD}",
+        two: f"- [Plain two]({two})", zero: f"- [Plain zero]({zero})",
+    }
+    head = "# Name s0\n\n> About s0\n\nMore\n\n"
+    index = (
+        head + f"## API\n\n{links[four]}\n{links[five]}\n\n## Guide\n\n{links[one]}\n\n"
+        f"## Optional\n\n{links[two]}\n{links[zero]}\n\n"
+    )
+    whole = {url: f"{link}\n\n{content[url]}\n\n---\n\n" for url, link in links.items()}
+    full = (
+        head + "## API\n\n" + whole[four] + whole[five] + "## Guide\n\n" + whole[one]
+        + "## Optional\n\n" + whole[two] + whole[zero]
+    )
+    page = lambda url, title: f'<page title="{title}" url="{url}">\n<content>{content[url]}</content>\n</page>\n'
+    start = '<project title="Name s0" summary="About s0">\n'
+    known = (
+        '<section name="API">\n' + page(four, "API four") + page(five, "Anything") + "</section>\n"
+        '<section name="Guide">\n' + page(one, "Guide one") + "</section>\n"
+    )
+    other = '<section name="Other">\n' + page(two, "Plain two") + page(zero, "Plain zero") + "</section>\n"
+    return {
+        "index": index, "full": full, "context": start + known + "</project>",
+        "context_full": start + known + other + "</project>",
+    }
 
 
 def test_documents(sites, built):
-    rows = [r.asDict() for r in built.orderBy("site_id", "rank").collect()]
     table = keep(render.lines(sites, built), "lines")
     texts = {(r.site_id, r.artifact): r.text for r in render.documents(table).collect()}
-    for site, *_ in SITES:
-        for artifact in render.ARTIFACTS:
-            expected = expected_document(site, None, artifact, [r for r in rows if r["site_id"] == site])
-            assert texts[site, artifact] == expected, (site, artifact)
+    content = {r.url: r.content for r in built.collect()}
+    for artifact, text in s0_documents(content).items():
+        assert texts["s0", artifact] == text
+    assert texts["s2", "index"] == "# Name s2\n\n> About s2\n\n"
+    assert texts["s5", "context"] == '<project title="Name s5" summary="About s5">\n</project>'
+    assert len(texts) == len(SITES) * len(render.ARTIFACTS)
     numbers = table.groupBy("site_id", "artifact").agg(F.count("*").alias("n"), F.max("line_no").alias("m"), F.countDistinct("line_no").alias("d"))
     assert all(r.n == r.m + 1 == r.d for r in numbers.collect())
 
 
+def test_a_hot_site_is_ordered_by_several_tasks(spark):
+    rows = [("hot", i, f"C{i % 3}", f"t{(i * 7919) % 1000:03d}") for i in range(2000)] + [("cold", 0, "Other", "x")]
+    df = spark.createDataFrame(rows, "site_id string, rank int, category string, title string")
+    order = keep(render.page_order(df), "places")
+    got = {(r.site_id, r["rank"]): r for r in order.collect()}
+    expected = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (r[2], r[3], r[1]))
+    assert [got["hot", r[1]].entry for r in expected] == list(range(2000))
+    assert sum(r.opens for r in got.values()) == sum(r.closes for r in got.values()) == 4
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # for so few rows
+    blocks = df.repartitionByRange("site_id", "category", "title", "rank").where("site_id = 'hot'")
+    tasks = blocks.select(F.spark_partition_id()).distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1
+
+
 def joined_parts(folder):
     files = sorted(folder.glob("part=*/part-*"), key=lambda p: int(p.parent.name[5:]))
     return "".join(p.read_text(encoding="utf-8") for p in files), len(files)
 
 
-def test_run_writes_documents_and_records(spark, sites, pages, built, tmp_path, monkeypatch):
-    monkeypatch.setattr(render, "LINES_PER_FILE", 20)
-    monkeypatch.setattr(render, "RECORDS_PER_FILE", 3)
-    summary = {r.site_id: r.pages_processed for r in run(sites, pages, str(tmp_path)).collect()}
-    rows = [r.asDict() for r in built.orderBy("site_id", "rank").collect()]
-    for site, *_ in SITES:
-        of_site = [r for r in rows if r["site_id"] == site]
-        assert summary[site] == len(of_site)
-        for artifact in ("index", "full"):
-            text, n = joined_parts(tmp_path / "documents" / f"artifact={artifact}" / f"site_id={site}")
-            assert text == expected_document(site, None, artifact, of_site)
-            assert n == -(-text.count("\n") // 20)
-        text, _ = joined_parts(tmp_path / "records" / f"site_id={site}")
-        records = [json.loads(line) for line in text.splitlines()]
-        assert [r["url"] for r in records] == [r["url"] for r in of_site]
-        assert all(list(r) == ["url", "title", "description", "content", "category", "source"] for r in records)
+def test_run_writes_documents_and_records(spark, sites, pages, built, tmp_path):
+    summary = {r.site_id: r for r in run(sites, pages, str(tmp_path), part_lines=20, part_records=3).collect()}
+    content = {r.url: r.content for r in built.collect()}
+    for artifact in ("index", "full"):
+        text, n = joined_parts(tmp_path / "documents" / f"artifact={artifact}" / "site_id=s0")
+        assert text == s0_documents(content)[artifact] and n == -(-text.count("\n") // 20)
+    text, n = joined_parts(tmp_path / "records" / "site_id=s0")
+    records = [json.loads(line) for line in text.splitlines()]
+    assert [r["url"] for r in records] == [row[2] for row in CATALOGUE if row[0] == "s0"] and n == 2
+    assert all(list(r) == ["url", "title", "description", "content", "category", "source"] for r in records)
+    assert {s: r.pages_processed for s, r in summary.items()} == {"s0": 5, "s1": 3, "s2": 0, "s3": 0, "s4": 0, "s5": 5}
+    assert summary["s0"].files_generated == ["index", "full", "records"]
     assert not (tmp_path / "documents" / "artifact=context").exists()
 
 
-def test_pages_of_sites(spark, sites, pages):
-    h1 = sites.where("site_id = 's1'")
-    assert {r.url.split("/")[2] for r in pages_of_sites(pages, h1).collect()} == {"h1.org"}
-    assert pages_of_sites(pages, sites, limit=1).count() == pages.count()
+def test_run_names_the_files_it_wrote(sites, pages, tmp_path):
+    row = run(sites.where("site_id = 's0'"), pages, str(tmp_path), context=True, contents=True).first()
+    assert row.files_generated == ["index", "full", "context", "context_full", "records"]
+    assert {p.name[9:] for p in (tmp_path / "documents").glob("artifact=*")} == set(row.files_content)
 
 
 def test_run_summary(spark, built):
     requests = spark.createDataFrame([("s0", "e.com"), ("s4", "x"), ("blank", " \t"), ("none", None)], "site_id string, url string")
     rows = {r.site_id: r for r in render.run_summary(requests, built, "/out").collect()}
-    n = sum(1 for r in expected_catalog() if r[0] == "s0")
-    assert (rows["s0"].success, rows["s0"].pages_processed, rows["s0"].output_directory) == (True, n, "/out")
+    assert (rows["s0"].success, rows["s0"].pages_processed, rows["s0"].output_directory) == (True, 5, "/out")
     assert rows["s0"].files_generated == ["index", "full", "records"] and rows["s0"].error is None
     assert (rows["s4"].success, rows["s4"].pages_processed) == (True, 0)
     for site in ("blank", "none"):
@@ -229,50 +217,82 @@ def test_contents_join_the_summary(spark, sites, built):
     assert rows["s0"].files_content["index"].startswith("# Name s0\n\n> About s0\n\nMore\n\n## ")
 
 
-def walk(start, mode, max_pages, max_depth):
-    _, words, width = CRAWL_MODES[mode]
-    queue, seen, out = [(start, 0)], set(), []
-    while queue and len(out) < max_pages:
-        url, depth = queue.pop(0)
-        if depth > max_depth or url in seen:
-            continue
-        seen.add(url)
-        if url in WEB:
-            out.append((url, depth))
-            if depth < max_depth:
-                links = [urljoin(url, ref) for ref in WEB[url]]
-                links = [u for u in links if any(w in u.lower() for w in words)][:width]
-                queue += [(u, depth + 1) for u in links if u not in seen]
-    return out
-
-
-@pytest.mark.parametrize("mode,max_pages,max_depth", [("docs", 30, 3), ("docs", 7, 5), ("docs", 100, 1), ("docs", 5, 0), ("other", 30, 2)])
-def test_crawl(spark, pages, mode, max_pages, max_depth):
-    starts = {"a": "https://h0.org/docs/0", "b": "https://h1.org/docs/7", "c": "https://nowhere.org/"}
+#: Address and depth in visiting order from the first page; of 15 links of a page 10 count.
+VISITED = [
+    (f"{H0}/docs/0", 0),
+    (f"{H0}/docs/1", 1), (f"{H0}/docs/2", 1), (f"{H1}/docs/0", 1), (f"{H0}/api/5", 1),
+    (f"{H0}/docs/4", 2), (f"{H0}/docs/5", 2), (f"{H0}/docs/6", 2),
+    *((f"{H1}/docs/{i}", 2) for i in range(1, 11)),
+    (f"{H0}/docs/7", 3),
+]
+
+
+@pytest.mark.parametrize("mode,max_pages,max_depth,expected", [
+    ("docs", 30, 3, VISITED), ("docs", 7, 5, VISITED[:7]), ("docs", 100, 1, VISITED[:5]),
+    ("docs", 5, 0, VISITED[:1]), ("other", 30, 2, VISITED[:18]),
+])
+def test_crawl(spark, pages, mode, max_pages, max_depth, expected):
+    starts = {"a": f"{H0}/docs/0", "b": f"{H1}/docs/7", "c": "https://nowhere.org/"}
     df = crawl(spark.createDataFrame(list(starts.items()), "site_id string, url string"), pages, mode, max_pages, max_depth)
     rows = df.orderBy("site_id", "rank").collect()
-    for site, start in starts.items():
-        got = [(r.url, r.depth) for r in rows if r.site_id == site]
-        assert got == walk(start, "docs", max_pages, max_depth)
-        assert [r.rank for r in rows if r.site_id == site] == list(range(len(got)))
-    assert {r.traversal_mode for r in rows} <= {"documentation"}
+    assert [(r.url, r.depth) for r in rows if r.site_id == "a"] == expected
+    assert [r.rank for r in rows if r.site_id == "a"] == list(range(len(expected)))
+    assert [(r.site_id, r.url, r.rank) for r in rows if r.site_id != "a"] == [("b", f"{H1}/docs/7", 0)]
+    assert {r.traversal_mode for r in rows} == {"documentation"}
+
+
+def test_crawl_with_settings_of_each_site(spark, pages):
+    rows = [("a", f"{H0}/docs/0", "docs", 3, 5), ("b", f"{H0}/docs/0", "map", 9, 9),
+            ("c", f"{H0}/docs/0", None, None, 1), ("d", f"{H0}/docs/0", "docs", 9, -1)]
+    starts = spark.createDataFrame(rows, "site_id string, url string, traversal_mode string, max_pages int, max_depth int")
+    got = crawl(starts, pages).orderBy("site_id", "rank").collect()
+    reached = {site: [(r.url, r.depth) for r in got if r.site_id == site] for site in "abcd"}
+    assert reached == {"a": VISITED[:3], "b": VISITED[:1], "c": VISITED[:5], "d": []}
+    assert {(r.site_id, r.traversal_mode, r.structure_info is None) for r in got} == {
+        ("a", "documentation", True), ("b", "structure", False), ("c", "documentation", True)}
 
 
 def test_crawl_map_has_structure_and_html(spark, pages):
-    starts = spark.createDataFrame([("a", "https://h0.org/docs/0")], "site_id string, url string")
+    starts = spark.createDataFrame([("a", f"{H0}/docs/0")], "site_id string, url string")
     row = crawl(starts, pages, "map", keep_html=True).first()
     assert row.traversal_mode == "structure" and row.structure_info.heading_count == 1 and row.html.startswith("<article>")
 
 
 def test_first_copies(spark, pages):
-    assert first_copies(pages) is pages
-    hot = "https://h0.org/docs/0"
+    assert sorted(first_copies(pages).collect()) == sorted(pages.collect())
+    hot = f"{H0}/docs/0"
     copies = spark.range(500).select((F.col("id") + 10_000).alias("page_id"), F.lit(hot).alias("url"), F.lit("<p>old</p>").alias("html"))
     kept = first_copies(pages.unionByName(copies))
     assert kept.count() == pages.count()
     assert kept.where(F.col("url") == hot).first().page_id == 0
 
 
+def test_first_copies_of_responses(spark):
+    rows = [("u", 200, "t", "a"), ("u", 200, "t", "a"), ("u", 200, "t", "b"), ("v", 200, "t", "c")]
+    responses = spark.createDataFrame(rows, "url string, status int, content_type string, body string")
+    assert sorted(r.url for r in first_copies(pages_of(responses)).collect()) == ["u", "v"]
+    numbered_rows = responses.withColumn("page_id", F.when(F.col("body") == "b", 1).otherwise(2).cast("bigint"))
+    kept = {r.url: r.html for r in first_copies(pages_of(numbered_rows)).collect()}
+    assert kept == {"u": "b", "v": "c"}
+
+
+@pytest.mark.parametrize("tag", ['a href="/x"', "h2", "code"])
+def test_elements_that_are_never_closed(spark, tag):
+    html = "<article>" + f"<{tag}>some text " * 8000 + "</article>"
+    df = spark.createDataFrame([(1, "https://e.com/", html)], "page_id bigint, url string, html string")
+    began = time.monotonic()
+    assert page_facts(df).first().content.count("some text") == 8000
+    assert time.monotonic() - began < 60
+
+
+def test_links_without_text_do_not_fail_a_page(spark):
+    rows = [(1, "https://e.com/1", '<article><a href="http://[x/"> <i2>\n</i2></a>words</article>'),
+            (2, "https://e.com/2", '<article><a href="http://[x/"> <i2>x</i2></a>words</article>')]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    titles = {r.page_id: r.title for r in df.join(processed(df).select("url", "title"), "url").collect()}
+    assert titles[1] != "Error Processing Content" and titles[2] == "Error Processing Content"
+
+
 def test_numbered_spreads_a_hot_group(spark):
     rows = [("hot", i // 10, i % 10) for i in range(1000)] + [("cold", 5, 1), ("cold", 2, 9)]
     random.Random(1).shuffle(rows)
@@ -312,5 +332,5 @@ def test_requested_sites(spark):
 def test_failed_page_keeps_its_links(spark):
     html = '<nav><a href="/a">a</a></nav><article><a href="http://[x/">t</a></article>'
     pages = spark.createDataFrame([(1, "https://e.com/", html)], "page_id bigint, url string, html string")
-    row = page_facts(pages).first()
-    assert row.title == "Error Processing Content" and row.links == ["https://e.com/a"]
+    assert page_facts(pages).first().title == "Error Processing Content"
+    assert site_links(pages).first().links == ["https://e.com/a"]

@@ -114,3 +114,23 @@ def test_read_files(spark, tmp_path):
     rows = read_files(spark, str(tmp_path / "*.html")).collect()
     assert [(r.url.split("/")[-1], r.html) for r in rows] == [("a.html", "<p>x</p>\n<p>y</p>")]
     assert rows[0].url.startswith("file:///")
+
+
+def test_forms_of_xml(spark):
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    entry = "<url><loc>https://e.com/a</loc></url>"
+    bodies = {
+        "plain": f"<urlset {ns}>{entry}</urlset>\n<!-- end -->\n",
+        "quotes": f"<?xml version='1.0'?><urlset xmlns = '{ns[7:-1]}'>{entry}</urlset>",
+        "prefix": f"<s:urlset xmlns:s{ns[5:]}>{entry.replace('<', '<s:').replace('<s:/', '</s:')}</s:urlset>",
+        "two roots": f"<urlset {ns}>{entry}</urlset><x/>",
+        "text after": f"<urlset {ns}>{entry}</urlset> more",
+        "other namespace": f'<urlset xmlns="urn:x" note="{ns[7:-1]}">{entry}</urlset>',
+        "mentioned only": f"<urlset><!-- {ns} -->{entry}</urlset>",
+        "deeper": f"<urlset {ns}><group>{entry}</group></urlset>",
+    }
+    rows = [(name, 200, "text/xml", body) for name, body in bodies.items()]
+    responses = spark.createDataFrame(rows, "url string, status int, content_type string, body string")
+    got = {r.url: r.locations for r in sitemap_documents(responses).collect()}
+    assert {name for name, found in got.items() if found == ["https://e.com/a"]} == {"plain", "quotes", "prefix"}
+    assert all(found == [] for name, found in got.items() if name not in ("plain", "quotes", "prefix"))

@@ -121,3 +121,6 @@ def test_normalise_input(spark):
     )
     got = [r[0] for r in df.select(U.normalise_input(F.col("u"), F.col("l"))).collect()]
     assert got == ["https://e.com", "https://e.com/x", "http://e.com", "file:///srv/a", "file:///a", "https://@e.com"]
+    local = spark.createDataFrame([("./a/b.html",), ("c",), ("/d",)], "u string")
+    got = [r[0] for r in local.select(U.normalise_input(F.col("u"), F.lit(True), "/srv/")).collect()]
+    assert got == ["file:///srv/a/b.html", "file:///srv/c", "file:///d"]

@@ -19,7 +19,7 @@ BLOCK, HOSTS = 500, 5
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(spark, f"{sf_dir}/pages.parquet")
+    return read_pages(spark, f"{sf_dir}/pages.parquet", spark.sparkContext.defaultParallelism)
 
 
 def _heap(df: DataFrame) -> DataFrame:
