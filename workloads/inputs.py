@@ -16,6 +16,8 @@ from siteindex.sources.snapshot import read_pages
 # path of an ordinary page, path of the link to another host
 PATHS = {"docs": ("docs", "guide"), "research": ("wiki", "article"), "map": ("blog", "news")}
 BLOCK, HOSTS = 500, 5
+#: Pages and depth of the crawls: the first is cut by its pages, the second by its depth.
+CRAWL_CAPS = {"docs": (12, 3), "research": (60, 3), "map": (60, 5)}
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +106,7 @@ def host_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.length("authority") % 3 == 1, F.array(F.lit("/an"))).otherwise(none).alias(
             "exclude_patterns"
         ),
-        F.when(F.length("authority") % 4 == 0, 9).cast("int").alias("max_pages"),
+        F.when(F.length("authority") % 4 == 0, 3).cast("int").alias("max_pages"),
     )
 
 
@@ -127,7 +129,7 @@ def linked_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = F.array(
         _rule("Ones", ["/docs/1"], []),
         _rule("The", [], ["the", "Never"]),
-        _rule("Zero", ["0"], ["zzz"]),
+        _rule("Five", ["5"], ["zzz"]),
     )
     return hosts.unionByName(empty).select(
         "site_id",
@@ -167,6 +169,37 @@ def roots(spark: SparkSession, sf_dir: str, mode: str = "docs") -> DataFrame:
     )
 
 
+def mixed_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heap roots with crawl settings that differ from host to host, or are missing."""
+    host = "cast(split_part(site_id, '-', 2) AS int)"
+    return roots(spark, sf_dir).selectExpr(
+        "*",
+        f"CASE {host} % 3 WHEN 0 THEN 'docs' WHEN 1 THEN 'map' END AS traversal_mode",
+        f"CASE WHEN {host} % 3 = 0 THEN 12 END AS max_pages",
+        f"CASE WHEN {host} % 3 = 1 THEN 9 END AS max_depth",
+    )
+
+
+def copied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with later copies of every third, and each fifth twice under its own id."""
+    given = pages(spark, sf_dir)
+    later = given.where("page_id % 3 = 0").selectExpr("page_id + 1000000000 AS page_id", "url", "'<p>old</p>' AS html")
+    return given.unionByName(later).unionByName(given.where("page_id % 5 = 0"))
+
+
+def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with JSON-LD that repeats a key, holds no number, or is not JSON."""
+    script = (
+        "concat('<script type=\"application/ld+json\">', CASE page_id % 3"
+        " WHEN 0 THEN concat('{\"a\": 1, \"a\": ', page_id, '}')"
+        " WHEN 1 THEN concat('{\"v\": NaN, \"w\": [-Infinity], \"id\": ', page_id, '}')"
+        " ELSE '{\"v\": nan}' END, '</script><article>')"
+    )
+    return pages(spark, sf_dir).selectExpr(
+        "page_id", "url", f"replace(html, '<article>', {script}) AS html"
+    )
+
+
 def sitemap_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(site_id, base_url)`` of the linked hosts."""
     return roots(spark, sf_dir).withColumnRenamed("url", "base_url")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,11 @@ from siteindex.plans.catalog import catalog, category
 from siteindex.plans.crawl import crawl
 from siteindex.plans.discover import discover
 from siteindex.plans.sitemap import sitemap_info, sitemap_info_urls, sitemap_urls
-from siteindex.session import configure, keep
+from siteindex.plans.run import run
+from siteindex.session import configure, keep, shared_dir
 from siteindex.sources.nodes import anchors
 from siteindex.sources.sitemaps import existing, robots_sitemaps
-from siteindex.sources.snapshot import fetched, pages_of
+from siteindex.sources.snapshot import fetched, first_copies, pages_of
 from workloads import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +31,10 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
         return function(configure(spark), sf_dir)
 
-    QUERIES[function.__name__] = run
+    QUERIES[function.__name__] = configured
     return function
 
 
@@ -128,6 +130,12 @@ def page_lookup(spark, sf_dir):
     return found.select("url", F.length("html").cast("bigint").alias("n_chars"))
 
 
+@query
+def single_copies(spark, sf_dir):
+    kept = first_copies(inputs.copied_pages(spark, sf_dir))
+    return kept.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
+
+
 @query
 def crawl_lookup(spark, sf_dir):
     found = fetched(pages_of(inputs.page_responses(spark, sf_dir), crawl=True))
@@ -213,6 +221,14 @@ def structured_data(spark, sf_dir):
     )
 
 
+@query
+def structured_forms(spark, sf_dir):
+    read = with_view(P.parsed(inputs.json_pages(spark, sf_dir)), DOCUMENT)
+    return read.select(
+        "url", X.structured_data(F.col("elements"), F.col("nodes")).alias("structured_data")
+    )
+
+
 @query
 def page_structure(spark, sf_dir):
     read = P.parsed(inputs.linked_pages(spark, sf_dir))
@@ -347,13 +363,23 @@ def run_summary(spark, sf_dir):
     )
 
 
+@query
+def site_files(spark, sf_dir):
+    """Lines of the documents that a run writes, read back by artifact and site."""
+    output = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    run(inputs.linked_sites(spark, sf_dir), inputs.linked_pages(spark, sf_dir), output, context=True)
+    files = spark.read.text(f"{output}/documents")
+    return files.groupBy("site_id", "artifact").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 # --- crawl ---------------------------------------------------------------------
 
 
 def _crawl(spark, sf_dir, mode, *extra):
+    max_pages, max_depth = inputs.CRAWL_CAPS[mode]
     visited = crawl(
         inputs.roots(spark, sf_dir, mode), inputs.linked_pages(spark, sf_dir, mode), mode,
-        max_pages=60, max_depth=5,
+        max_pages, max_depth,
     )
     return visited.select(
         "site_id", _long("rank"), "url", "title", _long("depth"), "traversal_mode",
@@ -382,6 +408,15 @@ def crawl_structure(spark, sf_dir):
     )
 
 
+@query
+def crawl_mixed(spark, sf_dir):
+    visited = crawl(inputs.mixed_roots(spark, sf_dir), inputs.linked_pages(spark, sf_dir))
+    return visited.select(
+        "site_id", _long("rank"), "url", _long("depth"), "traversal_mode",
+        F.col("structure_info").isNotNull().alias("has_structure"),
+    )
+
+
 # --- sitemaps ------------------------------------------------------------------
 
 
