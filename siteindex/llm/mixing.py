@@ -1,18 +1,19 @@
 """Rates for documents so that domains get target shares of the tokens, by soft membership.
 
-A classifier learned from a labelled table says how likely a document is of each domain: counts
-of labelled documents by hashed word and domain give log-likelihoods, summed over a document's
-distinct words; words of no labelled document say nothing. The evidence of a document counts as that of ``EVIDENCE`` words at most, so that
-membership stays soft. A document of ``n`` tokens read at rate ``r`` adds ``r * n * p`` tokens to
-each domain. The rates minimise the squared distance of the domains' expected totals to their
-targets (each relative to its target) and, weighted by ``RIDGE``, of the rates to 1, subject to
-``r >= 0``. Projected gradient steps with momentum do this: a step needs the totals alone, one
-number for each domain, and each document replays the steps since its rate was last written.
+A classifier learned from at most ``FIT_ROWS`` labelled rows says how likely a document is of
+each domain: counts of labelled documents by hashed word and domain give log-likelihoods, summed
+over a document's distinct words; words of no labelled document say nothing. The evidence of a
+document counts as that of ``EVIDENCE`` words at most, so that membership stays soft. A document
+of ``n`` tokens read at rate ``r`` adds ``r * n * p`` tokens to each domain. The rates minimise the
+squared distance of the domains' expected totals to their targets (each relative to its target)
+and, weighted by ``RIDGE``, of the rates to 1, subject to ``r >= 0``. Projected gradient steps with
+momentum do this: a step needs the totals alone, one number for each domain, and each document
+replays the steps since its rate was last written.
 
 Defined cases: null and empty texts have no tokens, the prior as membership and a rate all the
 same; null ids are never labelled; labels of no target domain are left out; several labels of an
-id count each; rows equal in id and text are one document; a domain without labelled documents
-has the prior of half a document; an empty table gives no rows.
+id, and several rows of it, count each in learning; rows equal in id and text are one document
+with one rate; a domain without labelled documents has the prior of half a document; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from siteindex.llm.common import BLANKS, KEY, VERSION, id_key, id_of, keyed, written
 
 BUCKETS, EVIDENCE, DRAWN, RIDGE, SEED = 1 << 16, 64, 20.0, 1e-3, 7
+#: Labelled rows to learn from at most, those with the smallest hash of their id.
+FIT_ROWS = 20_000
 STEPS, WRITE_EVERY, TOLERANCE = 60, 12, 2e-3
 
 
@@ -43,7 +46,7 @@ def _features(docs: DataFrame) -> DataFrame:
         VERSION,
         F.size("words").cast("bigint").alias("n_tokens"),
         F.array_distinct(F.transform("words", bucket)).alias("buckets"),
-    )
+    ).withColumn("n_buckets", F.size("buckets"))
 
 
 def _weights(features: DataFrame, labelled: DataFrame, domains: list[str]):
@@ -55,7 +58,8 @@ def _weights(features: DataFrame, labelled: DataFrame, domains: list[str]):
     marks = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).select(
         id_key().alias(KEY), "domain"
     )
-    known = features.join(marks, KEY)
+    marks = marks.orderBy(F.xxhash64(F.lit(SEED), KEY), KEY, "domain").limit(FIT_ROWS)
+    known = features.join(F.broadcast(marks), KEY)
     each = [F.count_if(F.col("domain") == d).alias(f"c{j}") for j, d in enumerate(domains)]
     docs = [float(c) for c in known.agg(*each).first()]
     total = max(1.0, sum(docs))
@@ -74,7 +78,7 @@ def _weights(features: DataFrame, labelled: DataFrame, domains: list[str]):
 
 def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
     """``_key, _version, n_tokens, p``: the probability of each domain, in their order."""
-    features = written(_features(docs).dropDuplicates([KEY, VERSION]), "mix-features")
+    features = written(_features(docs), "mix-features")
     weights, prior = _weights(features, labelled, domains)
     weights = written(weights, "mix-weights")
     sums = [F.sum(f"w{j}").alias(f"w{j}") for j in range(len(domains))]
@@ -84,11 +88,16 @@ def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
         .groupBy(KEY, VERSION)
         .agg(*sums)
     )
-    share = F.lit(float(EVIDENCE)) / F.greatest(F.size("buckets"), F.lit(EVIDENCE))
+    rows = features.groupBy(KEY, VERSION).agg(
+        F.max("n_tokens").alias("n_tokens"),
+        F.max("n_buckets").alias("n_buckets"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+    share = F.lit(float(EVIDENCE)) / F.greatest("n_buckets", F.lit(EVIDENCE)) / F.col("n_rows")
     logs = [
         F.lit(prior[j]) + share * F.coalesce(f"w{j}", F.lit(0.0)) for j in range(len(domains))
     ]
-    joined = features.join(found, [KEY, VERSION], "left").withColumn("l", F.array(*logs))
+    joined = rows.join(found, [KEY, VERSION], "left").withColumn("l", F.array(*logs))
     odds = F.transform("l", lambda x: F.exp(x - F.array_max("l")))
     total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
     return joined.withColumn("odds", odds).select(
