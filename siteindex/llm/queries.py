@@ -160,6 +160,32 @@ def op9_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+ORACLES["op9_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+windows AS (
+  SELECT doc_id, s, array_to_string(words[s + 1:s + 20], ' ') AS passage
+  FROM (SELECT doc_id, words, unnest(range(len(words) - 19)) AS s FROM split WHERE len(words) >= 20)
+),
+repeated AS (
+  SELECT doc_id, s FROM windows
+  QUALIFY row_number() OVER (PARTITION BY passage ORDER BY doc_id, s) > 1
+),
+covered AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS place FROM repeated),
+placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM split
+),
+kept AS (SELECT * FROM placed ANTI JOIN covered USING (doc_id, place)),
+joined AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n FROM kept GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN joined USING (doc_id)
+"""
+
+
 @query
 def op10_sharding(spark, sf_dir):
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
