@@ -11,6 +11,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from siteindex.session import clean_up  # noqa: E402
 from workloads.queries import QUERIES  # noqa: E402
 
 HEADLINES = (
@@ -44,6 +45,7 @@ def main() -> None:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_STEPS_DIR", "/tmp/siteindex-bench"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
@@ -68,6 +70,7 @@ def main() -> None:
             }
         )
     )
+    clean_up(spark)
     spark.stop()
 
 
