@@ -38,7 +38,9 @@ MARKS = 4
 EPOCHS, RATE = 8, 0.1
 HELD_OUT_FOLD, FOLDS, THRESHOLD = 0, 5, 0.3
 #: With so many words remembered, a worker starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+#: Texts whose words are looked up together.
+TOGETHER = 128
 
 
 def word_features(
@@ -196,6 +198,12 @@ class _Scorer:
         self.known.update(zip(words, (sums + 1j * counts).tolist(), strict=True))
 
     def scores(self, texts: Sequence[str | None]) -> list[float]:
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            out += self._some(texts[at : at + TOGETHER])
+        return out
+
+    def _some(self, texts: Sequence[str | None]) -> list[float]:
         split = [(text or "").encode().split() for text in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -225,6 +233,6 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text") -> Column:
             _scorers[name] = _Scorer(*sent.value)
         scorer = _scorers[name]
         for batch in texts:
-            yield pd.Series(scorer.scores(batch), dtype="float64")
+            yield pd.Series(scorer.scores(batch.tolist()), dtype="float64")
 
     return scored(F.col(text))
