@@ -210,6 +210,24 @@ def test_one_of_each(documents):
     assert set(got.columns) == set(documents(rows).columns)
 
 
+@pytest.mark.parametrize("kind", ["append", "cut", "insert", "replace"])
+def test_one_of_each_with_a_stretch_changed(documents, kind):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(50_000)]
+    rows = []
+    for i in range(60):
+        text, stretch = rng.choices(words, k=200), rng.choices(words, k=40)
+        other = {
+            "append": text + stretch,
+            "cut": text[30:],
+            "insert": text[:90] + stretch + text[90:],
+            "replace": text[:90] + stretch[:17] + text[107:],
+        }[kind]
+        rows += [(i, " ".join(text)), (100 + i, " ".join(other))]
+    got = near_text.one_of_each(documents(rows)).collect()
+    assert sorted(r.doc_id for r in got) == [*range(60)]
+
+
 @pytest.mark.parametrize("operator", [line_dedup.drop_shared_lines, simhash.near_duplicates,
                                       substring.drop_repeats, near_text.one_of_each])
 def test_empty_tables(documents, operator):
