@@ -210,6 +210,26 @@ def test_one_of_each(documents):
     assert set(got.columns) == set(documents(rows).columns)
 
 
+def similar_truth(rows):
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(doc, least.get(find(i), doc))
+    return sorted(least.values())
+
+
 @pytest.mark.parametrize("kind", ["append", "cut", "insert", "replace"])
 def test_one_of_each_with_a_stretch_changed(documents, kind):
     rng = random.Random(9)
@@ -228,6 +248,20 @@ def test_one_of_each_with_a_stretch_changed(documents, kind):
     assert sorted(r.doc_id for r in got) == [*range(60)]
 
 
+def test_partners_behind_a_pivot_that_is_unlike(documents):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(50_000)]
+    base = rng.choices(words, k=300)
+    rows = []
+    for i in range(120):  # of 0.79 with each other, and a partner of 0.806 for half of them
+        text = base[:276] + rng.choices(words, k=36)
+        rows.append((i, " ".join(text)))
+        if i % 2 == 0:
+            rows.append((1000 + i, " ".join(text[:279] + rng.choices(words, k=33))))
+    got = near_text.one_of_each(documents(rows)).collect()
+    assert sorted(r.doc_id for r in got) == similar_truth(rows)
+
+
 @pytest.mark.parametrize("operator", [line_dedup.drop_shared_lines, simhash.near_duplicates,
                                       substring.drop_repeats, near_text.one_of_each])
 def test_empty_tables(documents, operator):
