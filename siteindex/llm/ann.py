@@ -4,8 +4,11 @@ Inner products become distances by one more component, which brings all vectors
 On a bounded sample (``SAMPLE_ROWS`` rows of smallest hash) balanced bisection finds centroids;
 a neighbour graph over them is kept in memory and searched best-first for many vectors at once.
 Every vector goes to the list of its nearest centroid, and a vector near a border to further
-lists whose distance is within ``BORDER`` of the nearest, ``REPLICAS`` in all. A query reads the lists within ``REACH`` of its nearest centroid, and
-more until they hold ``ENOUGH`` rows for each neighbour wanted. Scores are inner products of the
+lists whose distance is within ``BORDER`` of the nearest, ``REPLICAS`` in all. A query looks at a
+fixed part of all lists (``SHARE``, and ``BEAM`` at least), so that recall does not fall as the
+table grows. Of these it reads the lists within ``REACH`` of its nearest centroid, and more until
+they hold ``ENOUGH`` rows for each neighbour wanted. Where a search would come by most centroids
+anyway, it compares with all of them. Scores are inner products of the
 original vectors in double precision.
 
 Lists are split into parts of about ``PART_ROWS`` rows, and the queries of a list into blocks, so
@@ -31,8 +34,8 @@ from siteindex.llm.common import KEY, id_key, id_of, written
 
 NEIGHBOURS = 20
 SAMPLE_ROWS, LIST_ROWS, PART_ROWS, SEED = 20_000, 150, 4_000, 6
-#: At most this many lists hold a vector, and the beam of a search over centroids.
-REPLICAS, BEAM, DEGREE, ENTRIES = 4, 64, 24, 16
+#: At most this many lists hold a vector; the least beam of a query and the part of the lists it is.
+REPLICAS, BEAM, SHARE, DEGREE, ENTRIES = 4, 64, 0.2, 24, 16
 BORDER, REACH, ENOUGH = 0.12, 0.5, 30
 
 
@@ -87,6 +90,8 @@ class Centroids:
 
     def nearest(self, vectors: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest centroids found for each vector, and their distances."""
+        if beam * self.graph.shape[1] >= len(self.points):
+            return self.nearest_of_all(vectors, beam)
         rows = np.arange(len(vectors))[:, None]
         ids = np.tile(self.entries, (len(vectors), 1))
         far = self.distances(vectors, ids)
@@ -109,6 +114,12 @@ class Centroids:
             ids, far, done = ids[rows, order], far[rows, order], done[rows, order]
             done |= ~np.isfinite(far)
 
+    def nearest_of_all(self, vectors: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        squares = (self.points**2).sum(1) + (vectors**2).sum(1)[:, None]
+        far = np.sqrt(np.maximum(0.0, squares - 2 * vectors @ self.points.T))
+        ids = np.argsort(far, axis=1, kind="stable")[:, :beam].astype(np.int32)
+        return ids, np.take_along_axis(far, ids, 1)
+
     def homes(self, vectors: np.ndarray) -> list[np.ndarray]:
         """The lists of each vector."""
         ids, far = self.nearest(vectors, 4 * REPLICAS)
@@ -118,7 +129,7 @@ class Centroids:
 
     def lists_for(self, vectors: np.ndarray, sizes: np.ndarray, rows: int) -> list[np.ndarray]:
         """The lists to read for each query."""
-        ids, far = self.nearest(vectors)
+        ids, far = self.nearest(vectors, max(BEAM, int(np.ceil(SHARE * len(self.points)))))
         held = np.cumsum(sizes[ids], axis=1) - sizes[ids]
         read = np.isfinite(far) & ((far <= (1 + REACH) * far[:, :1]) | (held < rows))
         return [i[r] for i, r in zip(ids, read, strict=True)]

@@ -184,6 +184,23 @@ def test_neighbours(spark):
 # --- mixing --------------------------------------------------------------------
 
 
+def test_recall_with_many_lists():
+    x = np.random.default_rng(7).standard_normal((16_000, 64))
+    top = (x**2).sum(1).max()
+    longer = np.c_[x, np.sqrt(np.maximum(0.0, top - (x**2).sum(1)))]
+    centroids = ann.Centroids.of(ann.bisected(longer, 1_000))
+    homes = [h for a in range(0, len(x), 500) for h in centroids.homes(longer[a : a + 500])]
+    sizes = np.bincount(np.concatenate(homes), minlength=1_000)
+    queries = x[:50]
+    wanted = centroids.lists_for(np.c_[queries, np.zeros(50)], sizes, 20 * ann.ENOUGH)
+    hits = 0
+    for n, lists in enumerate(wanted):
+        scores = x @ queries[n]
+        scores[n] = -np.inf
+        hits += sum(bool(np.isin(homes[i], lists).any()) for i in np.argsort(-scores)[:20])
+    assert hits >= 0.9 * 20 * 50
+
+
 def test_mixing(spark, documents):
     rng = random.Random(7)
     pools = {d: [f"{d}{i}" for i in range(40)] for d in "ab"}
