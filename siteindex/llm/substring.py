@@ -10,9 +10,13 @@ context than a window of 20 words has.
 
 Each window is filed under the least name among the symbol borders of its interior (the name of
 the words around the border), so that equal windows share a name wherever they stand, and
-consecutive windows mostly share a row: one name, a place, and a 32-bit name of each window.
-Rows meet by name, in the order of documents, and stream by; a window is equal if both its
-96 bits of names are. What is found goes back as intervals of words.
+consecutive windows mostly share a row: one name, a place, and the 64-bit name of each window.
+Rows meet by name, in the order of documents, and stream by; windows are equal if their 64-bit
+names are, as far as they are filed under one name. What is found goes back as intervals of words.
+
+A line that many documents surround differently would bring all its windows under one name. Names
+of over ``HOT`` windows, by a sample of the documents, are left out of the filing: their windows
+are rows of their own, filed under the windows' names, in every task alike.
 
 A task leaves rows out that repeat one it has sent with a smaller place: their windows are known
 to be repeats. So a passage in a third of all documents sends few rows under its names.
@@ -39,6 +43,8 @@ WINDOW = 20
 CONTEXT = 3
 #: Rows that a task remembers to leave repeats out.
 REMEMBERED = 400_000
+#: Windows from which a name is split, and one in how many documents is looked at to find such.
+HOT, SAMPLE_OF = 1_000_000, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64((1 << 64) - 1)
 
@@ -159,22 +165,51 @@ def _merged(batches, rows: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def window_rows(docs: DataFrame, window: int, remembered: int = REMEMBERED) -> DataFrame:
+def _filed(texts: list[list[bytes]], window: int):
+    """``filed_windows`` of texts as words, and the texts' lengths."""
+    digest = xxhash.xxh64_intdigest
+    lengths = np.array([len(t) for t in texts], np.int64)
+    words = np.array([digest(w) for t in texts for w in t], np.uint64)
+    return lengths, *filed_windows(lengths, words, window)
+
+
+def hot_names(docs: DataFrame, window: int, hot: int = HOT, sample_of: int = SAMPLE_OF) -> np.ndarray:
+    """The names of over ``hot`` windows, sorted; there are as many as windows by ``hot`` at most."""
+
+    def count(batches):
+        for batch in _merged(batches, 512):
+            texts = [text.encode().split() for text in batch.column("text").to_pylist()]
+            _, begin, end, name, _ = _filed(texts, window)
+            names, at = np.unique(name, return_inverse=True)
+            sizes = np.bincount(at, end - begin, len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(sizes)], ["k", "n"])
+
+    sample = keyed(docs).where(F.pmod(F.xxhash64(KEY, VERSION), F.lit(sample_of)) == 0)
+    sizes = sample.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    found = sizes.where(F.col("n") > hot / sample_of).select("k").toArrow().column("k")
+    return np.sort(found.to_numpy().view(np.uint64))
+
+
+def window_rows(
+    docs: DataFrame, window: int, remembered: int = REMEMBERED, hot: np.ndarray | None = None
+) -> DataFrame:
     """``k, d, s, n, w``: name, document, version and word, windows and their names.
 
-    ``w`` is null for windows known to repeat earlier ones.
+    ``w`` is null for windows known to repeat earlier ones. Windows of the names in ``hot`` are
+    rows of their own under their own names.
     """
+    if hot is None:
+        hot = np.zeros(0, np.uint64)
+    split = docs.sparkSession.sparkContext.broadcast(hot)
 
     def rows_of(batches):
         sent: dict[int, tuple[int, int]] = {}
-        digest = xxhash.xxh64_intdigest
         for batch in _merged(batches, 512):
             texts = [text.encode().split() for text in batch.column("text").to_pylist()]
-            lengths = np.array([len(t) for t in texts], np.int64)
-            words = np.array([digest(w) for t in texts for w in t], np.uint64)
-            begin, end, name, windows = filed_windows(lengths, words, window)
+            lengths, begin, end, name, windows = _filed(texts, window)
             if not len(begin):
                 continue
+            begin, end, name = _split(begin, end, name, windows)
             offsets = np.cumsum(lengths) - lengths
             text = np.searchsorted(offsets + lengths, begin, side="right")
             doc = batch.column(KEY).to_numpy()[text]
@@ -192,9 +227,18 @@ def window_rows(docs: DataFrame, window: int, remembered: int = REMEMBERED) -> D
                     sent[c << 64 | k] = (d, s)
             yield _rows(begin, end, name, windows, doc, start, repeats)
 
+    def _split(begin, end, name, windows):
+        apart = np.isin(name, split.value)
+        if not apart.any():
+            return begin, end, name
+        copies = np.where(apart, end - begin, 1)
+        step = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        apart, first = np.repeat(apart, copies), np.repeat(begin, copies) + step
+        last = np.where(apart, first + 1, np.repeat(end, copies))
+        return first, last, np.where(apart, windows[first], np.repeat(name, copies))
+
     def _rows(begin, end, name, windows, doc, start, repeats):
         count = end - begin
-        low = (windows >> np.uint64(32)).astype("<u4")
         shown = np.where(repeats, 0, count)
         offsets = np.r_[0, np.cumsum(shown)]
         source = np.repeat(begin - offsets[:-1], shown) + np.arange(offsets[-1])
@@ -204,8 +248,8 @@ def window_rows(docs: DataFrame, window: int, remembered: int = REMEMBERED) -> D
             len(begin),
             [
                 nulls,
-                pa.py_buffer((4 * offsets).astype(np.int32).tobytes()),
-                pa.py_buffer(low[source].tobytes()),
+                pa.py_buffer((8 * offsets).astype(np.int32).tobytes()),
+                pa.py_buffer(windows[source].tobytes()),
             ],
         )
         spread = _mixed(start.astype(np.uint64) ^ _mixed(doc.astype(np.uint64)))
@@ -223,7 +267,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     """``d, s, n``: stretches of window starts whose windows also start earlier."""
 
     def find(batches):
-        last, seen = None, np.zeros(0, np.uint32)
+        last, seen = None, np.zeros(0, np.uint64)
         for batch in _merged(batches, 20_000):
             k, d, s, n = (batch.column(i).to_numpy() for i in range(4))
             shown = batch.column("w").is_valid().to_numpy(zero_copy_only=False)
@@ -231,13 +275,13 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
             k, d, s, n = k[shown], d[shown], s[shown], n[shown]
             if len(k):
                 data = b"".join(batch.column("w").drop_null().to_pylist())
-                names = np.frombuffer(data, "<u4")
+                names = np.frombuffer(data, np.uint64)
                 group = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1
                 of_window = np.repeat(group, n)
-                tagged = of_window.astype(np.uint64) << np.uint64(32) | names
-                order = np.argsort(tagged, kind="stable")
+                order = np.lexsort((names, of_window))
+                x, y = order[1:], order[:-1]
                 repeated = np.zeros(len(names), bool)
-                repeated[order[1:]] = tagged[order[1:]] == tagged[order[:-1]]
+                repeated[x] = (names[x] == names[y]) & (of_window[x] == of_window[y])
                 if k[0] == last:
                     head = of_window == 0
                     repeated[head] |= np.isin(names[head], seen)
@@ -262,12 +306,17 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 
 
 def drop_repeats(
-    docs: DataFrame, window: int = WINDOW, remembered: int = REMEMBERED
+    docs: DataFrame,
+    window: int = WINDOW,
+    remembered: int = REMEMBERED,
+    hot: int = HOT,
+    sample_of: int = SAMPLE_OF,
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, text`` with the kept words of each row."""
     if window <= 2 * CONTEXT:
         raise ValueError(f"a window has over {2 * CONTEXT} words")
-    found = repeated_windows(window_rows(docs, window, remembered)).select(
+    split = hot_names(docs, window, hot, sample_of)
+    found = repeated_windows(window_rows(docs, window, remembered, split)).select(
         F.col("d").alias(KEY),
         F.shiftright("s", 32).alias("v"),
         F.struct(F.col("s").bitwiseAND(F.lit(0xFFFFFFFF)).alias("s"), "n").alias("x"),

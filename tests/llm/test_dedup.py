@@ -189,6 +189,38 @@ def test_repeats_without_memory_of_sent_rows(documents):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(0, 0)] + [(i, 60) for i in range(1, 30)]
 
 
+def test_windows_whose_names_agree_in_part_stay(documents):
+    line = [f"w{i}" for i in range(19)]
+    texts = [[*line, f"x{i}"] for i in range(300_000)]
+    words = np.array([xxhash.xxh64_intdigest(w.encode()) for t in texts for w in t], np.uint64)
+    lengths = np.full(len(texts), 20, np.int64)
+    begin, _, name, windows = substring.filed_windows(lengths, words, 20)
+    of = np.lexsort((windows[begin] >> np.uint64(32), name))
+    half, name = (windows[begin] >> np.uint64(32))[of], name[of]
+    same = np.flatnonzero((half[1:] == half[:-1]) & (name[1:] == name[:-1]))
+    assert len(same)
+    rows = [(int(begin[of[i + n]]), " ".join(texts[begin[of[i + n]] // 20])) for i in same for n in (0, 1)]
+    got = substring.drop_repeats(documents(rows)).collect()
+    assert [r.n_removed for r in got] == [0] * len(rows)
+
+
+def test_hot_names_are_split(documents):
+    rng = random.Random(8)
+    line = [f"line{i}" for i in range(12)]
+    words = [f"w{i}" for i in range(500)]
+    rows = [(i, " ".join(rng.choices(words, k=15) + line + rng.choices(words, k=15))) for i in range(90)]
+    rows += [(100 + i, rows[i][1] + " more words") for i in range(0, 90, 9)]
+    docs = documents(rows)
+    hot = substring.hot_names(docs, 20, 50, 1)
+    largest = lambda hot: (
+        substring.window_rows(docs, 20, hot=hot).groupBy("k").sum("n").agg({"sum(n)": "max"}).first()[0]
+    )
+    assert largest(None) > 50 >= largest(hot)
+    got = substring.drop_repeats(docs, hot=50, sample_of=1).collect()
+    found = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in got]
+    assert sorted(found) == sorted(repeat_truth(rows, 20))
+
+
 def test_repeated_rows_of_one_document(documents):
     text = " ".join(f"w{i}" for i in range(30))
     got = substring.drop_repeats(documents([(1, text), (1, text), (None, text)])).collect()
