@@ -3,13 +3,15 @@
 A text is the mean of the vectors of its words, of the n-grams of its words, and of a mark for
 each word that repeats the one before it; a softmax layer turns the mean into class
 probabilities. Vectors and layer are trained together by stochastic
-gradient descent in numpy on at most ``FIT_ROWS`` labelled rows, those with the smallest hash of
-their id. Workers send feature counts of these rows, not texts. As all after the mean is linear,
-scoring sums one number for each feature, remembered for each word, over every whole text.
+gradient descent in numpy on at most ``FIT_ROWS`` labelled rows and ``FIT_BYTES`` of feature
+counts, the rows with the smallest hash of their id. Workers send feature counts of these rows, not
+texts, and the driver takes them a part at a time. As all after the mean is linear, scoring sums one
+number for each feature, remembered for each word, over every whole text.
 
 Defined cases: null and empty texts have no features and get the layer's bias; a null id is
-scored and never labelled; labels that are null are left out; several labels of an id, and
-several rows of an id, are a training row each. Without any label every score is one half.
+scored and never labelled; labels that are null are left out; several labels of an id are a
+training row each; of several texts of an id the one with the smallest hash is learned from.
+Without any label every score is one half.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ from siteindex.llm.common import id_key, whole_text
 
 #: Rows to fit on at most, and the seed of their order and of the first vectors.
 FIT_ROWS, SEED = 3_000, 8
+#: Bytes of feature counts to hold on the driver at most; rows that come after are not learned from.
+FIT_BYTES = 128 << 20
+#: Parts in which they come.
+FIT_PARTS = 8
 BUCKETS, DIMENSION, NGRAMS = 1 << 17, 8, (3, 4, 5)
 #: A repeated word counts like this many n-grams.
 MARKS = 4
@@ -147,7 +153,9 @@ def fit(
         .limit(rows)
     )
     texts = docs.select(id_key().alias("_id"), whole_text().alias("text"))
-    sample = texts.join(F.broadcast(marks), "_id").select("_label", "_id", "text")
+    one = F.min_by("text", F.xxhash64("text")).alias("text")
+    sample = texts.join(F.broadcast(marks), "_id").groupBy("_id", "_label").agg(one)
+    sample = sample.select("_label", "_id", "text").coalesce(FIT_PARTS)
     buckets = options.get("buckets", BUCKETS)
 
     def count(batches):
@@ -173,14 +181,15 @@ def fit(
             )
 
     counted = sample.mapInArrow(count, "label int, id long, ids binary, counts binary")
-    ordered = counted.orderBy("id", "label", "ids").limit(2 * rows)
-    return train(
-        [
-            (r.label, np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.float32))
-            for r in ordered.toLocalIterator()
-        ],
-        **options,
-    )
+    found, size = [], 0
+    for r in counted.toLocalIterator():
+        if size < FIT_BYTES:
+            size += len(r.ids) + len(r.counts)
+            found.append(
+                (r.id, r.label, np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.float32))
+            )
+    found.sort(key=lambda row: row[:2])
+    return train([row[1:] for row in found], **options)
 
 
 class _Scorer:

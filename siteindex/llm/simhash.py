@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteindex.llm.common import KEY, id_key, id_of, whole_text, written
+from siteindex.llm.common import KEY, NO_ID, VERSION, id_key, id_of, keyed, whole_text, written
 from siteindex.llm.components import components
 
 SHINGLE_WORDS, MAX_BITS, BLOCKS, PAIRED = 3, 2, 8, 256
@@ -59,17 +59,18 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``_key, fp`` of each row."""
+    """``_key, _version, fp`` of each row."""
 
     def compute(batches):
         for batch in batches:
             fps = [fingerprint(text, words) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(KEY), pa.array(fps, pa.int64())], [KEY, "fp"]
+                [batch.column(KEY), batch.column(VERSION), pa.array(fps, pa.int64())],
+                [KEY, VERSION, "fp"],
             )
 
-    rows = docs.select(id_key().alias(KEY), whole_text().alias("text"))
-    return rows.mapInArrow(compute, f"{KEY} long, fp long")
+    rows = keyed(docs).select(KEY, VERSION, "text")
+    return rows.mapInArrow(compute, f"{KEY} long, {VERSION} long, fp long")
 
 
 def _masks(blocks: int, differ: int) -> list[tuple[int, int]]:
@@ -141,6 +142,18 @@ def close_links(
     return grouped.mapInArrow(link, "a long, b long")
 
 
+def _print_roots(
+    prints: DataFrame, max_bits: int, blocks: int, paired: int
+) -> DataFrame:
+    """``fp, least, root`` of each different fingerprint: its least id and its component."""
+    least = F.min(id_of()).alias("least")
+    nodes = written(prints.groupBy("fp").agg(least), "nodes")
+    roots = components(close_links(nodes.select("fp"), max_bits, blocks, paired))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = SHINGLE_WORDS,
@@ -150,12 +163,7 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row."""
     prints = written(fingerprints(docs, words), "fingerprints")
-    least = F.min(id_of()).alias("least")
-    nodes = written(prints.groupBy("fp").agg(least), "nodes")
-    roots = components(close_links(nodes.select("fp"), max_bits, blocks, paired))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _print_roots(prints, max_bits, blocks, paired)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = written(rooted.join(named, "root").select("fp", "component_id"), "print-components")
     return prints.join(of_print, "fp").select(
@@ -163,3 +171,45 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def one_of_each(
+    docs: DataFrame,
+    words: int = SHINGLE_WORDS,
+    max_bits: int = MAX_BITS,
+    blocks: int = BLOCKS,
+    paired: int = PAIRED,
+) -> DataFrame:
+    """One row of ``docs`` of each component: that of the least id, ids before null.
+
+    Rows of one id in a component are told apart by the hash of their texts, and of rows that
+    agree in id and text one stays. Only rows that are left out or agree with others are
+    shuffled; a document without a near-duplicate is never moved with its text.
+    """
+    prints = written(fingerprints(docs, words), "fingerprints")
+    rooted = _print_roots(prints, max_bits, blocks, paired).select("fp", "root")
+    place = F.struct(F.col(KEY) == NO_ID, KEY, VERSION)
+    rows = written(prints.join(rooted, "fp").select("root", KEY, VERSION), "rows-in-components")
+    first = rows.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = written(first.where("n > 1").select("root", "first"), "shared-components")
+    members = rows.join(shared, "root").groupBy(KEY, VERSION, "first").agg(
+        F.count(F.lit(1)).alias("copies")
+    )
+    is_first = (F.col(f"first.{KEY}") == F.col(KEY)) & (F.col(f"first.{VERSION}") == F.col(VERSION))
+    marks = written(
+        members.select(
+            F.col(KEY).alias("_k"), F.col(VERSION).alias("_v"),
+            is_first.alias("_first"), "copies",
+        ),
+        "marked-rows",
+    )
+    whole = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        id_key().alias("_k"),
+        F.xxhash64(whole_text()).alias("_v"),
+    )
+    out = marks.where(~F.col("_first") | (F.col("copies") > 1)).select("_k", "_v")
+    doubled = marks.where("_first and copies > 1").select("_k", "_v")
+    stays = whole.join(out, ["_k", "_v"], "left_anti").select("_row")
+    one = whole.join(doubled, ["_k", "_v"], "left_semi").dropDuplicates(["_k", "_v"])
+    return stays.union(one.select("_row")).select("_row.*")
