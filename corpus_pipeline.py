@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteindex.llm import decontaminate, mixing, near_text, quality, sharding
+from siteindex.llm import decontaminate, mixing, quality, sharding, simhash
 from siteindex.llm.common import table, written
 from siteindex.llm.queries import labelled_domains
 from siteindex.session import configure
@@ -35,8 +35,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @prepared
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_text.one_of_each(docs)
+    """One document of each group of near-duplicates: fingerprints of three-word shingles that
+    differ in two bits or fewer link."""
+    return simhash.one_of_each(docs, simhash.SHINGLE_WORDS, simhash.MAX_BITS)
 
 
 @prepared
