@@ -11,6 +11,7 @@ from siteindex.llm import (
     ann,
     chat,
     decontaminate,
+    divergence,
     line_dedup,
     mixing,
     quality,
@@ -193,3 +194,68 @@ def op10_sharding(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "source",
     )
+
+
+@query
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_divergence"] = rf"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+         row_number() OVER () AS number
+  FROM documents
+),
+words AS (
+  SELECT lang, source, number,
+         translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+                   '{UPPER}', '{LOWER}') AS term
+  FROM docs
+),
+kept AS (
+  SELECT lang, term, count(*) AS n FROM words
+  GROUP BY lang, term HAVING count(DISTINCT number) >= 3
+),
+counted AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept USING (lang, term)
+  GROUP BY ALL
+),
+langs AS (SELECT lang, sum(n) AS total, count(*) AS v FROM kept GROUP BY lang),
+sources AS (
+  SELECT d.lang, d.source, coalesce(max(l.v), 0) AS v, coalesce(max(c.total), 0) AS total
+  FROM docs d LEFT JOIN langs l USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counted GROUP BY ALL) c
+    ON c.lang = d.lang AND c.source = d.source
+  GROUP BY d.lang, d.source
+),
+shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (s.total + s.v))::HUGEINT AS p,
+         (1 + 1000000000::HUGEINT * (k.n + 1) // (l.total + l.v))::HUGEINT AS q
+  FROM sources s JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN counted c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(value), 0) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+    GROUP BY ALL
+  ) t ON t.lang = a.lang AND t.source = a.source AND t.item = b.source
+  GROUP BY ALL
+),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares
+  WHERE n > 0 AND p > q
+)
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER
+    AS rank
+  FROM parts
+)
+WHERE part = 'pair' OR rank <= 200
+"""
