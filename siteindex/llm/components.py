@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteindex.llm.common import written
+from siteindex.llm.common import discard, written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -43,6 +43,7 @@ def components(links: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == seen:
             break
         seen = mark
-        state = written(_small_star(_large_star(state)), "links")
+        earlier, state = state, written(_small_star(_large_star(state)), "links")
+        discard(earlier)
     roots = state.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(state.select("b", "b").distinct())

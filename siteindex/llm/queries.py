@@ -14,6 +14,7 @@ from siteindex.llm import (
     divergence,
     line_dedup,
     mixing,
+    prefix_trie,
     quality,
     sharding,
     simhash,
@@ -259,3 +260,64 @@ SELECT * FROM (
 )
 WHERE part = 'pair' OR rank <= 200
 """
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = """
+WITH owned AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+    ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(10) || coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+crc_table AS (
+  SELECT k, list_reduce(
+    list_prepend(k, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+  ) AS c
+  FROM (SELECT unnest(range(256)) AS k)
+),
+crcs AS (SELECT list(c ORDER BY k) AS t FROM crc_table),
+hashed AS (
+  SELECT conv_id, own, xor(list_reduce(
+    list_prepend(4294967295::BIGINT,
+                 list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])
+  ), 4294967295) % 6 AS h
+  FROM owned, crcs
+),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) AS said
+  FROM hashed c LEFT JOIN owned b ON b.conv_id = c.conv_id - c.conv_id % 100
+),
+members AS (
+  SELECT conv_id, said[1:d] AS prefix, d, len(said) AS n
+  FROM (SELECT conv_id, said, unnest(range(len(said) + 1)) AS d FROM built)
+),
+nodes AS (
+  SELECT prefix, d, min(conv_id) AS conv, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), ''))
+           AS ends
+  FROM members GROUP BY prefix, d
+),
+edges AS (
+  SELECT c.*, p.conv AS parent FROM nodes c LEFT JOIN nodes p ON c.d > 0 AND p.prefix = c.prefix[1:c.d - 1]
+),
+full_nodes AS (
+  SELECT e.*, count(k.d) AS children FROM edges e
+  LEFT JOIN edges k ON k.d = e.d + 1 AND k.parent = e.conv GROUP BY ALL
+),
+above AS (
+  SELECT prefix[1:a] AS prefix, children = 0 AS leaf,
+         CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(prefix[d].t) END AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM full_nodes)
+),
+sums AS (
+  SELECT prefix, count(*) FILTER (leaf) AS leaves, sum(saved) AS saved FROM above GROUP BY prefix
+)
+SELECT conv AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, children AS n_children,
+       leaves AS n_leaves, saved::BIGINT AS saved_tokens, ends AS ends_sha256
+FROM full_nodes JOIN sums USING (prefix)
+"""
