@@ -20,6 +20,7 @@ from siteindex.llm import (
     simhash,
     substring,
     tokens,
+    toxicity,
 )
 from siteindex.llm.common import LOWER, UPPER, table
 from siteindex.session import configure
@@ -321,3 +322,13 @@ SELECT conv AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, children
        leaves AS n_leaves, saved::BIGINT AS saved_tokens, ends AS ends_sha256
 FROM full_nodes JOIN sums USING (prefix)
 """
+
+
+@query
+def op13_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select(
+        "doc_id", toxicity.held_out().alias("held_out"), toxicity.score(docs, model).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
