@@ -6,15 +6,17 @@ with the edits spent so far (a swap of neighbours is one edit), made when a word
 so that all words of a batch step through one table by numpy. A word matches the nearest term
 within the term's budget of edits.
 
-Each match has a score. Term and distance have the log-odds of toxic documents among those where
-they occur; a form never seen in labelled text leans on its term. Matches inside quotation marks
-of a line, or in a line quoted by ``>``, add what quotation changes in labelled text, and the
+Each match has a score: the log-odds of toxic documents among those that hold this form of the
+term, so that a word of clean texts which looks like a term says nothing. A form not seen before
+has the odds of the forms seen once at that distance from its term and those that begin like it. Matches inside quotation marks of a
+line, or in a line quoted by ``>``, add what quotation changes in labelled text, and the
 ``CONTEXT`` words on either side what such words speak for. A logistic layer over the matches of a
 document, fitted in numpy, gives its score.
 
 Everything is learned from at most ``FIT_ROWS`` labelled rows, those with the smallest hash of their
 id, outside the held-out fold; scoring takes every whole text. The driver gets at most ``LEXICON``
-terms, counts of these and of ``BUCKETS`` kinds of surroundings, and a few numbers a fitted row.
+terms and the ``FORMS`` most frequent other forms, counts of these and of ``BUCKETS`` kinds of
+surroundings, and a few numbers a fitted row.
 
 Defined cases: null and empty texts match nothing; a null id is scored and never labelled; null
 labels are left out; several labels of an id are a row each; of several texts of an id the one
@@ -36,14 +38,18 @@ from pyspark.sql import functions as F
 
 from siteindex.llm.common import id_key, whole_text, written
 
-FIT_ROWS, SEED = 8_000, 13
-LEXICON, MIN_DOCS = 512, 3
+FIT_ROWS, SEED = 16_000, 13
+LEXICON, FORMS, MIN_DOCS = 512, 20_000, 3
 CONTEXT, BUCKETS = 5, 4096
 HELD_OUT_FOLD, FOLDS, THRESHOLD = 2, 4, 0.3
 #: Edits that a term of at least so many characters allows.
-BUDGETS = ((8, 2), (4, 1), (1, 0))
+BUDGETS = ((10, 2), (4, 1), (1, 0))
 #: What counts as seen of a term at each distance before any text is, and its toxic share.
 PRIOR_DOCS, PRIOR_SHARE = 2.0, (0.95, 0.95, 0.85)
+#: Terms that begin with so many equal characters share what is known of forms not seen before.
+KIN_CHARS = 3
+#: Documents that the odds of the forms seen once weigh in the odds of a form.
+FORM_DOCS = 0.5
 #: The same for matches in quotation marks.
 QUOTED_DOCS, QUOTED_SHARE = 2.0, 0.1
 #: Characters of a text that are looked at together, and states after which a table starts anew.
@@ -226,14 +232,19 @@ class Automaton:
         return at[order], of[order, 0].astype(np.int64), of[order, 1].astype(np.int64)
 
 
-def surroundings(words: Words, at: int) -> list[int]:
-    """Buckets of the words around a match, in the same document."""
-    near = range(max(0, at - CONTEXT), min(len(words.starts), at + CONTEXT + 1))
-    return [
-        zlib.crc32(words.text(i).encode("utf-8", "surrogatepass")) % BUCKETS
-        for i in near
-        if i != at and words.doc[i] == words.doc[at]
-    ]
+def surroundings(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words around each match, and which of them are in the same document."""
+    near = at[:, None] + np.r_[-CONTEXT:0, 1 : CONTEXT + 1]
+    inside = (near >= 0) & (near < len(words.starts))
+    near = np.where(inside, near, at[:, None])
+    inside &= words.doc[near] == words.doc[at][:, None]
+    name = words.lengths[near].astype(np.uint64)
+    for place in range(12):  # letters of longer words beyond these do not count
+        code = words.codes[np.minimum(words.starts[near] + place, len(words.codes) - 1)]
+        code = np.where(place < words.lengths[near], code, 0).astype(np.uint64)
+        name = name * np.uint64(0x100000001B3) + code
+    name = (name ^ (name >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (name >> np.uint64(40)).astype(np.int64) % BUCKETS, inside
 
 
 def slices(texts: Sequence[str | None]) -> Iterator[list[str | None]]:
@@ -254,7 +265,8 @@ class ToxicityModel:
     """Terms, scores of matches, and the layer over a document's matches."""
 
     terms: list[str]
-    weights: np.ndarray  # term by distance
+    weights: np.ndarray  # of forms not seen before: term by distance
+    forms: dict[str, float]  # of others
     quotation: float
     context: np.ndarray
     layer: np.ndarray
@@ -265,15 +277,30 @@ class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model, self.automaton = model, Automaton(model.terms)
 
-    def features(self, texts: Sequence[str | None]) -> np.ndarray:
-        """What the layer sees of each text: sums, the best and the number of its matches."""
+    def features(self, texts: Sequence[str | None], further: int = 0) -> np.ndarray:
+        """What the layer sees of each text: sums, the best and the number of its matches.
+
+        With ``further`` each match counts as if its word had so many more misspelt characters,
+        where the term allows them.
+        """
         words, model = Words(texts), self.model
         at, term, distance = self.automaton.match(words)
-        score = model.weights[term, distance] if len(at) else np.zeros(0)
-        score = score + model.quotation * words.quoted(at)
-        near = [surroundings(words, i) for i in at.tolist()]
-        around = [model.context[n].mean() if n else 0.0 for n in near]
-        score = np.maximum(0, score + around) if len(at) else score
+        score = np.zeros(len(at))
+        if len(at):
+            allowed = np.array(self.automaton.allowed)[term]
+            moved = np.maximum(distance, np.minimum(distance + further, allowed))
+            score = model.weights[term, moved]
+            known = model.forms
+            for i in np.flatnonzero((moved == distance)).tolist():
+                form = model.terms[term[i]] if not distance[i] else words.text(at[i])
+                score[i] = known.get(form, score[i])
+        counts = score > 0  # others say nothing
+        at, term, score = at[counts], term[counts], score[counts]
+        if len(at):
+            buckets, inside = surroundings(words, at)
+            around = np.where(inside, model.context[buckets], 0).sum(axis=1)
+            score = score + around / np.maximum(1, inside.sum(axis=1))
+            score = np.maximum(0, score + model.quotation * words.quoted(at))
         doc, n = words.doc[at], words.docs
         total = np.bincount(doc, weights=score, minlength=n)
         best = np.zeros(n)
@@ -315,43 +342,69 @@ def _both(toxic: str = "toxic") -> list[Column]:
     return [F.count_if(F.col(toxic)).alias("pos"), F.count_if(~F.col(toxic)).alias("neg")]
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON, min_docs: int = MIN_DOCS) -> list[str]:
-    """The terms whose share of toxic documents chance explains least, at most ``size``.
+def _surprise(base: float) -> Column:
+    return F.expr(
+        f"pos * ln(pos / ((pos + neg) * {base!r}D))"
+        f" + if(neg > 0, neg * ln(neg / ((pos + neg) * {1 - base!r}D)), 0D)"
+    )
 
-    By Chernoff's bound a term is found among so many toxic documents by chance with probability
-    ``exp(-surprise)`` at most; terms stay that would not be expected once in the vocabulary.
-    """
 
-    def distinct(batches):
+def _first_terms(wanted: frozenset[str] | None):
+    """Each term of each text with a hash of its first neighbours: all terms, or those wanted."""
+
+    def terms(batches):
         for batch in batches:
-            marks, found = batch.column("toxic").to_pylist(), ([], [])
+            marks, found = batch.column("toxic").to_pylist(), ([], [], [])
             for toxic, text in zip(marks, batch.column("text").to_pylist(), strict=True):
                 words = Words([text])
-                for term in {words.text(i) for i in range(len(words.starts))}:
-                    if len(term) > 2:
-                        found[0].append(term)
-                        found[1].append(toxic)
+                said = [words.text(i) for i in range(len(words.starts))]
+                first = {}
+                for i, term in enumerate(said):
+                    if len(term) > 2 and term not in first and (wanted is None or term in wanted):
+                        first[term] = i
+                for term, i in first.items():
+                    found[0].append(term)
+                    found[1].append(toxic)
+                    near = " ".join(said[max(0, i - 1) : i] + said[i + 1 : i + 2])
+                    found[2].append(zlib.crc32(near.encode("utf-8", "surrogatepass")))
+            types = [pa.string(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found[0], pa.string()), pa.array(found[1], pa.bool_())], ["term", "toxic"]
+                [pa.array(c, t) for c, t in zip(found, types, strict=True)],
+                ["term", "toxic", "near"],
             )
 
-    counts = sample.mapInArrow(distinct, "term string, toxic boolean").groupBy("term").agg(*_both())
-    counts = written(counts, "toxicity-terms")
+    return terms
+
+
+def learn_lexicon(sample: DataFrame, size: int = LEXICON, min_docs: int = MIN_DOCS) -> list[str]:
+    """The terms whose share of toxic documents chance explains least, at most ``size``.
+
+    By Chernoff's bound a term is found among so many toxic documents by chance with probability
+    ``exp(-surprise)`` at most; terms stay that would not be expected once in the vocabulary.
+    Documents where the neighbours of its first place agree count as one for a term, so that
+    copies of a toxic document do not make its words suspect.
+    """
+    shape = "term string, toxic boolean, near long"
+    counts = written(
+        sample.mapInArrow(_first_terms(None), shape).groupBy("term").agg(*_both()), "toxicity-terms"
+    )
     vocabulary = counts.count()
     all_pos, all_neg = sample.agg(*_both()).first()
     if not vocabulary or not all_pos or not all_neg:
         return []
     base = all_pos / (all_pos + all_neg)
-    surprise = F.expr(
-        f"pos * ln(pos / ((pos + neg) * {base!r}D))"
-        f" + if(neg > 0, neg * ln(neg / ((pos + neg) * {1 - base!r}D)), 0D)"
-    )
-    likely = counts.where((F.col("pos") >= min_docs) & (F.expr("pos / (pos + neg)") > base))
-    best = likely.withColumn("surprise", surprise).where(
-        F.col("surprise") >= float(np.log(vocabulary))
-    )
-    found = best.orderBy(F.desc("surprise"), "term").limit(size).select("term").collect()
-    return [row.term for row in found]
+
+    def best(counted: DataFrame, most: int) -> list[str]:
+        likely = counted.where((F.col("pos") >= min_docs) & (F.expr("pos / (pos + neg)") > base))
+        sure = likely.withColumn("surprise", _surprise(base)).where(
+            F.col("surprise") >= float(np.log(vocabulary))
+        )
+        rows = sure.orderBy(F.desc("surprise"), "term").limit(most).select("term").collect()
+        return [row.term for row in rows]
+
+    likely = best(counts, 8 * size)
+    places = sample.mapInArrow(_first_terms(frozenset(likely)), shape).distinct()
+    return best(places.groupBy("term").agg(*_both()), size)
 
 
 def _matches(terms: list[str]):
@@ -363,15 +416,20 @@ def _matches(terms: list[str]):
             for toxic, text in zip(marks, texts, strict=True):
                 words = Words([text])
                 at, term, distance = automaton.match(words)
-                quoted = words.quoted(at)
-                found = set(zip(*(x.tolist() for x in (term, distance, quoted)), strict=True))
-                rows += [("match", (t * 3 + d) * 2 + q, toxic) for t, d, q in found]
-                around = {b for i in at.tolist() for b in surroundings(words, i)}
-                rows += [("context", b, toxic) for b in around]
-            kind, key, toxic = zip(*rows, strict=True) if rows else ((), (), ())
+                forms = [
+                    (words.text(i) if d else terms[t], t * 3 + d)
+                    for i, t, d in zip(at.tolist(), term.tolist(), distance.tolist(), strict=True)
+                ]
+                rows += [("form", form, key, toxic) for form, key in set(forms)]
+                quoted = set(words.quoted(at).tolist())
+                rows += [("quoted", None, int(q), toxic) for q in quoted]
+                buckets, inside = surroundings(words, at)
+                rows += [("context", None, b, toxic) for b in np.unique(buckets[inside]).tolist()]
+            types = [pa.string(), pa.string(), pa.int64(), pa.bool_()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind, pa.string()), pa.array(key, pa.int64()), pa.array(toxic, pa.bool_())],
-                ["kind", "key", "toxic"],
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                ["kind", "form", "key", "toxic"],
             )
 
     return count
@@ -402,32 +460,51 @@ def fit(
     terms = learn_lexicon(sample, size)
     all_pos, all_neg = sample.agg(*_both()).first()
     scale = all_pos / all_neg if all_pos and all_neg else 1.0  # as if there were as many of both
-    counts = np.zeros((len(terms), 3, 2, 2))
-    context = np.ones((BUCKETS, 2))
-    found = sample.mapInArrow(_matches(terms), "kind string, key long, toxic boolean")
-    for kind, key, pos, neg in found.groupBy("kind", "key").agg(*_both()).collect():
-        if kind == "match":
-            counts[key // 6, key // 2 % 3, key % 2] = pos, neg * scale
-        else:
-            context[key] += pos, neg * scale
-    seen = counts[:, :, 0] + counts[:, :, 1]
+    context, quotes = np.ones((BUCKETS, 2)), np.zeros((2, 2))
+    shape = "kind string, form string, key long, toxic boolean"
+    found = written(
+        sample.mapInArrow(_matches(terms), shape).groupBy("kind", "form", "key").agg(*_both()),
+        "toxicity-matches",
+    )
+    for kind, key, pos, neg in found.where("kind <> 'form'").select("kind", "key", "pos", "neg").collect():
+        (context if kind == "context" else quotes)[key] += pos, neg * scale
+    once = found.where("kind = 'form' and pos + neg = 1").groupBy("key").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    )
     prior = PRIOR_DOCS * np.array([[share, 1 - share] for share in PRIOR_SHARE])
-    weights = np.diff(-np.log(seen + prior), axis=2)[:, :, 0]
-    plain, quoted = counts.sum(axis=(0, 1)) + [[1.0, 1.0], [0.0, 0.0]]
-    quoted = quoted + QUOTED_DOCS * np.array([QUOTED_SHARE, 1 - QUOTED_SHARE])
+    kin = [term[:KIN_CHARS] for term in terms]
+    of_kin = {k: prior.copy() for k in kin}
+    for key, pos, neg in once.collect():
+        of_kin[kin[key // 3]][key % 3] += pos, neg * scale
+    seen = np.array([of_kin[k] for k in kin]).reshape(-1, 3, 2)
+    weights = np.log(seen[:, :, 0] / seen[:, :, 1])
+    often = found.where("kind = 'form' and pos + neg > 1").orderBy(F.desc(F.col("pos") + F.col("neg")), "form")
+    forms = {}
+    for form, key, pos, neg in often.select("form", "key", "pos", "neg").limit(size + FORMS).collect():
+        share = seen[key // 3, key % 3] / seen[key // 3, key % 3].sum()
+        toxic, clean = [pos, neg * scale] + FORM_DOCS * share
+        forms[form] = float(np.clip(np.log(toxic / clean), -6, 6))
+    plain = quotes[0] + 1
+    quoted = quotes[1] + QUOTED_DOCS * np.array([QUOTED_SHARE, 1 - QUOTED_SHARE])
     quotation = float(np.log(quoted[0] / quoted[1]) - max(0.0, np.log(plain[0] / plain[1])))
     lean = np.log(context[:, 0] / context[:, 1])
     met = context.sum(axis=1) > 2
     lean = np.where(met, np.clip(lean - (lean[met].mean() if met.any() else 0), -1, 1), 0)
-    model = ToxicityModel(terms, np.clip(weights, -2, 6), quotation, lean, np.zeros(5))
+    model = ToxicityModel(terms, np.clip(weights, -6, 6), forms, quotation, lean, np.zeros(5))
 
     def features(batches):
         scorer = Scorer(model)
         for batch in batches:
-            seen = [scorer.features(part) for part in slices(batch.column("text").to_pylist())]
+            texts = batch.column("text").to_pylist()
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+            bad = [text for text, mark in zip(texts, toxic, strict=True) if mark]
+            # a toxic text stays toxic with its terms misspelt: it is learned both ways
+            seen = [scorer.features(part) for part in slices(texts)]
+            seen += [scorer.features(part, 1) for part in slices(bad)]
             columns = np.concatenate([np.zeros((0, 5)), *seen])
+            marks = np.r_[toxic, np.ones(len(bad), bool)]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c) for c in columns.T), batch.column("toxic")],
+                [*(pa.array(c) for c in columns.T), pa.array(marks)],
                 [*(f"f{i}" for i in range(5)), "toxic"],
             )
 
