@@ -509,8 +509,8 @@ def fit(
             )
 
     shape = ", ".join(f"f{i} double" for i in range(5)) + ", toxic boolean"
-    rows_seen = sample.mapInArrow(features, shape).orderBy(*(f"f{i}" for i in range(5)), "toxic")
-    data = np.array([tuple(r) for r in rows_seen.collect()], float).reshape(-1, 6)
+    rows_seen = sample.mapInArrow(features, shape).collect()
+    data = np.array(sorted(map(tuple, rows_seen)), float).reshape(-1, 6)
     if len(data):
         model.layer = logistic(data[:, :5], data[:, 5])
     return model
