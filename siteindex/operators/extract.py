@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,11 +25,10 @@ from siteindex.functions.urls import (
 )
 from siteindex.operators.views import (
     DOCUMENT,
+    Texts,
+    carrying,
     element,
     has,
-    plausible,
-    shown,
-    shows,
     span,
     text_of,
     token,
@@ -44,19 +45,9 @@ def _having(elements: Column, *selectors: str) -> Column:
     return F.filter(elements, lambda n: has(n["own"], mask))
 
 
-def _texts(elements: Column, tokens: Column, *selectors: str) -> Column:
-    return F.transform(_having(elements, *selectors), lambda n: strip(text_of(tokens, n)))
-
-
-def _first_text(places: Column, tokens: Column, test) -> Column:
-    """First stripped text that passes a test; texts after it are not put together."""
-    return F.aggregate(
-        places,
-        F.lit(None).cast("string"),
-        lambda found, n: F.when(found.isNotNull(), found).otherwise(
-            let(strip(text_of(tokens, n)), lambda t: F.when(test(t), t))
-        ),
-    )
+def _first_text(places: Column, texts: Texts, test) -> Column:
+    """Stripped text of the first place that passes a test of the length it has stripped."""
+    return strip(texts.of(first_where(places, lambda n: test(texts.stripped_length(n)))))
 
 
 def _meta(elements: Column, attribute: str, value: str) -> Column:
@@ -67,12 +58,23 @@ def _meta(elements: Column, attribute: str, value: str) -> Column:
     return let(found["attrs"]["content"], lambda content: F.when(content != "", strip(content)))
 
 
-def title(elements: Column, tokens: Column, url: Column) -> Column:
-    """Title element without site name, first real h1, meta title, URL path."""
-    own_title = cut_at(F.get(_texts(elements, tokens, "title"), F.lit(0)), TITLE_SEPARATORS)
+def title(
+    elements: Column, texts: Texts, url: Column, own: Sequence[int] = ()
+) -> Column:
+    """Title element without site name, first real h1, meta title, URL path.
+
+    ``own`` are masks of the elements to look at before, best first.
+    """
+    chosen = [
+        _first_text(F.filter(elements, carrying(mask)), texts, lambda size: size > 3)
+        for mask in own
+    ]
+    named = strip(texts.of(F.get(_having(elements, "title"), F.lit(0))))
+    own_title = cut_at(named, TITLE_SEPARATORS)
     return F.coalesce(
+        *chosen,
         let(own_title, lambda t: F.when(F.length(t) > 3, t)),
-        _first_text(_having(elements, "h1"), tokens, lambda t: F.length(t) > 3),
+        _first_text(_having(elements, "h1"), texts, lambda size: size > 3),
         _meta(elements, "name", "title"),
         F.nullif(path_title(url), F.lit("")),
         F.lit(UNTITLED),
@@ -97,16 +99,12 @@ def crawl_title(nodes: Column, url: Column) -> Column:
     )
 
 
-def description(elements: Column, tokens: Column) -> Column:
+def description(elements: Column, texts: Texts) -> Column:
     """Meta description, og:description, first paragraph of medium length, or ''."""
     return F.coalesce(
         _meta(elements, "name", "description"),
         _meta(elements, "property", "og:description"),
-        _first_text(
-            plausible(_having(elements, "p"), tokens, 50, 300),
-            tokens,
-            lambda t: (F.length(t) > 50) & (F.length(t) < 300),
-        ),
+        _first_text(_having(elements, "p"), texts, lambda size: (size > 50) & (size < 300)),
         F.lit(""),
     )
 
@@ -115,17 +113,16 @@ def main_text(tokens: Column, place: Column) -> Column:
     return squeeze(text_of(tokens, place))
 
 
-def headings(elements: Column, tokens: Column) -> Column:
+def headings(elements: Column, texts: Texts) -> Column:
     """Headings that show text."""
-    found = F.transform(
-        _showing(_having(elements, *HEADINGS), tokens),
+    return F.transform(
+        F.filter(_having(elements, *HEADINGS), texts.shows),
         lambda n: F.struct(
             F.substring(n["tag"], 2, 1).cast("int").alias("level"),
-            strip(text_of(tokens, n)).alias("text"),
+            strip(texts.of(n)).alias("text"),
             F.coalesce(n["attrs"]["id"], F.lit("")).alias("id"),
         ),
     )
-    return found
 
 
 def language(node: Column) -> Column:
@@ -143,47 +140,38 @@ def language(node: Column) -> Column:
     )
 
 
-def code_blocks(elements: Column, tokens: Column) -> Column:
+def code_blocks(elements: Column, texts: Texts) -> Column:
     """pre elements, and longer code elements that do not stand in a pre."""
-    found = F.transform(
-        _having(elements, "pre", "code"),
-        lambda n: F.struct(
-            F.when(has(n["own"], bit("pre")), "block").otherwise("inline").alias("type"),
-            language(n).alias("language"),
-            text_of(tokens, n).alias("content"),
-            has(n["up"], bit("pre")).alias("nested"),
-        ),
-    )
+    is_block = lambda n: has(n["own"], bit("pre"))
     kept = F.filter(
-        found,
-        lambda c: (c["type"] == "block") | (~c["nested"] & (F.length(c["content"]) > 10)),
+        _having(elements, "pre", "code"),
+        lambda n: is_block(n) | (~has(n["up"], bit("pre")) & (texts.length(n) > 10)),
     )
     return F.transform(
         kept,
-        lambda c: F.struct(
-            c["type"].alias("type"), c["language"].alias("language"), c["content"].alias("content")
+        lambda n: F.struct(
+            F.when(is_block(n), "block").otherwise("inline").alias("type"),
+            language(n).alias("language"),
+            texts.of(n).alias("content"),
         ),
     )
 
 
-def anchor_texts(elements: Column, tokens: Column) -> Column:
-    """Structs of href and text of the links that have both."""
-    filled = F.transform(
-        F.filter(elements, lambda n: has(n["own"], bit("a[href]"))),
-        lambda n: F.struct(n["attrs"]["href"].alias("href"), strip(text_of(tokens, n)).alias("text")),
-    )
-    return F.filter(filled, lambda a: a["text"] != "")
+def _shown_links(elements: Column, texts: Texts) -> Column:
+    return F.filter(elements, lambda n: has(n["own"], bit("a[href]")) & texts.shows(n))
 
 
-def _showing(places: Column, tokens: Column) -> Column:
-    """Places that show text; the flags are worked out once, and no text is put together."""
-    return let(shown(tokens), lambda flags: F.filter(places, lambda n: shows(flags, n)))
+def anchor_texts(elements: Column, texts: Texts) -> Column:
+    """Structs of href and text of the links that have both."""
+    return F.transform(
+        _shown_links(elements, texts),
+        lambda n: F.struct(n["attrs"]["href"].alias("href"), strip(texts.of(n)).alias("text")),
+    )
 
 
-def shown_hrefs(elements: Column, tokens: Column) -> Column:
+def shown_hrefs(elements: Column, texts: Texts) -> Column:
     """Hrefs of the links that have both address and text."""
-    links = F.filter(elements, lambda n: has(n["own"], bit("a[href]")))
-    return F.transform(_showing(links, tokens), lambda n: n["attrs"]["href"])
+    return F.transform(_shown_links(elements, texts), lambda n: n["attrs"]["href"])
 
 
 def page_links(anchors: str, url: str, parts: str) -> Column:

@@ -28,9 +28,11 @@ def category(url: Column, title: Column, rules: Column) -> Column:
     return F.coalesce(match["category"], F.lit(OTHER_CATEGORY))
 
 
-def page_facts(pages: DataFrame, cleaners: Sequence[Cleaner] = CLEANERS) -> DataFrame:
+def page_facts(
+    pages: DataFrame, cleaners: Sequence[Cleaner] = CLEANERS, titles: Sequence[str] = ()
+) -> DataFrame:
     """``(url, title, description, content)``: all a catalogue needs from a page."""
-    return processed(pages, cleaners).select(
+    return processed(pages, cleaners, titles=titles).select(
         "url", "title", "description", F.col("main_content").alias("content")
     )
 
@@ -49,6 +51,7 @@ def build_catalog(
     pages: DataFrame,
     sites: DataFrame,
     cleaners: Sequence[Cleaner] = CLEANERS,
+    titles: Sequence[str] = (),
 ) -> DataFrame:
     """``(site_id, rank, url, title, description, content, category, source)``.
 
@@ -57,7 +60,7 @@ def build_catalog(
     """
     rules = sites.select("site_id", "category_rules")
     listed = keep(discovered.join(rules, "site_id", "left"), "listed")
-    facts = keep(page_facts(only(pages, listed), cleaners), "facts")
+    facts = keep(page_facts(only(pages, listed), cleaners, titles), "facts")
     labelled = listed.join(facts, "url").withColumn(
         "category", category(F.col("url"), F.col("title"), F.col("category_rules"))
     )
@@ -65,7 +68,10 @@ def build_catalog(
 
 
 def catalog(
-    sites: DataFrame, pages: DataFrame, cleaners: Sequence[Cleaner] = CLEANERS
+    sites: DataFrame,
+    pages: DataFrame,
+    cleaners: Sequence[Cleaner] = CLEANERS,
+    titles: Sequence[str] = (),
 ) -> DataFrame:
     """Discover, process and categorise.
 
@@ -74,4 +80,4 @@ def catalog(
     """
     starts = keep(seeds(sites).select(F.col("base_url").alias("url")).distinct(), "starts")
     links = site_links(only(pages, starts))
-    return build_catalog(discover(sites, links), pages, sites, cleaners)
+    return build_catalog(discover(sites, links), pages, sites, cleaners, titles)

@@ -21,7 +21,10 @@ from siteindex.operators.markdown import markdown
 from siteindex.operators.views import (
     CLEANERS,
     CRAWLED,
+    DOCUMENT,
     Cleaner,
+    Texts,
+    View,
     element,
     text_of,
     view_of,
@@ -37,46 +40,59 @@ PROCESSED = (
 )
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """Pages with content and their node array; the HTML is gone."""
-    return fetched(pages).withColumn("nodes", nodes(F.col("html"))).drop("html")
+def parsed(pages: DataFrame, view: View = DOCUMENT) -> DataFrame:
+    """Pages with content and their node array; the HTML is gone.
+
+    The nodes have marks for the selectors that ``view`` brings along.
+    """
+    found = nodes(F.col("html"), view.own, view.folded if view.own else 0)
+    return fetched(pages).withColumn("nodes", found).drop("html")
 
 
 def processed(
-    pages: DataFrame, cleaners: Sequence[Cleaner] = CLEANERS, extra: Sequence[str] = ()
+    pages: DataFrame,
+    cleaners: Sequence[Cleaner] = CLEANERS,
+    extra: Sequence[str] = (),
+    titles: Sequence[str] = (),
 ) -> DataFrame:
     """Processed pages: title, description, text, headings, code, links, metadata.
 
     Cleaners run first and the fields are read from what they leave. A page that
     cannot be read, or that holds a link that cannot be read, becomes a failure row.
-    ``extra`` names further columns to keep.
+    ``extra`` names further columns to keep, ``titles`` selectors of titles to be tried before
+    the usual ones. Cleaners and titles may use any selector (``sources.selectors``).
     """
-    return extracted(parsed(pages), cleaners, extra)
+    view = view_of(cleaners).knowing(*titles)
+    return extracted(parsed(pages, view), cleaners, extra, titles)
 
 
 def extracted(
-    df: DataFrame, cleaners: Sequence[Cleaner] = CLEANERS, extra: Sequence[str] = ()
+    df: DataFrame,
+    cleaners: Sequence[Cleaner] = CLEANERS,
+    extra: Sequence[str] = (),
+    titles: Sequence[str] = (),
 ) -> DataFrame:
-    """Same, over pages that are parsed already."""
+    """Same, over pages that are parsed already, with the marks of the same selectors."""
     url, tokens, elements = F.col("url"), F.col("tokens"), F.col("elements")
-    view = view_of(cleaners)
+    texts = Texts(F.col("texts"))
+    view = view_of(cleaners).knowing(*titles)
     # title and description are read first; the text and all that follows them never
     # show scripts or navigation, whatever the cleaners left
     later = replace(view, dropped=view.dropped | bit(*TEXT_REMOVED_TAGS))
     fields = with_view(df, view).withColumns(
         {
-            "title": X.title(elements, tokens, url),
-            "description": X.description(elements, tokens),
+            "title": X.title(elements, texts, url, [view.mask(s) for s in titles]),
+            "description": X.description(elements, texts),
             "base": url_parts(url),
         }
     )
     if later != view:
         fields = with_tokens(fields, later)
-    fields = fields.withColumn("anchors", X.anchor_texts(elements, tokens)).withColumn(
+    fields = fields.withColumn("anchors", X.anchor_texts(elements, texts)).withColumn(
         "links", X.page_links("anchors", "url", "base")
     )
     # a page fails for a link that cannot be read and shows text; no text is built for that
-    fields = fields.withColumn("shown_hrefs", X.shown_hrefs(elements, tokens))
+    fields = fields.withColumn("shown_hrefs", X.shown_hrefs(elements, texts))
     unread = F.exists(resolve_all("url", "shown_hrefs", "base"), lambda u: u.isNull())
     fields = fields.withColumn("failed", F.col("nodes").isNull() | unread)
 
@@ -93,10 +109,10 @@ def extracted(
         unless_failed(F.col("description"), F.lit(FAILED_DESCRIPTION)).alias("description"),
         unless_failed(X.main_text(tokens, F.col("place")), F.lit("")).alias("main_content"),
         unless_failed(
-            X.headings(elements, tokens), empty("array<struct<level:int,text:string,id:string>>")
+            X.headings(elements, texts), empty("array<struct<level:int,text:string,id:string>>")
         ).alias("headings"),
         unless_failed(
-            X.code_blocks(elements, tokens),
+            X.code_blocks(elements, texts),
             empty("array<struct<type:string,language:string,content:string>>"),
         ).alias("code_blocks"),
         unless_failed(

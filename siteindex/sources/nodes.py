@@ -18,12 +18,15 @@ is a Catalyst expression over the array. A node is
 A mark is one bit per selector of ``MARKS``: a tag, a class, a tag with a class, a tag
 with a non-empty attribute, a tag inside another, and ``a:top``, a link that stands in
 no other link and in no heading. "Inside nav or footer" is then one AND
-of two integers, so no operator has to compare pairs of nodes.
+of two integers, so no operator has to compare pairs of nodes. Selectors that a caller brings
+along have marks in further words, ``own1``, ``above1`` and so on (see ``selectors``); a parser
+is made for each list of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -38,6 +41,7 @@ from siteindex.constants import (
     NAVIGATION_TAGS,
     SCRIPT_TAGS,
 )
+from siteindex.sources.selectors import field, own_marks, word
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 STRONG = ("strong", "b")
@@ -73,6 +77,14 @@ NODE = T.StructType([
 ])
 NODES = T.ArrayType(NODE)
 
+
+def node_type(extra: int = 0) -> T.ArrayType:
+    """Type of a page's nodes whose marks have so many further words."""
+    names = [field(name, n + 1) for n in range(extra) for name in ("own", "above")]
+    return T.ArrayType(T.StructType([*NODE.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+
+
+
 # --- fixed values: elements without content, and those that keep their blanks ----
 VOID = frozenset((
     "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem",
@@ -85,7 +97,7 @@ _CHUNK = 8 << 20  # characters of HTML per output batch
 
 
 def bit(*selectors: str) -> int:
-    """Mask of the given marks."""
+    """Mask of the given standard marks."""
     mask = 0
     for selector in selectors:
         mask |= 1 << MARKS.index(selector)
@@ -135,7 +147,8 @@ class _Marks:
 class _Columns:
     """Nodes of many pages as flat lists, turned into one Arrow array."""
 
-    def __init__(self):
+    def __init__(self, extra: int = 0):
+        self.extra = [{"own": [], "above": []} for _ in range(extra)]
         self.starts, self.failed = [0], []
         self.id, self.last, self.kind, self.tag, self.text = [], [], [], [], []
         self.own, self.up, self.above = [], [], []
@@ -147,9 +160,12 @@ class _Columns:
         self.kind.append(kind)
         self.tag.append(tag)
         self.text.append(text)
-        self.own.append(own)
-        self.up.append(up)
-        self.above.append(above)
+        self.own.append(word(own, 0))
+        self.up.append(word(up, 0))
+        self.above.append(word(above, 0))
+        for number, lists in enumerate(self.extra, 1):
+            lists["own"].append(word(own, number))
+            lists["above"].append(word(above, number))
         for key in attrs:
             self.attr_keys.append(key)
             self.attr_values.append(attrs[key])
@@ -157,8 +173,9 @@ class _Columns:
 
     def drop_from(self, row):
         """Forget the nodes of a page that could not be read to its end."""
+        extra = [values for lists in self.extra for values in lists.values()]
         for values in (self.id, self.last, self.kind, self.tag, self.text,
-                       self.own, self.up, self.above):
+                       self.own, self.up, self.above, *extra):
             del values[row:]
         del self.attr_starts[row + 1:]
         del self.attr_keys[self.attr_starts[-1]:], self.attr_values[self.attr_starts[-1]:]
@@ -184,6 +201,9 @@ class _Columns:
             "up": pa.array(self.up, pa.int64()),
             "above": pa.array(self.above, pa.int64()),
         }
+        for number, lists in enumerate(self.extra, 1):
+            for name, values in lists.items():
+                fields[field(name, number)] = pa.array(values, pa.int64())
         structs = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
         return pa.ListArray.from_arrays(
             pa.array(self.starts, pa.int32()), structs, mask=pa.array(self.failed, pa.bool_())
@@ -193,10 +213,11 @@ class _Columns:
 class _Reader(HTMLParser):
     """Tokens of one page into ``_Columns``; knows open elements and their marks."""
 
-    def __init__(self, marks: _Marks, only: int = 0):
+    def __init__(self, marks: _Marks, only: int = 0, own: tuple[str, ...] = (), fenced: int = 0):
         super().__init__(convert_charrefs=False)
         self.marks, self.only = marks, only
-        self.fenced = bit(*FENCED)
+        self.own = own_marks(own) if own else None
+        self.fenced = bit(*FENCED) | fenced
 
     def read(self, html: str, out: _Columns) -> None:
         self.reset()
@@ -255,6 +276,8 @@ class _Reader(HTMLParser):
         values = {key: "" if value is None else value for key, value in attrs}
         up, above = self._place()
         own = self.marks.of(tag, values, above)
+        if self.own:
+            own |= self.own.of(tag, values, up, above)
         node = None
         if not self.only or own & self.only:
             node = self._next()
@@ -329,10 +352,13 @@ def _character(name: str) -> str:
         return "\N{REPLACEMENT CHARACTER}"
 
 
-def _read_batches(batches: Iterator[pa.Array], only: int) -> Iterator[pa.Array]:
-    reader = _Reader(_Marks(), only)
+def _read_batches(
+    batches: Iterator[pa.Array], only: int, own: tuple[str, ...] = (), fenced: int = 0
+) -> Iterator[pa.Array]:
+    reader = _Reader(_Marks(), only, own, fenced)
+    extra = own_marks(own).words if own else 0
     for batch in batches:
-        out, size = _Columns(), 0
+        out, size = _Columns(extra), 0
         for value in batch:
             html = value.as_py()
             if html is None:
@@ -342,7 +368,7 @@ def _read_batches(batches: Iterator[pa.Array], only: int) -> Iterator[pa.Array]:
             size += len(html)
             if size >= _CHUNK:
                 yield out.to_arrow()
-                out, size = _Columns(), 0
+                out, size = _Columns(extra), 0
         if out.failed or not len(batch):
             yield out.to_arrow()
 
@@ -357,15 +383,30 @@ def _anchor_nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     yield from _read_batches(batches, bit("a"))
 
 
+@lru_cache(maxsize=64)
+def _parser(own: tuple[str, ...], fenced: int):
+    """The parser that also marks what these selectors name."""
+
+    @F.arrow_udf(node_type(own_marks(own).words))
+    def marked_nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _read_batches(batches, 0, own, fenced)
+
+    return marked_nodes.asNondeterministic()
+
+
 # Filters over a parsed page would be pushed below the parser and parse it again;
 # what is not deterministic stays where it is, so each page is parsed once.
 _all_nodes = _all_nodes.asNondeterministic()
 _anchor_nodes = _anchor_nodes.asNondeterministic()
 
 
-def nodes(html: Column) -> Column:
-    """Node array of a page; NULL for NULL or HTML the tokenizer rejects."""
-    return _all_nodes(html)
+def nodes(html: Column, own: tuple[str, ...] = (), fenced: int = 0) -> Column:
+    """Node array of a page; NULL for NULL or HTML the tokenizer rejects.
+
+    ``own`` are selectors beyond ``MARKS`` that elements are marked with, ``fenced`` the marks
+    whose elements also take a closing node.
+    """
+    return _parser(own, fenced)(html) if own else _all_nodes(html)
 
 
 def anchors(html: Column) -> Column:

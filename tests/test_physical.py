@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siteindex.functions.text import strip
 from siteindex.operators import extract as X
-from siteindex.operators.views import CLEANED, CLEANERS, text_of, with_view
+from siteindex.operators.views import CLEANED, CLEANERS, Texts, text_of, with_view
 from siteindex.plans.catalog import page_facts
 from siteindex.plans.discover import candidates
 from siteindex.plans.pages import crawl_records, markdown_pages, parsed, processed, site_links
@@ -101,7 +101,7 @@ def test_nested_paragraphs_are_measured_exactly(spark):
     texts = F.transform(
         F.filter("elements", lambda e: e["tag"] == "p"), lambda e: strip(text_of(F.col("tokens"), e))
     )
-    both = read.select(X.description(F.col("elements"), F.col("tokens")).alias("got"), texts.alias("texts"))
+    both = read.select(X.description(F.col("elements"), Texts(F.col("texts"))).alias("got"), texts.alias("texts"))
     for row in both.collect():
         assert row.got == next((t for t in row.texts if 50 < len(t) < 300), "")
 

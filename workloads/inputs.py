@@ -299,3 +299,35 @@ def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'text/html' AS content_type",
         "CASE WHEN page_id % 9 = 2 THEN '' ELSE html END AS body",
     )
+
+
+def main_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a ``main`` beside the article, which holds what cleaners and selectors take out.
+
+    Addresses and metadata reach every source of a title but the usual two.
+    """
+    inserted = (
+        "concat('<main><nav>menu</nav>',"
+        " if(page_id % 3 = 2, concat('<meta name=\"title\" content=\" Meta ', page_id, ' \">'), ''),"
+        " if(page_id % 2 = 1, concat('<meta property=\"og:description\" content=\"Og ', page_id, '\">'), ''),"
+        " '<div id=\"content\" class=\"x\"><h3 class=\"name\">Own title ', page_id, '</h3>',"
+        " '<p class=\"promo big\">buy</p><div class=\"share ad\">ad</div><aside>aside</aside>',"
+        " '<p>kept ', page_id, ' <span data-x=\"go-1\">gone</span><span data-x=\"no\">stays</span></p>',"
+        " '<ul><li>one</li></ul></div></main><article>')"
+    )
+    address = (
+        "concat('https://e.example.com/', if(page_id % 3 = 1, '', concat('docs/api-v', page_id, '_x/')))"
+    )
+    return pages(spark, sf_dir).selectExpr(
+        "page_id", f"{address} AS url", f"replace(html, '<article>', {inserted}) AS html"
+    )
+
+
+def link_rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that begin with 15 links for each kind of crawl."""
+    links = (
+        "array_join(transform(sequence(0, 14), i -> concat("
+        + ", ".join(f"'<a href=\"/{path}/', page_id, '-', i, '\">x</a>'" for path, _ in PATHS.values())
+        + ")), '')"
+    )
+    return pages(spark, sf_dir).selectExpr("page_id", "url", f"concat({links}, html) AS html")

@@ -12,7 +12,14 @@ from siteindex import config
 from siteindex.constants import CRAWL_MODES, HTML_SITEMAP_PROBES, XML_SITEMAP_PATHS
 from siteindex.functions import text, urls
 from siteindex.operators import extract as X
-from siteindex.operators.views import DOCUMENT, clean_formatting, remove_scripts, with_view
+from siteindex.operators.views import (
+    DOCUMENT,
+    clean_formatting,
+    keeping,
+    remove_scripts,
+    removing,
+    with_view,
+)
 from siteindex.plans import pages as P
 from siteindex.plans import render
 from siteindex.plans.catalog import catalog, category
@@ -154,6 +161,43 @@ def custom_cleaners(spark, sf_dir):
     return done.select("url", "title", "main_content")
 
 
+@query
+def custom_selectors(spark, sf_dir):
+    """Removed parts, container and title all named by selectors that the caller brings."""
+    cleaners = (
+        remove_scripts,
+        removing(".promo", "#content > p span[data-x^=go]", "ul, ol"),
+        clean_formatting,
+        keeping("#nowhere", "div#content"),
+    )
+    done = P.processed(
+        inputs.main_pages(spark, sf_dir), cleaners, extra=["page_id"], titles=["main h3.name"]
+    )
+    return done.select("page_id", "title", "main_content")
+
+
+@query
+def main_container(spark, sf_dir):
+    """A main element before an article, with navigation and boilerplate inside; other titles."""
+    done = P.processed(inputs.main_pages(spark, sf_dir), extra=["page_id"])
+    return done.select("page_id", "title", "description", "main_content")
+
+
+@query
+def followed_links(spark, sf_dir):
+    """How many of 15 matching links each kind of crawl follows, and the last of them."""
+    found = P.crawl_links(inputs.link_rich_pages(spark, sf_dir), list(CRAWL_MODES))
+    each = [
+        column
+        for mode in CRAWL_MODES
+        for column in (
+            F.size(f"follow_{mode}").cast("bigint").alias(f"n_{mode}"),
+            F.element_at(f"follow_{mode}", -1).alias(f"last_{mode}"),
+        )
+    ]
+    return found.select("url", *each)
+
+
 @query
 def titles(spark, sf_dir):
     return P.processed(inputs.pages(spark, sf_dir)).select("url", "title")
