@@ -16,6 +16,7 @@ from siteindex.constants import EMPTY_URL_ERROR, OTHER_CATEGORY, OTHER_LABEL
 from siteindex.functions.urls import blank
 from siteindex.operators.ranking import numbered
 from siteindex.plans.catalog import RECORD
+from siteindex.plans.parts import byte_parts, whole_texts
 from siteindex.session import keep
 
 ARTIFACTS = ("index", "full", "context", "context_full")
@@ -200,19 +201,10 @@ def lines(
 def documents(lines: DataFrame) -> DataFrame:
     """``(site_id, artifact, text)``: whole documents, for sites of ordinary size.
 
-    The context documents end without a line break.
+    The context documents end without a line break. ``lines`` is read twice: pass a written
+    table.
     """
-    joined = F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)")
-    return (
-        lines.groupBy("site_id", "artifact")
-        .agg(joined.alias("text"))
-        .withColumn(
-            "text",
-            F.when(F.col("artifact").isin("index", "full"), F.concat("text", F.lit("\n"))).otherwise(
-                F.col("text")
-            ),
-        )
-    )
+    return whole_texts(byte_parts(lines))
 
 
 def records(catalog: DataFrame) -> DataFrame:

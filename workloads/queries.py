@@ -384,7 +384,7 @@ def context_full(spark, sf_dir):
 
 @query
 def site_documents(spark, sf_dir):
-    return render.documents(_lines(spark, sf_dir, "index", "context_full"))
+    return render.documents(keep(_lines(spark, sf_dir, "index", "context_full"), "lines"))
 
 
 @query
@@ -416,6 +416,22 @@ def site_files(spark, sf_dir):
     return files.groupBy("site_id", "artifact").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+@query
+def written_files(spark, sf_dir):
+    """Size and SHA-256 of every single file that a run writes."""
+    output = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    sites, pages = inputs.linked_sites(spark, sf_dir), inputs.linked_pages(spark, sf_dir)
+    run(sites, pages, output, context=True, single_files=True)
+    files = spark.read.format("binaryFile").load(f"{output}/files/*/*")
+    name = F.regexp_extract("path", "files/([^/]+)/([^/.]+)[.](txt|json)$", 1)
+    return files.select(
+        name.alias("site_id"),
+        F.regexp_extract("path", "files/([^/]+)/([^/.]+)[.](txt|json)$", 2).alias("artifact"),
+        F.col("length").alias("n_bytes"),
+        F.sha2("content", 256).alias("sha256"),
+    )
+
+
 # --- crawl ---------------------------------------------------------------------
 
 
