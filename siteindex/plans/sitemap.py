@@ -54,6 +54,8 @@ def closure(named: DataFrame, responses: DataFrame) -> DataFrame:
             found.select("site_id", "base_url", F.explode("locations").alias("url"))
         )
         seen.append(frontier)
+        if found.where(F.size("children") > 0).isEmpty():  # most levels are the last
+            break
         frontier = (
             found.select("site_id", "base_url", F.explode("children").alias("url"))
             .distinct()

@@ -7,44 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteindex.constants import SITEMAP_NAMESPACE
 from siteindex.functions.text import strip
 from siteindex.functions.urls import is_web, resolve, resolve_all, url_parts
 from siteindex.operators import extract as X
 from siteindex.sources.nodes import anchors
-
-_SITEMAP = (
-    "url array<struct<loc:array<string>>>, sitemap array<struct<loc:array<string>>>, "
-    "_corrupt_record string"
-)
-_XML_OPTIONS = {
-    "ignoreNamespace": "true",
-    "ignoreSurroundingSpaces": "false",
-    "columnNameOfCorruptRecord": "_corrupt_record",
-    "mode": "PERMISSIVE",
-}
-_PROLOG = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*"
-_ROOT = _PROLOG + r"<([^\s/>]+)"
-_ROOT_TAG = _PROLOG + r"<([^>]*)>"
-_AFTER = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*$"
-
-
-def _in_namespace(body: Column) -> Column:
-    """Whether the root's start tag puts the root into the sitemap namespace."""
-    tag, root = F.regexp_extract(body, _ROOT_TAG, 1), F.regexp_extract(body, _ROOT, 1)
-    prefix = F.when(F.contains(root, F.lit(":")), F.concat(F.lit(":"), F.split_part(root, F.lit(":"), F.lit(1))))
-    name = F.concat(F.lit("xmlns"), F.coalesce(prefix, F.lit("")))
-    declared = F.regexp_replace(tag, r"\s*=\s*", "=")
-    quoted = [F.concat(name, F.lit(f"={q}{SITEMAP_NAMESPACE}{q}")) for q in ("'", '"')]
-    return F.contains(declared, quoted[0]) | F.contains(declared, quoted[1])
-
-
-def _ends_with_root(body: Column) -> Column:
-    """Whether nothing but comments and instructions follows the root."""
-    ending = F.concat(F.lit("</"), F.regexp_extract(body, _ROOT, 1), F.lit(">"))
-    after = F.call_function("substring_index", body, ending, F.lit(-1))
-    return ~F.contains(body, ending) | F.rlike(after, F.lit(_AFTER))
-
+from siteindex.sources.xml_entries import entries
 
 def robots_sitemaps(sites: DataFrame, responses: DataFrame) -> DataFrame:
     """``(site_id, base_url, pos, sitemap_url)`` named by each site's robots.txt."""
@@ -83,14 +50,6 @@ def is_xml(content_type: Column, body: Column) -> Column:
     )
 
 
-def _locations(entries: Column) -> Column:
-    found = F.flatten(F.transform(entries, lambda e: F.coalesce(e["loc"], F.array().cast("array<string>"))))
-    return F.coalesce(
-        F.filter(found, lambda loc: F.coalesce(loc != "", F.lit(False))),
-        F.array().cast("array<string>"),
-    )
-
-
 def with_html_locations(df: DataFrame, url: str, body: Column) -> DataFrame:
     """Add ``_links``: web links of an HTML body up to the first that cannot be read."""
     read = df.withColumns({"_hrefs": X.hrefs(anchors(body)), "_base": url_parts(F.col(url))})
@@ -103,33 +62,19 @@ def with_html_locations(df: DataFrame, url: str, body: Column) -> DataFrame:
 def sitemap_documents(responses: DataFrame) -> DataFrame:
     """``(url, locations, children)`` of responses taken as sitemaps.
 
-    ``children`` are the sitemaps an index names. XML that cannot be parsed, or is not
-    in the sitemap namespace, names nothing; entries are read as children of the root, not
-    deeper. Keeps other columns.
+    ``children`` are the sitemaps an index names. XML that cannot be read to its end names
+    nothing; entries are found at any depth (see ``xml_entries``). Keeps other columns.
     """
     xml = is_xml(F.col("content_type"), F.col("body"))
     split = responses.withColumn("_xml", xml)
     read = with_html_locations(split, "url", F.when(~F.col("_xml"), F.col("body")))
-    read = read.withColumns(
-        {
-            "_tree": F.from_xml(
-                F.when(F.col("_xml") & _in_namespace(F.col("body")), F.col("body")),
-                _SITEMAP,
-                _XML_OPTIONS,
-            ),
-            "_index": F.contains(F.regexp_extract("body", _ROOT, 1), F.lit("sitemapindex")),
-        }
-    )
+    read = read.withColumn("_entries", entries(F.when(F.col("_xml"), F.col("body"))))
     none = F.array().cast("array<string>")
-    whole = F.col("_tree").isNotNull() & F.col("_tree._corrupt_record").isNull()
-    intact = F.col("_xml") & whole & _ends_with_root(F.col("body"))
+    is_index = F.coalesce(F.col("_entries.is_index"), F.lit(False))
+    found = F.coalesce(F.col("_entries.locations"), none)
     return read.withColumns(
         {
-            "locations": F.when(~F.col("_xml"), F.col("_links"))
-            .when(intact & ~F.col("_index"), _locations(F.col("_tree.url")))
-            .otherwise(none),
-            "children": F.when(intact & F.col("_index"), _locations(F.col("_tree.sitemap"))).otherwise(
-                none
-            ),
+            "locations": F.when(~F.col("_xml"), F.col("_links")).when(is_index, none).otherwise(found),
+            "children": F.when(is_index, found).otherwise(none),
         }
-    ).drop("_xml", "_tree", "_index", "_links", "body", "content_type", "status")
+    ).drop("_xml", "_entries", "_links", "body", "content_type", "status")

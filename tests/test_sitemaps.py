@@ -1,8 +1,12 @@
+import random
+from xml.etree import ElementTree
+
 import pytest
 from pyspark.sql import functions as F
 
 from siteindex.plans.sitemap import sitemap_info, sitemap_info_urls, sitemap_urls, url_type
 from siteindex.sources.sitemaps import existing, robots_sitemaps, sitemap_documents
+from siteindex.sources.xml_entries import read_entries
 from siteindex.sources.snapshot import RESPONSES, pages_of, read_files
 
 NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
@@ -128,9 +132,43 @@ def test_forms_of_xml(spark):
         "other namespace": f'<urlset xmlns="urn:x" note="{ns[7:-1]}">{entry}</urlset>',
         "mentioned only": f"<urlset><!-- {ns} -->{entry}</urlset>",
         "deeper": f"<urlset {ns}><group>{entry}</group></urlset>",
+        "children in the namespace": f"<feed>{entry.replace('<url>', f'<url {ns}>')}</feed>",
+        "deeper location": f"<urlset {ns}><url><x><loc>https://e.com/a</loc></x></url></urlset>",
+        "unknown entity": f"<urlset {ns}>{entry}&nope;</urlset>",
     }
     rows = [(name, 200, "text/xml", body) for name, body in bodies.items()]
     responses = spark.createDataFrame(rows, "url string, status int, content_type string, body string")
     got = {r.url: r.locations for r in sitemap_documents(responses).collect()}
-    assert {name for name, found in got.items() if found == ["https://e.com/a"]} == {"plain", "quotes", "prefix"}
-    assert all(found == [] for name, found in got.items() if name not in ("plain", "quotes", "prefix"))
+    one = {name for name, found in got.items() if found == ["https://e.com/a"]}
+    assert one == {"plain", "quotes", "prefix", "deeper", "children in the namespace"}
+    assert all(found == [] for name, found in got.items() if name not in one)
+
+
+def test_entries_are_those_of_a_tree():
+    """Against the tree of the standard library, on documents made of few pieces."""
+    rng = random.Random(3)
+    pieces = ["<url>", "</url>", "<loc>", "</loc>", "<sm:url>", "</sm:url>", "<sm:loc>", "</sm:loc>", "u", " v ",
+              "<x>", "</x>", "<loc/>", "<!-- c -->", "<![CDATA[w&]]>", "&amp;", "<o:loc>z</o:loc>", "<loc>y</loc>",
+              "<url><loc>k</loc></url>", "<sitemap><loc>s</loc></sitemap>", "&nope;"]
+    names = {"sm": NS[7:-1]}
+    good = 0
+    for i in range(6000):
+        root = rng.choice(["urlset", "sm:urlset", "sitemapindex", "url", "sm:sitemapindex"])
+        inner = "".join(rng.choices(pieces[:-1] if i % 9 else pieces, k=rng.randint(0, 7)))
+        body = f'<{root} {rng.choice([NS, ""])} xmlns:sm="{NS[7:-1]}" xmlns:o="urn:o">{inner}</{root}>'
+        try:
+            tree = ElementTree.fromstring(body)
+        except ElementTree.ParseError:
+            assert read_entries(body) is None
+            continue
+        good += 1
+        is_index = "sitemapindex" in tree.tag
+        found = tree.findall(f".//sm:{'sitemap' if is_index else 'url'}/sm:loc", names)
+        assert read_entries(body) == (is_index, [e.text for e in found if e.text]), body
+    assert good > 1000
+
+
+def test_a_long_sitemap_is_read_in_one_pass():
+    body = urlset(*(f"{E}/{i}" for i in range(200_000)))
+    assert len(body) > 5_000_000 and read_entries(body) == (False, [f"{E}/{i}" for i in range(200_000)])
+    assert read_entries("<a>" * 50_000 + "</a>" * 50_000) == (False, [])

@@ -331,3 +331,40 @@ def link_rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         + ")), '')"
     )
     return pages(spark, sf_dir).selectExpr("page_id", "url", f"concat({links}, html) AS html")
+
+
+def sitemap_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sitemap for each page, in forms that differ by rule: deep, prefixed, foreign, broken."""
+    space = "http://www.sitemaps.org/schemas/sitemap/0.9"
+    entry = "'<', p, 'url><', p, 'loc>https://e.com/', page_id, '?a=1&amp;b=2</', p, 'loc></', p, 'url>'"
+    forms = {
+        0: f"concat('<urlset xmlns=\"{space}\"><group><more>', {entry}, '</more></group>', {entry}, '</urlset>')",
+        1: f"concat('<?xml version=\"1.0\"?><s:urlset xmlns:s=\"{space}\">', {entry}, '</s:urlset>')",
+        2: f"concat('<urlset xmlns=\"urn:other\">', {entry}, '</urlset>')",
+        3: f"concat('<urlset xmlns=\"{space}\">', {entry}, '</urlset><x/>')",
+        4: f"concat('<s:sitemapindex xmlns:s=\"{space}\"><s:sitemap><s:loc><![CDATA[https://e.com/sm-', page_id,"
+           " '.xml]]></s:loc></s:sitemap></s:sitemapindex>')",
+        5: f"concat('<urlset xmlns=\"{space}\">', {entry}, '<url><loc>', '</urlset>')",
+    }
+    cases = " ".join(f"WHEN {k} THEN {body}" for k, body in forms.items())
+    prefixed = pages(spark, sf_dir).selectExpr("page_id", "if(page_id % 6 IN (1, 4), 's:', '') AS p")
+    return prefixed.selectExpr(
+        "concat('https://e.com/sitemap-', page_id, '.xml') AS url", "200 AS status",
+        "'application/xml' AS content_type", f"CASE page_id % 6 {cases} END AS body",
+    )
+
+
+def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bytes in five encodings: declared, marked, or neither."""
+    latin = "regexp_replace(html, '[^\\u0000-\\u007f\\u00a0-\\u00ff]', 'x')"
+    declared = "replace({}, '<meta charset=\"utf-8\">', '{}')"
+    meta = '<meta http-equiv=\"Content-Type\" content=\"text/html; charset=ISO-8859-1\">'
+    content = (
+        "CASE page_id % 5"
+        " WHEN 0 THEN encode(html, 'UTF-8')"
+        f" WHEN 1 THEN encode({declared.format(latin, meta)}, 'ISO-8859-1')"
+        " WHEN 2 THEN concat(X'FFFE', encode(html, 'UTF-16LE'))"
+        " WHEN 3 THEN concat(X'FEFF', encode(html, 'UTF-16BE'))"
+        f" ELSE concat(encode({declared.format(latin, '')}, 'ISO-8859-1'), X'80E9') END"
+    )
+    return pages(spark, sf_dir).selectExpr("page_id", "url", f"{content} AS content")

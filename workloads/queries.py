@@ -29,8 +29,8 @@ from siteindex.plans.sitemap import sitemap_info, sitemap_info_urls, sitemap_url
 from siteindex.plans.run import run
 from siteindex.session import configure, keep, shared_dir
 from siteindex.sources.nodes import anchors
-from siteindex.sources.sitemaps import existing, robots_sitemaps
-from siteindex.sources.snapshot import fetched, first_copies, pages_of
+from siteindex.sources.sitemaps import existing, robots_sitemaps, sitemap_documents
+from siteindex.sources.snapshot import decoded, fetched, first_copies, pages_of
 from workloads import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +143,15 @@ def single_copies(spark, sf_dir):
     return kept.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
 
 
+@query
+def decoded_pages(spark, sf_dir):
+    """Texts of pages that come as bytes in several encodings."""
+    read = inputs.encoded_pages(spark, sf_dir).withColumn("html", decoded(F.col("content")))
+    return read.select(
+        "url", F.length("html").cast("bigint").alias("n_chars"), F.sha2("html", 256).alias("sha256")
+    )
+
+
 @query
 def crawl_lookup(spark, sf_dir):
     found = fetched(pages_of(inputs.page_responses(spark, sf_dir), crawl=True))
@@ -501,6 +510,19 @@ def sitemap_locations(spark, sf_dir):
     return found.select("site_id", _long("pos"), "sitemap_url")
 
 
+@query
+def sitemap_forms(spark, sf_dir):
+    """What sitemaps of many forms name, pages and further sitemaps."""
+    read = sitemap_documents(inputs.sitemap_forms(spark, sf_dir))
+    named = F.concat(
+        F.transform("locations", lambda u: F.struct(F.lit("page").alias("kind"), u.alias("named"))),
+        F.transform("children", lambda u: F.struct(F.lit("sitemap").alias("kind"), u.alias("named"))),
+    )
+    return read.select("url", F.posexplode(named).alias("pos", "n")).select(
+        "url", _long("pos"), "n.kind", "n.named"
+    )
+
+
 @query
 def sitemap_pages(spark, sf_dir):
     return sitemap_urls(*_snapshot(spark, sf_dir))
