@@ -5,13 +5,15 @@ An item of ``m`` characters may differ by ``k = m * ERROR_RATE`` edits. Cut into
 pieces, an occurrence with at most ``k`` edits holds one of them unchanged. An automaton of all
 pieces runs over each whole document; around each hit the smallest edit distance of the item to
 any stretch of the window is worked out with bit vectors (one step for each character).
+Items of fewer than ``MIN_CHARS`` compared characters would be found anywhere with an edit or
+inside other words: they are looked for whole, without edits and as whole words.
 
 The items are the query set: they are sent to the workers in blocks of ``BLOCK_CHARS`` characters,
-each block with a scan of its own, so what is sent is bounded whatever the benchmark's size.
+each block with a scan of its own, so what is sent is bounded whatever the benchmark's size. The
+driver holds one block at a time.
 
-Defined cases: null and empty documents hold nothing; items of fewer than ``MIN_CHARS`` compared
-characters are not looked for, as they would be found anywhere; equal items are matched once and
-reported each; a null item id is reported as null; rows of one document id are matched each, and
+Defined cases: null and empty documents hold nothing; items without letters or digits are found
+nowhere; equal items are matched once and reported each; a null item id is reported as null; rows of one document id are matched each, and
 a pair's best match is kept.
 """
 
@@ -65,23 +67,28 @@ def distance(pattern_bits: dict[str, int], m: int, text: str) -> tuple[int, int]
 
 
 class Items:
-    """Benchmark items, ready to be looked for."""
+    """Benchmark items, ready to be looked for; those below ``min_chars`` as whole words."""
 
-    def __init__(self, texts: Sequence[str], error_rate: float):
+    def __init__(self, texts: Sequence[str], error_rate: float, min_chars: int = MIN_CHARS):
         import ahocorasick
 
         self.texts = texts
-        self.budget = [int(len(t) * error_rate) for t in texts]
+        self.budget = [int(len(t) * error_rate) if len(t) >= min_chars else 0 for t in texts]
         self.bits: list[dict[str, int]] = []
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        # documents are run through with a blank at both ends, so that a short item with its two
+        # blanks is a word or several; the offset is that of the item's start in the piece
         for item, text in enumerate(texts):
             bits: dict[str, int] = defaultdict(int)
             for i, char in enumerate(text):
                 bits[char] |= 1 << i
             self.bits.append(dict(bits))
+            if len(text) < min_chars:
+                pieces[f" {text} "].append((item, 0))
+                continue
             edges = np.linspace(0, len(text), self.budget[item] + 2).astype(int).tolist()
             for a, b in zip(edges, edges[1:], strict=False):
-                pieces[text[a:b]].append((item, a))
+                pieces[text[a:b]].append((item, a + 1))
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -94,7 +101,7 @@ class Items:
         if self.empty:
             return
         starts: dict[int, set[int]] = defaultdict(set)
-        for end, (size, places) in self.automaton.iter(text):
+        for end, (size, places) in self.automaton.iter(f" {text} "):
             for item, offset in places:
                 starts[item].add(end + 1 - size - offset)
         for item, found in starts.items():
@@ -119,20 +126,18 @@ class Items:
                 yield item, best, begin + end
 
 
-def _blocks(items: DataFrame, min_chars: int) -> list[tuple[list[str], list[list[int | None]]]]:
+def _blocks(items: DataFrame) -> Iterator[tuple[list[str], list[list[int | None]]]]:
     """Compared texts and the ids of the items that have them, in blocks of bounded size."""
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_CHARS))
-    blocks = []
     for i in range(n):
         part = items.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(n)) == i)
         ids: dict[str, list[int | None]] = defaultdict(list)
         for row in part.select("item_id", "text").collect():
             text = compared(row.text or "")
-            if len(text) >= min_chars:
+            if text:
                 ids[text].append(row.item_id)
-        blocks.append((list(ids), list(ids.values())))
-    return blocks
+        yield list(ids), list(ids.values())
 
 
 def contamination(
@@ -144,12 +149,12 @@ def contamination(
     """
     rows = docs.select(id_key().alias(KEY), whole_text().alias("text"))
     found = None
-    for texts, ids in _blocks(items, min_chars):
+    for texts, ids in _blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast((texts, ids))
 
         def search(batches, sent=sent):
             texts, ids = sent.value
-            ready = Items(texts, error_rate)
+            ready = Items(texts, error_rate, min_chars)
             for batch in batches:
                 out = [
                     (key, item_id, best, ready.budget[item], end)
@@ -184,13 +189,13 @@ def is_contaminated(
     def search(sent):
         @F.pandas_udf("boolean")
         def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            ready = Items(sent.value, error_rate)
+            ready = Items(sent.value, error_rate, min_chars)
             for batch in batches:
                 yield pd.Series([any(True for _ in ready.matches(t or "")) for t in batch], dtype=bool)
 
         return holds(F.col("text"))
 
     result = F.lit(False)
-    for texts, _ in _blocks(items, min_chars):
+    for texts, _ in _blocks(items):
         result = result | search(docs.sparkSession.sparkContext.broadcast(texts))
     return result

@@ -80,11 +80,12 @@ def test_bit_vectors():
         assert decontaminate.distance(dict(bits), len(p), t)[0] == plain_distance(p, t)
 
 
-def test_contamination(spark, documents):
+def test_contamination(spark, documents, monkeypatch):
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)]
     items = [(i, " ".join(rng.choices(words, k=rng.randint(8, 40)))) for i in range(12)]
-    items += [(50, items[0][1].upper()), (51, None), (52, "short"), (None, items[1][1] + " more words here")]
+    items += [(50, items[0][1].upper()), (51, None), (52, "Short one!"), (53, words[0]),
+              (54, "abc"), (55, "..."), (None, items[1][1] + " more words here")]
     rows = []
     for i in range(40):
         text = rng.choices(words, k=60)
@@ -95,14 +96,21 @@ def test_contamination(spark, documents):
             text[30:30] = ["".join(item)]
         rows.append((i, ("\n" if i % 3 else " ").join(text)))
     rows += [(100 + i, t) for i, t in enumerate(ODD)]
-    truth = set()
-    for doc, text in rows:
+    rows += [(200, "a very short-one"), (201, "shorter ones, shortone"), (202, "Short\none"), (203, "xabc abcx"), (204, "ABC")]
+    rows += [(205, "long " * 300_000 + items[3][1] + " short one")]
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 400)
+    truth = {(205, 3, 0), (205, 52, 0)}
+    for doc, text in rows[:-1]:
         for item, sought in items:
             a, b = decontaminate.compared(sought or ""), decontaminate.compared(text or "")
-            if len(a) >= 24 and (d := plain_distance(a, b)) <= int(len(a) * decontaminate.ERROR_RATE):
+            if a and len(a) < 24:
+                if f" {a} " in f" {b} ":
+                    truth.add((doc, item, 0))
+            elif a and (d := plain_distance(a, b)) <= int(len(a) * decontaminate.ERROR_RATE):
                 truth.add((doc, item, d))
     table = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(rows)
+    assert len(list(decontaminate._blocks(table))) > 2
     got = decontaminate.contamination(docs, table)
     assert {(r.doc_id, r.item_id, r.distance) for r in got.collect()} == truth and truth
     found = docs.where(decontaminate.is_contaminated(docs, table)).collect()
