@@ -194,7 +194,11 @@ def crawl_records(pages: DataFrame, mode: str) -> DataFrame:
     A page with an unreadable link in its kept part gives no record; one with such a
     link anywhere is recorded but not followed.
     """
-    _, words, width = CRAWL_MODES[mode]
+    return crawl_records_of(pages, [mode]).withColumnRenamed(f"follow_{mode}", "follow")
+
+
+def crawl_records_of(pages: DataFrame, modes: Sequence[str]) -> DataFrame:
+    """The same with the links of several modes, ``follow_…``, read in one pass."""
     url, n = F.col("url"), F.col("nodes")
     read = parsed(pages).where(n.isNotNull())
     read = with_view(read, CRAWLED).withColumns(
@@ -210,8 +214,8 @@ def crawl_records(pages: DataFrame, mode: str) -> DataFrame:
         X.crawl_title(n, url).alias("title"),
         text_of(F.col("tokens"), F.col("place")).alias("content"),
         X.web_links(F.col("kept_links")).alias("links"),
-        _followed(words, width).alias("follow"),
+        *(_followed(*CRAWL_MODES[mode][1:]).alias(f"follow_{mode}") for mode in modes),
     ]
-    if mode == "map":
+    if "map" in modes:
         columns.append(X.structure(n, url).alias("structure_info"))
     return read.select(*columns)

@@ -11,6 +11,7 @@ from siteindex import config
 from siteindex.operators.ranking import numbered
 from siteindex.plans import render
 from siteindex.plans.catalog import catalog, only, page_facts
+from siteindex.plans import crawl as crawl_module
 from siteindex.plans.crawl import crawl
 from siteindex.plans.discover import discover
 from siteindex.plans.pages import processed, site_links
@@ -258,6 +259,24 @@ def test_crawl_map_has_structure_and_html(spark, pages):
     assert row.traversal_mode == "structure" and row.structure_info.heading_count == 1 and row.html.startswith("<article>")
 
 
+def test_crawl_parses_visited_pages_only(spark, monkeypatch):
+    at = "https://x.org/docs/{}".format
+    refs = "".join(f'<a href="{at(name)}">l</a>' for name in ["empty", "bad", "gone", 1, 2, 3, 4])
+    bodies = {"home": refs, "empty": "", "bad": '<a href="http://[x/">t</a>', **{str(i): f"<p>{i}</p>" + refs for i in range(40)}}
+    rows = [(i, at(name), f"<article>{body}</article>" if body else "") for i, (name, body) in enumerate(bodies.items())]
+    snapshot = keep(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    read = []
+    records = crawl_module.crawl_records_of
+    monkeypatch.setattr(crawl_module, "crawl_records_of", lambda p, modes: read.append(p) or records(p, modes))
+    starts = spark.createDataFrame([("a", at("home")), ("b", at("home"))], "site_id string, url string")
+    got = crawl(starts, snapshot, "docs", 4, 3).orderBy("site_id", "rank").collect()
+    assert [(r.site_id, r.url, r.rank, r.depth) for r in got] == [
+        (site, at(name), rank, min(rank, 1)) for site in "ab" for rank, name in enumerate(["home", 1, 2, 3])]
+    parsed = [r.url for p in read for r in p.collect()]
+    # two pages fail and give their room to the next; the other pages are never read
+    assert sorted(parsed) == sorted(map(at, ["home", "empty", "bad", 1, 2, 3]))
+
+
 def test_first_copies(spark, pages):
     assert sorted(first_copies(pages).collect()) == sorted(pages.collect())
     hot = f"{H0}/docs/0"
