@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from siteindex.constants import OTHER_CATEGORY
 from siteindex.functions.text import contains_any_of, first_where
+from siteindex.operators.patterns import BLOCK_TEXTS, first_categories, pattern_count
 from siteindex.operators.views import CLEANERS, Cleaner
 from siteindex.plans.discover import discover, seeds
 from siteindex.plans.pages import processed, site_links
 from siteindex.session import keep
 
 RECORD = ("url", "title", "description", "content", "category", "source")
+#: Patterns of a site up to which each is tested by itself, without a pass through Python.
+FEW_PATTERNS = 64
 
 
 def category(url: Column, title: Column, rules: Column) -> Column:
@@ -56,17 +59,34 @@ def build_catalog(
     """``(site_id, rank, url, title, description, content, category, source)``.
 
     Pages that were not found are left out. Only listed pages are parsed, each once, and
-    the rules join the list before the text does.
+    the rules meet the list before the text does.
     """
-    rules = sites.select("site_id", "category_rules")
-    listed = keep(discovered.join(rules, "site_id", "left"), "listed")
+    rules = keep(sites.select("site_id", "category_rules"), "rules")
+    listed = keep(discovered, "listed")
     facts = keep(page_facts(only(pages, listed), cleaners, titles), "facts")
-    labelled = listed.join(facts, "url").withColumn(
-        "category", category(F.col("url"), F.col("title"), F.col("category_rules"))
-    )
+    few = (rules.agg(F.max(pattern_count())).first()[0] or 0) <= FEW_PATTERNS
+    if few:
+        labelled = listed.join(rules, "site_id", "left").join(facts, "url").withColumn(
+            "category", category(F.col("url"), F.col("title"), F.col("category_rules"))
+        )
+    else:
+        titled = keep(listed.join(facts.select("url", "title"), "url"), "titled")
+        named = keep(categorised(titled, rules), "named").drop("title")
+        sources = listed.select("site_id", "rank", "source")
+        labelled = named.join(sources, ["site_id", "rank"]).join(facts, "url")
     return labelled.select("site_id", "rank", *RECORD)
 
 
+def categorised(titled: DataFrame, rules: DataFrame) -> DataFrame:
+    """``site_id, rank, url, title, category``, by one automaton for the patterns of a site.
+
+    The same as ``category`` at a cost that hardly depends on the number of patterns; ranks are
+    those of the list, so that a block of them is bounded. ``titled`` is read twice.
+    """
+    block = F.expr(f"rank div {BLOCK_TEXTS}")
+    return first_categories(titled, rules, block)
+
+
 def catalog(
     sites: DataFrame,
     pages: DataFrame,

@@ -44,8 +44,6 @@ def closure(named: DataFrame, responses: DataFrame) -> DataFrame:
     listed: list[DataFrame] = []
     while True:
         frontier = keep(frontier, "frontier")
-        if frontier.isEmpty():
-            break
         documents = sitemap_documents(
             bodies.join(frontier.select("url").distinct(), "url", "left_semi")
         )
@@ -61,8 +59,6 @@ def closure(named: DataFrame, responses: DataFrame) -> DataFrame:
             .distinct()
             .join(_union(seen), ["site_id", "base_url", "url"], "left_anti")
         )
-    if not listed:
-        return named.select("site_id", "base_url", F.col("sitemap_url").alias("url")).limit(0)
     return _union(listed)
 
 

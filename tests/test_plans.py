@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteindex import config
+from siteindex.operators.patterns import first_categories, pattern_count
 from siteindex.operators.ranking import numbered
+from siteindex.plans import catalog as catalog_module
 from siteindex.plans import render
-from siteindex.plans.catalog import catalog, only, page_facts
+from siteindex.plans.catalog import catalog, categorised, category, only, page_facts
 from siteindex.plans import crawl as crawl_module
 from siteindex.plans.crawl import crawl
 from siteindex.plans.discover import discover
@@ -353,3 +355,52 @@ def test_failed_page_keeps_its_links(spark):
     pages = spark.createDataFrame([(1, "https://e.com/", html)], "page_id bigint, url string, html string")
     assert page_facts(pages).first().title == "Error Processing Content"
     assert site_links(pages).first().links == ["https://e.com/a"]
+
+
+MANY_RULES = [
+    ([f"/p{i}/"] if i % 3 else None, [f"t{i}x", None] if i % 2 else []) for i in range(5000)
+] + [(["/docs"], None), ([None], ["late"]), (None, None)]
+
+
+@pytest.fixture(scope="module")
+def ruled(spark):
+    rules = [(f"c{i}" if i != 7 else None, u, t) for i, (u, t) in enumerate(MANY_RULES)] + [None]
+    everything = [("first", ["/never"], []), ("all titles", [], [""]), ("all", [""], [])]
+    rows = [("hot", rules), ("empty", everything), ("none", []), ("null", None)]
+    return spark.createDataFrame(rows, f"site_id string, category_rules {config.RULES}")
+
+
+def test_many_rules_are_those_of_single_tests(spark, ruled):
+    urls = [f"https://h.org/p{i}/p{i * 7 % 5000}/{'docs' if i % 5 else ''}" for i in range(0, 6000, 3)]
+    rows = [("hot", i, u, f"T{i * 11 % 6000}x LATE" if i % 4 else None) for i, u in enumerate(urls)]
+    for site in ("empty", "none", "null", "unknown"):
+        rows += [(site, 0, "https://h.org/docs", "Late"), (site, 1, "https://h.org/x", None), (site, 5000, None, None)]
+    titled = keep(spark.createDataFrame(rows, "site_id string, rank int, url string, title string"), "titled")
+    got = categorised(titled, ruled).collect()
+    expected = titled.join(ruled, "site_id", "left").select(
+        "site_id", "rank", "url", "title",
+        category(F.col("url"), F.col("title"), F.col("category_rules")).alias("category"),
+    )
+    assert sorted(map(repr, got)) == sorted(map(repr, expected.collect()))
+    assert len({r.category for r in got}) > 1000
+
+
+def test_rules_do_not_travel_with_the_texts(spark, ruled):
+    rows = [("hot", i, f"/p{i}/", "x") for i in range(9000)]
+    titled = keep(spark.createDataFrame(rows, "site_id string, rank int, url string, title string"), "titled")
+    blocks = first_categories(titled, ruled, F.expr("rank div 4096"))
+    assert blocks.count() == 9000
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "MapInArrow" in plan
+
+
+def test_catalogue_by_many_rules(spark, sites, pages, built, monkeypatch):
+    monkeypatch.setattr(catalog_module, "FEW_PATTERNS", 0)
+    order = ["site_id", "rank", "url"]
+    assert catalog(sites, pages).orderBy(order).collect() == built.orderBy(order).collect()
+
+
+def test_patterns_are_counted(spark, ruled):
+    counted = {r.site_id: r.n for r in ruled.select("site_id", pattern_count().alias("n")).collect()}
+    assert counted["none"] == counted["null"] == 0 and counted["empty"] == 3
+    assert counted["hot"] == sum(len(u or ()) + len(t or ()) for u, t in MANY_RULES)

@@ -368,3 +368,22 @@ def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         f" ELSE concat(encode({declared.format(latin, '')}, 'ISO-8859-1'), X'80E9') END"
     )
     return pages(spark, sf_dir).selectExpr("page_id", "url", f"{content} AS content")
+
+
+def block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``site_id, category_rules``: a site for each block of pages, three patterns for each page.
+
+    The patterns are pieces of URLs and headings, so that a page meets many rules and the first
+    is rarely its own; the last page of a block has the first rule.
+    """
+    heading = "coalesce(regexp_extract(html, '<h1>(.*?)</h1>', 1), '')"
+    rules = (
+        "struct(concat('page ', page_id) AS category,"
+        " array(substr(url, 9, 9), right(url, 6)) AS url_patterns,"
+        f" array(lower(substr({heading}, 1, 6))) AS title_patterns)"
+    )
+    placed = pages(spark, sf_dir).selectExpr(
+        f"concat('block', page_id div {BLOCK}) AS site_id", "-page_id AS at", f"{rules} AS rule"
+    )
+    listed = F.array_sort(F.collect_list(F.struct("at", "rule")))["rule"]
+    return placed.groupBy("site_id").agg(listed.cast(RULES).alias("category_rules"))

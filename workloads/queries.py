@@ -22,7 +22,7 @@ from siteindex.operators.views import (
 )
 from siteindex.plans import pages as P
 from siteindex.plans import render
-from siteindex.plans.catalog import catalog, category
+from siteindex.plans.catalog import catalog, categorised, category
 from siteindex.plans.crawl import crawl
 from siteindex.plans.discover import discover
 from siteindex.plans.sitemap import sitemap_info, sitemap_info_urls, sitemap_urls
@@ -321,6 +321,21 @@ def categorise(spark, sf_dir):
     return done.select("url", category(F.col("url"), F.col("title"), rules).alias("category"))
 
 
+@query
+def many_rules(spark, sf_dir):
+    """Pages by rules of 1,500 patterns for each block of 500 pages."""
+    done = P.processed(inputs.pages(spark, sf_dir), extra=["page_id"])
+    titled = keep(
+        done.selectExpr(
+            f"concat('block', page_id div {inputs.BLOCK}) AS site_id",
+            f"page_id % {inputs.BLOCK} AS rank", "url", "title",
+        ),
+        "titled",
+    )
+    rules = keep(inputs.block_rules(spark, sf_dir), "rules")
+    return categorised(titled, rules).select("site_id", _long("rank"), "url", "category")
+
+
 # --- sites ---------------------------------------------------------------------
 
 
