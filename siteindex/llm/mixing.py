@@ -8,7 +8,11 @@ of ``n`` tokens read at rate ``r`` adds ``r * n * p`` tokens to each domain. The
 squared distance of the domains' expected totals to their targets (each relative to its target)
 and, weighted by ``RIDGE``, of the rates to 1, subject to ``r >= 0``. Projected gradient steps with
 momentum do this: a step needs the totals alone, one number for each domain, and each document
-replays the steps since its rate was last written.
+replays the steps since its rate was last written. Steps go on until every total is within
+``TOLERANCE`` of its target. Where the squared distance has not fallen to ``PROGRESS`` of its best in
+``PATIENCE`` steps, rates may go further from 1 (a tenth of the ridge). Steps end there if the
+documents prove that no rates meet the targets, or if the ridge is the least; a warning says
+which and by how much the worst total is off.
 
 Defined cases: null and empty texts have no tokens, the prior as membership and a rate all the
 same; null ids are never labelled; labels of no target domain are left out; several labels of an
@@ -19,6 +23,7 @@ with one rate; a domain without labelled documents has the prior of half a docum
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +34,9 @@ from siteindex.llm.common import BLANKS, KEY, VERSION, id_key, id_of, keyed, wri
 BUCKETS, EVIDENCE, DRAWN, RIDGE, SEED = 1 << 16, 64, 20.0, 1e-3, 7
 #: Labelled rows to learn from at most, those with the smallest hash of their id.
 FIT_ROWS = 20_000
-STEPS, WRITE_EVERY, TOLERANCE = 60, 12, 2e-3
+WRITE_EVERY, TOLERANCE = 12, 2e-3
+#: When steps no longer help: squares not below this part of their best in so many steps.
+PROGRESS, PATIENCE, LEAST_RIDGE = 0.9, 12, 1e-5
 
 
 def _numbers(values) -> Column:
@@ -108,7 +115,10 @@ def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
 def fitted_rates(
     members: DataFrame, targets: Mapping[str, float], epochs: float = 1.0
 ) -> DataFrame:
-    """``members`` with ``rate``; the expected tokens of all are ``epochs`` times those there."""
+    """``members`` with ``rate``; the expected tokens of all are ``epochs`` times those there.
+
+    Warns if the targets were not met; ``expected_shares`` tells what was reached.
+    """
     shares = [v / sum(targets.values()) for v in targets.values()]
     at = range(len(shares))
     p = [F.col("p")[j] for j in at]
@@ -117,34 +127,60 @@ def fitted_rates(
     state = members.withColumn("rate", F.lit(1.0)).withColumn("last", F.lit(1.0))
     if not tokens:
         return state.drop("last")
-    rate = 1.0 / (bound / tokens + RIDGE)
-    pulls: list[tuple[float, ...]] = []  # of each step since the state was written: momentum, gradient
+    steep = bound / tokens
+    # of each step since the state was written: momentum, ridge, length of the step, gradient
+    pulls: list[tuple[float, ...]] = []
 
     def replayed() -> Column:
-        start = F.struct(F.col("rate").alias("r"), F.col("last").alias("b"))
+        start = F.struct(F.col("rate").alias("r"), F.col("last").alias("b"), F.col("rate").alias("y"))
         if not pulls:
             return start
 
         def step(s, pull):
             ahead = s["r"] + pull[0] * (s["r"] - s["b"])
-            slope = sum((F.col("p")[j] * pull[j + 1] for j in at), F.lit(0.0))
-            moved = ahead - F.lit(rate) * (slope + F.lit(RIDGE) * (ahead - 1.0))
-            return F.struct(F.greatest(F.lit(0.0), moved).alias("r"), s["r"].alias("b"))
+            slope = sum((F.col("p")[j] * pull[j + 3] for j in at), F.lit(0.0))
+            moved = ahead - pull[2] * (slope + pull[1] * (ahead - 1.0))
+            return F.struct(
+                F.greatest(F.lit(0.0), moved).alias("r"), s["r"].alias("b"), ahead.alias("y")
+            )
 
         return F.aggregate(F.array(*(_numbers(x) for x in pulls)), start, step)
 
-    for k in range(STEPS):
-        momentum = k / (k + 3)
+    ridge, paced, best, since = RIDGE, 0, math.inf, 0
+    slopes, proven = [0.0 for _ in at], False
+    while True:
+        momentum = paced / (paced + 3)
         now = state.select("n_tokens", "p", replayed().alias("s"))
         ahead = F.col("s.r") + F.lit(momentum) * (F.col("s.r") - F.col("s.b"))
-        totals = now.select("n_tokens", "p", ahead.alias("y")).agg(
-            *(F.sum(F.col("y") * F.col("n_tokens") * p[j]) for j in at)
+        against = F.col("n_tokens") * (F.col("s.y") - F.col("s.r")) * (F.col("s.r") - F.col("s.b"))
+        slope = sum((p[j] * F.lit(slopes[j]) for j in at), F.lit(0.0))
+        *totals, turned, least = (
+            now.select("n_tokens", "p", ahead.alias("y"), against.alias("a"), slope.alias("slope"))
+            .agg(
+                *(F.sum(F.col("y") * F.col("n_tokens") * p[j]) for j in at),
+                F.sum("a"),
+                F.min(F.when(F.col("n_tokens") > 0, F.col("slope"))),
+            )
+            .first()
         )
-        off = [t / tokens - epochs * s for t, s in zip(totals.first(), shares, strict=True)]
-        pulls.append((momentum, *(x / s for x, s in zip(off, shares, strict=True))))
-        if max(abs(x) / s for x, s in zip(off, shares, strict=True)) < TOLERANCE:
+        proven = proven or _unreachable(shares, slopes, least)
+        off = [t / tokens - epochs * s for t, s in zip(totals, shares, strict=True)]
+        slopes = [x / s for x, s in zip(off, shares, strict=True)]
+        miss, squares = max(map(abs, slopes)), sum(x * y for x, y in zip(off, slopes, strict=True))
+        pulls.append((momentum, ridge, 1.0 / (steep + ridge), *slopes))
+        if miss < TOLERANCE:
             break
-        if len(pulls) == WRITE_EVERY and k + 1 < STEPS:
+        paced = 0 if turned > 0 else paced + 1  # momentum against the slope starts anew
+        since += 1
+        if squares < PROGRESS * best:
+            best, since = squares, 0
+        elif since >= PATIENCE:
+            if proven or ridge <= LEAST_RIDGE:
+                why = "no rates meet the targets" if proven else "targets not met"
+                warnings.warn(f"{why}: a total is off by {miss:.1%} of its target", stacklevel=2)
+                break
+            ridge, paced, since = ridge / 10, 0, 0
+        if len(pulls) == WRITE_EVERY:
             fields = state.withColumn("s", replayed())
             state = written(
                 fields.select(*members.columns, F.col("s.r").alias("rate"), F.col("s.b").alias("last")),
@@ -154,6 +190,36 @@ def fitted_rates(
     return state.withColumn("s", replayed()).select(*members.columns, F.col("s.r").alias("rate"))
 
 
+def _unreachable(shares: list[float], slopes: list[float], least: float) -> bool:
+    """Whether no rates bring every total within ``TOLERANCE`` of its target.
+
+    Totals weighted by ``slopes`` are at least ``least``, the smallest weight of a document's
+    membership, for each token; within the tolerance of the targets they are at most the right side.
+    """
+    floor = least * (1 - TOLERANCE if least > 0 else 1 + TOLERANCE)
+    return floor > sum(s * x + TOLERANCE * s * abs(x) for s, x in zip(shares, slopes, strict=True))
+
+
+def expected_shares(
+    rates: DataFrame, targets: Mapping[str, float], epochs: float = 1.0
+) -> DataFrame:
+    """``domain, target, expected``: tokens wanted and expected, as parts of the tokens there.
+
+    ``rates`` is the result of ``fitted_rates`` or ``mixture``. Without tokens ``expected`` is null.
+    """
+    sums = [F.sum(F.col("rate") * F.col("n_tokens") * F.col("p")[j]) for j in range(len(targets))]
+    total = sum(targets.values())
+    rows = [
+        F.struct(
+            F.lit(d).alias("domain"),
+            F.lit(epochs * v / total).alias("target"),
+            F.try_divide(sums[j], F.sum("n_tokens")).alias("expected"),
+        )
+        for j, (d, v) in enumerate(targets.items())
+    ]
+    return rates.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 def mixture(
     docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], epochs: float = 1.0
 ) -> DataFrame:

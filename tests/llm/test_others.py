@@ -235,6 +235,67 @@ def test_mixing(spark, documents):
     assert all(math.isfinite(r.rate) and math.isclose(r.p[0], 0.5) for r in even)
 
 
+MEMBERS = "_key long, _version long, n_tokens long, p array<double>"
+
+
+def nearest_rates(n, p, goal):
+    """Dense: of the nonnegative rates whose totals are the goal, those nearest to 1 (by tokens)."""
+    pull = np.zeros(len(goal))
+    for _ in range(200):  # Newton steps on one multiplier for each domain
+        r = np.maximum(0, 1 + p @ pull)
+        live = (n * (r > 0))[:, None] * p
+        pull += np.linalg.solve(live.T @ p + 1e-9 * np.eye(len(goal)), goal - (n * r) @ p)
+    return np.maximum(0, 1 + p @ pull)
+
+
+@pytest.mark.parametrize("shares", [(0.7, 0.2, 0.1), (0.9, 0.05, 0.05), (0.3, 0.4, 0.3)])
+def test_rates_reach_far_targets(spark, shares, recwarn):
+    rng = np.random.default_rng(3)
+    n, p = rng.integers(1, 400, 300), rng.dirichlet((1.0, 0.3, 0.2), 300)
+    rows = [(i, 0, int(n[i]), p[i].tolist()) for i in range(300)]
+    targets = dict(zip("abc", shares, strict=True))
+    members = spark.createDataFrame(rows, MEMBERS)
+    rates = mixing.fitted_rates(members, targets)
+    got = np.array([r.rate for r in rates.orderBy("_key").collect()])
+    goal = n.sum() * np.array(shares)
+    assert not [w for w in recwarn if "targets" in str(w.message)]
+    assert (np.abs((n * got) @ p - goal) < 3 * mixing.TOLERANCE * goal).all() and (got >= 0).all()
+    best = nearest_rates(n, p, goal)
+    assert np.allclose((n * best) @ p, goal)
+    assert n @ (got - 1) ** 2 < 1.1 * (n @ (best - 1) ** 2) + 0.01 * n.sum()
+    shown = {r.domain: (r.target, r.expected) for r in mixing.expected_shares(rates, targets).collect()}
+    for d, j in zip("abc", range(3), strict=True):
+        assert math.isclose(shown[d][0], shares[j])
+        assert math.isclose(shown[d][1], (n * got) @ p[:, j] / n.sum())
+
+
+def test_targets_out_of_reach(spark):
+    members = spark.createDataFrame([(i, 0, 10, [0.5, 0.5]) for i in range(20)], MEMBERS)
+    targets = {"a": 0.9, "b": 0.1}
+    with pytest.warns(UserWarning, match="no rates meet the targets"):
+        rates = mixing.fitted_rates(members, targets)
+    # (x - 0.9) / 0.9 + (x - 0.1) / 0.1 = 0 holds for x = 0.18 of each domain
+    assert all(abs(r.expected - 0.18) < 2e-3 for r in mixing.expected_shares(rates, targets).collect())
+    assert mixing.expected_shares(rates.where("false"), targets).first().expected is None
+
+
+def test_unreachable_is_a_proof():
+    rng = np.random.default_rng(5)
+    found = 0
+    for _ in range(300):
+        p, shares = rng.dirichlet((4, 1, 1), 6), rng.dirichlet((1, 1, 1))
+        n = rng.dirichlet(np.ones(6))
+        slopes = (n @ p - shares) / shares
+        if mixing._unreachable(list(shares), list(slopes), (p @ slopes).min()):
+            found += 1  # then many mixtures of the documents all miss
+            mixtures = rng.dirichlet(np.full(6, 0.3), 2000) @ p
+            assert (np.abs(mixtures - shares) / shares).max(axis=1).min() > mixing.TOLERANCE
+        reached = n @ p  # a mixture of the documents is never called out of reach
+        any_slopes = rng.normal(size=3)
+        assert not mixing._unreachable(list(reached), list(any_slopes), (p @ any_slopes).min())
+    assert found > 20
+
+
 # --- quality -------------------------------------------------------------------
 
 
