@@ -7,6 +7,12 @@ parts are written by many tasks.
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from collections.abc import Sequence
+
+from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,3 +129,65 @@ def write_files(lines: DataFrame, path: str, part_bytes: int = PART_BYTES) -> No
         .mode("append")
         .save(path)
     )
+
+
+#: Characters that folders named after values do not show as they are, the sign of escapes first.
+_ESCAPED = "%" + "".join(map(chr, range(1, 32))) + "\"#'*/:=?\\\x7f{[]^"
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def folder_name(key: str) -> Column:
+    """``key=value`` as ``partitionBy`` names folders."""
+    plain = F.col(key).cast("string")
+    escaped = plain
+    for c in _ESCAPED:
+        escaped = F.replace(escaped, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    odd = plain.rlike(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+    value = F.when(odd, escaped).when(plain != "", plain).otherwise(NO_VALUE)
+    return F.concat(F.lit(f"{key}="), value)
+
+
+def write_folders(
+    lines: DataFrame, keys: Sequence[str], order: str, folder: str, ending: str
+) -> None:
+    """The ``line`` of each group of ``keys`` in one file of a folder that is named after them.
+
+    The layout is that of ``partitionBy``. ``folder`` is one that all machines have mounted: there
+    Spark's writer starts a process for the permissions of every file it makes, which takes
+    longer than the writing of a small one. All files appear together at the end.
+    """
+    system = pafs.LocalFileSystem()
+    if system.get_file_info(folder).type != pafs.FileType.NotFound:
+        raise AnalysisException(f"[PATH_ALREADY_EXISTS] Path {folder} already exists.")
+    parent, name = posixpath.split(folder.rstrip("/"))
+    beside = posixpath.join(parent, f"_{name}-{uuid.uuid4().hex}")
+    text = F.concat(F.coalesce("line", F.lit("")), F.lit("\n")).cast("binary")
+    size = F.octet_length("text").cast("bigint")
+    group = Window.partitionBy("file").orderBy(order)
+    before = group.rowsBetween(Window.unboundedPreceding, -1)
+    every = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    file = F.concat_ws("/", *map(folder_name, keys), F.lit(f"part-00000.{ending}"))
+    placed = (
+        lines.select(file.alias("file"), order, text.alias("text"))
+        .repartition("file")
+        .select(
+            "file",
+            F.coalesce(F.sum(size).over(before), F.lit(0)).alias("start"),
+            F.sum(size).over(every).alias("total"),
+            "text",
+        )
+    )
+    lines.sparkSession.dataSource.register(OrderedFiles)
+    system.create_dir(beside, recursive=True)
+    try:
+        (
+            placed.sortWithinPartitions("file", "start")
+            .write.format(OrderedFiles.name())
+            .mode("append")
+            .save(beside)
+        )
+        system.open_output_stream(posixpath.join(beside, "_SUCCESS")).close()
+        system.move(beside, folder)
+    except BaseException:
+        system.delete_dir(beside)
+        raise

@@ -16,8 +16,8 @@ from siteindex.constants import EMPTY_URL_ERROR, OTHER_CATEGORY, OTHER_LABEL
 from siteindex.functions.urls import blank
 from siteindex.operators.ranking import numbered
 from siteindex.plans.catalog import RECORD
-from siteindex.plans.parts import byte_parts, whole_texts
-from siteindex.session import keep
+from siteindex.plans.parts import byte_parts, whole_texts, write_folders
+from siteindex.session import keep, mounted
 
 ARTIFACTS = ("index", "full", "context", "context_full")
 RECORDS = "records"
@@ -222,9 +222,11 @@ def write_documents(lines: DataFrame, path: str, part_lines: int = PART_LINES) -
     order of their numbers make up the document.
     """
     keys = ["artifact", "site_id", "part"]
+    parts = lines.withColumn("part", F.floor(F.col("line_no") / part_lines))
+    if folder := mounted(lines.sparkSession, path):
+        return write_folders(parts, keys, "line_no", folder, "txt")
     (
-        lines.withColumn("part", F.floor(F.col("line_no") / part_lines))
-        .repartition(*keys)
+        parts.repartition(*keys)
         .sortWithinPartitions(*keys, "line_no")
         .select(*keys, "line")
         .write.partitionBy(*keys)
@@ -235,8 +237,12 @@ def write_documents(lines: DataFrame, path: str, part_lines: int = PART_LINES) -
 def write_records(catalog: DataFrame, path: str, part_records: int = PART_RECORDS) -> None:
     """JSON lines under ``site_id=…/part=…`` in discovery order."""
     keys = ["site_id", "part"]
+    part = F.floor(F.col("rank") / part_records)
+    if folder := mounted(catalog.sparkSession, path):
+        lines = records(catalog).withColumnRenamed("record", "line").withColumn("part", part)
+        return write_folders(lines, keys, "rank", folder, "json")
     (
-        catalog.withColumn("part", F.floor(F.col("rank") / part_records))
+        catalog.withColumn("part", part)
         .repartition(*keys)
         .sortWithinPartitions(*keys, "rank")
         .select(*keys, *RECORD)

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = 256  # pages per Arrow batch; pages are large, the default of 10,000 is for narrow rows
+LISTINGS = 4  # tasks for each core that list the folders of a table
 
 
 def configure(spark: SparkSession, folder: str | None = None) -> SparkSession:
@@ -24,6 +25,11 @@ def configure(spark: SparkSession, folder: str | None = None) -> SparkSession:
     if not 0 < rows <= ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # folders are listed by some tasks for each core; the default is a task for each folder
+    spark.conf.set(
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism",
+        str(LISTINGS * max(spark.sparkContext.defaultParallelism, 1)),
+    )
     return spark
 
 
@@ -68,6 +74,14 @@ def clean_up(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder that Spark means by a path, if it is in the file system of the machines."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = system.makeQualified(place).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def keep(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a table to the shared folder and read it back.
 

@@ -1,7 +1,7 @@
 """A sink that writes each file from parts which may come from different tasks.
 
-Rows are ``(file, start, total, text)``: the text that begins at byte ``start`` of a file of
-``total`` bytes. A task that holds a whole file in order writes it and moves it into place. Of
+Rows are ``(file, start, total, text)``: the text, or its bytes, that begins at byte ``start`` of a
+file of ``total`` bytes. A task that holds a whole file in order writes it and moves it into place. Of
 other files a task leaves stretches beside the target and names them in its commit message; the
 commit checks that the stretches of a file meet and appends them to one another in chunks. So
 the driver holds names and numbers of split files alone, and readers never see half a file. A
@@ -84,7 +84,7 @@ class FileWriter(DataSourceArrowWriter):
                         end()
                     now = Stretch(file, start, 0, total, posixpath.join(beside, uuid.uuid4().hex))
                     stream = system.open_output_stream(now.path)
-                data = text.encode()
+                data = text if isinstance(text, bytes) else text.encode()
                 stream.write(data)
                 now.size += len(data)
         if now is not None:
