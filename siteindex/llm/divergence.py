@@ -1,10 +1,11 @@
 """Source divergence audit: how far the words of a source differ from those of its language.
 
-Each task takes its rows in slices of ``SLICE_BYTES``, with the rows of a (language, source)
-group beside each other. It marks the start of every word in the Arrow buffer and sorts these
-pointers with a multikey quicksort (``words.PointerSort``). A run of equal words then gives the
-documents that hold the word and its occurrences in each source. Spark adds the runs of all
-slices, keeps the terms found in enough documents of a language, and derives the shares.
+Each task takes its rows in slices of at most ``SLICE_BYTES``, with the rows of a (language,
+source) group beside each other; a longer text is cut between words, and its pieces are added up.
+The task marks the start of every word in the Arrow buffer and sorts these pointers with a
+multikey quicksort (``words.PointerSort``). A run of equal words then gives the documents that
+hold the word and its occurrences in each source. Spark adds the runs of all slices, keeps the
+terms found in enough documents of a language, and derives the shares.
 
 Shares are whole numbers of 10^-9, and divergences are whole numbers too, so results do not
 depend on the order of sums; an overflow would raise an error. Pairs of sources are compared
@@ -20,60 +21,100 @@ kept terms has pairs of value 0 and no term rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteindex.llm.common import written
-from siteindex.llm.words import LOWER, PointerSort, buffer_of, word_pointers
+from siteindex.llm.words import LOWER, PointerSort, buffer_of, cut, translated, word_pointers
 
-#: Text bytes that are sorted together; a longer text is a slice of its own.
+#: Bytes of rows that are sorted together; a task needs about ten times as many, twenty where all
+#: words have one letter.
 SLICE_BYTES = 16 << 20
+#: Runs that go to Spark at once.
+RUNS = 1 << 15
 MIN_DOCS, TOP_TERMS, ONE = 3, 200, 1_000_000_000
 _GROUP = ["lang", "source"]
 
 
-def slice_counts(rows: pa.Table) -> pa.RecordBatch:
+def slice_counts(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """``lang, source, term, n, docs`` of a slice with ``lang, source, text``."""
-    names = pa.StructArray.from_arrays(
-        [rows.column(c).combine_chunks() for c in _GROUP], _GROUP
-    ).to_pylist()
-    numbers = {name: i for i, name in enumerate(sorted({(n["lang"], n["source"]) for n in names}))}
-    group = np.array([numbers[n["lang"], n["source"]] for n in names], np.int64)
-    order = np.argsort(group, kind="stable")
-    group = group[order]
+    langs, sources = (rows.column(c).combine_chunks().dictionary_encode() for c in _GROUP)
+    pairs = np.asarray(langs.indices, np.int64) * len(sources.dictionary) + sources.indices
+    order = np.argsort(pairs, kind="stable")
+    known, group = np.unique(pairs[order], return_inverse=True)
     texts = rows.column("text").cast(pa.large_string()).take(pa.array(order)).combine_chunks()
     data, ends = buffer_of(texts)
     starts, lengths, row = word_pointers(data, ends)
-    pointers = PointerSort(LOWER[data], starts, lengths)
+    pointers = PointerSort(translated(data, LOWER), starts, lengths)
+    del texts, data
     at, new_term = pointers.sorted()
     doc = row[at]
     new_doc = new_term | np.r_[True, doc[1:] != doc[:-1]][: len(at)]
-    of = group[doc]
+    of = group.astype(np.int32)[doc]
     new_run = new_term | np.r_[True, of[1:] != of[:-1]][: len(at)]
     first = np.flatnonzero(new_run)
-    docs = np.add.reduceat(new_doc.astype(np.int64), first) if len(first) else first
-    known = list(numbers)
-    places = pa.array(of[first])
-    langs, sources = (pa.array([n[i] for n in known], pa.string()).take(places) for i in (0, 1))
-    counts = pa.array(np.diff(np.r_[first, len(at)]))
-    return pa.RecordBatch.from_arrays(
-        [langs, sources, pointers.texts(at[first]), counts, pa.array(docs)],
-        ["lang", "source", "term", "n", "docs"],
-    )
+    del row, doc, new_term, new_run
+    counts = np.diff(np.r_[first, len(at)])
+    docs = np.add.reduceat(new_doc, first, dtype=np.int64) if len(first) else first
+    for i in range(0, len(first), RUNS):
+        run = slice(i, i + RUNS)
+        pair = known[of[first[run]]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                langs.dictionary.take(pa.array(pair // len(sources.dictionary))),
+                sources.dictionary.take(pa.array(pair % len(sources.dictionary))),
+                pointers.texts(at[first[run]]),
+                pa.array(counts[run]),
+                pa.array(docs[run]),
+            ],
+            ["lang", "source", "term", "n", "docs"],
+        )
 
 
-def _runs(batches):
+def text_counts(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The same of one row whose text is cut into pieces; it holds a term of several pieces once."""
+    data, _ = buffer_of(row.column("text"))
+    found = []
+    for start, end in cut(data, SLICE_BYTES):
+        text = pa.array([data[start:end].tobytes()], pa.large_binary()).cast(pa.large_string())
+        piece = pa.table([*(row.column(c) for c in _GROUP), text], [*_GROUP, "text"])
+        found += [pa.Table.from_batches([runs]) for runs in slice_counts(piece)]
+        if found:
+            of_term = pa.concat_tables(found).group_by([*_GROUP, "term"], use_threads=False)
+            added = of_term.aggregate([("n", "sum"), ("docs", "max")])
+            added = added.select([*_GROUP, "term", "n_sum", "docs_max"])
+            found = [added.rename_columns([*_GROUP, "term", "n", "docs"])]
+    for runs in found:
+        yield from runs.to_batches(RUNS)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, halved until they fit in a slice."""
+    if batch.nbytes <= SLICE_BYTES or batch.num_rows < 2:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from _parts(batch.slice(0, half))
+    yield from _parts(batch.slice(half))
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.column("text").nbytes
-        if size >= SLICE_BYTES:
-            yield slice_counts(pa.Table.from_batches(held))
+    for part in (p for b in batches for p in _parts(b)):
+        if part.nbytes > SLICE_BYTES:
+            yield from text_counts(part)
+            continue
+        if size + part.nbytes > SLICE_BYTES:
+            yield from slice_counts(pa.Table.from_batches(held))
             held, size = [], 0
+        held.append(part)
+        size += part.nbytes
     if held:
-        yield slice_counts(pa.Table.from_batches(held))
+        yield from slice_counts(pa.Table.from_batches(held))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

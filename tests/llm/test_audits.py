@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -96,6 +97,69 @@ def test_audit(spark, monkeypatch, slice_bytes):
     assert few == audit_truth(rows, 5, 2)
 
 
+def runs_of(rows):
+    """Sums of the runs of one batch, its peak of numpy memory, and the most runs sent at once."""
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)],
+                                       ["lang", "source", "text"])
+    sums, most = defaultdict(lambda: [0, 0]), 0
+    tracemalloc.start()
+    try:
+        for runs in divergence._runs(iter([batch])):
+            most = max(most, runs.num_rows)
+            for r in runs.to_pylist():
+                of = sums[r["lang"], r["source"], r["term"]]
+                of[0], of[1] = of[0] + r["n"], of[1] + r["docs"]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    return dict(sums), peak, most
+
+
+def runs_truth(rows):
+    sums = defaultdict(lambda: [0, 0])
+    for lang, source, text in rows:
+        for term, n in Counter(terms(text)).items():
+            of = sums[lang, source, term]
+            of[0], of[1] = of[0] + n, of[1] + 1
+    return dict(sums)
+
+
+def test_slices_take_bounded_memory(monkeypatch):
+    size = 1 << 19
+    monkeypatch.setattr(divergence, "SLICE_BYTES", size)
+    monkeypatch.setattr(divergence, "RUNS", 1000, raising=False)
+    rng = random.Random(5)
+    pool = ["the"] * 500 + ["".join(rng.choices("abcé", k=rng.randint(2, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choices(pool, k=n))
+    rows = [("en", f"s{i % 3}", text(15_000)) for i in range(24)]
+    whole, few = [*rows, ("en", "s0", text(300_000))], rows[:4]
+    one_slice = sum(len(t.encode()) for *_, t in few)
+    assert size / 2 < one_slice <= size < len(whole[-1][2])
+    got, peak, most = runs_of(few)
+    assert got == runs_truth(few) and peak < 16 * one_slice and most <= 1000
+    got, peak, most = runs_of(whole)  # one batch of many slices, and a text of many
+    assert got == runs_truth(whole) and peak < 24 * size and most <= 1000
+
+
+def test_short_rows_take_bounded_memory():
+    rows = [("en", "s", "a")] * 200_000
+    got, peak, _ = runs_of(rows)
+    assert got == {("en", "s", "a"): [200_000, 200_000]} and peak < 30_000_000
+
+
+def test_texts_are_cut_between_words():
+    rng = random.Random(6)
+    for text in ["", "a", "a" * 50, " " * 50, "é" * 30 + " x", "b " + "日" * 40,
+                 *("".join(rng.choices("ab é", k=rng.randint(0, 90))) for _ in range(60))]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        for size in (1, 2, 7, 1000):
+            pieces = list(words.cut(data, size))
+            parts = [text.encode()[a:b].decode() for a, b in pieces]
+            assert "".join(parts) == text and [t for p in parts for t in terms(p)] == terms(text)
+            assert all(b - a <= size + max(map(len, (w.encode() for w in terms(text))), default=0)
+                       for a, b in pieces)
+
+
 def test_audit_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert divergence.audit(empty).collect() == []
