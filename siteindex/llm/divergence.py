@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from siteindex.llm.common import written
 from siteindex.llm.words import LOWER, PointerSort, buffer_of, cut, translated, word_pointers
 
-#: Bytes of rows that are sorted together; a task needs about ten times as many, twenty where all
+#: Bytes of rows that are sorted together; a task needs about ten times as many, 25 times where all
 #: words have one letter.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: Runs that go to Spark at once.
 RUNS = 1 << 15
 MIN_DOCS, TOP_TERMS, ONE = 3, 200, 1_000_000_000
